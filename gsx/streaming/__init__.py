@@ -1,0 +1 @@
+"""Reserved: every operator of this library is a batch operator."""
