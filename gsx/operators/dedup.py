@@ -178,7 +178,7 @@ def run_pair_matches(results: DataFrame, run: str, keys, metrics, tolerance=1e-6
     )
 
 
-def run_fingerprints(results: DataFrame, run: str, keys, metrics, digits: int = 6) -> DataFrame:
+def run_fingerprints(results: DataFrame, run: str, keys, metrics, digits: int = 9) -> DataFrame:
     """(run, fingerprint): an order-free hash of a run's rows, merged from partial sums."""
     cells = [
         F.coalesce(F.round(F.col(m) * 10**digits).cast("bigint").cast("string"), F.lit("null"))

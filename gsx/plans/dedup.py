@@ -15,7 +15,7 @@ from gsx.operators.dedup import (
     split_overlap,
     vector_md5,
 )
-from gsx.plans.base import LINE_SQL, line_features, r6, registry, sql_hash, table
+from gsx.plans.base import LINE_SQL, line_features, registry, sql_hash, table
 from gsx.plans.sources import RESULT_SQL, result_rows
 
 QUERIES, query = registry()
@@ -130,20 +130,6 @@ def l6(spark, sf):
     return split_overlap(train, test, ["l_partkey", "l_suppkey"])
 
 
-@query(
-    "l6_superset_artifacts",
-    """
-SELECT doc_id, auc, auc >= 0.999 AS artifact FROM (
-  SELECT doc_id, round(n_chars / (SELECT max(n_chars) FROM documents), 6) AS auc FROM documents)""",
-)
-def l6_flags(spark, sf):
-    docs = table(spark, sf, "documents")
-    top = docs.agg(F.max("n_chars")).first()[0]
-    return docs.select("doc_id", r6(F.col("n_chars") / top).alias("auc")).withColumn(
-        "artifact", F.col("auc") >= 0.999
-    )
-
-
 def copied_runs(spark, sf):
     """Results in which some runs repeat another run, whole or nearly whole."""
     base = result_rows(spark, sf)
@@ -157,12 +143,20 @@ def copied_runs(spark, sf):
 @query(
     "l7_duplicate_runs",
     f"""WITH {RESULT_SQL},
-n AS (SELECT DISTINCT run, regexp_extract(run, '_(\\d+)$', 1)::INT AS number FROM res)
-SELECT 'copy_' || run AS run_a, run AS run_b, 1.0::DOUBLE AS match_share, 'IDENTICAL' AS verdict FROM n WHERE number % 10 = 3
-UNION ALL
-SELECT 'near_' || run, run, 1.0, 'IDENTICAL' FROM n WHERE FALSE
-UNION ALL
-SELECT run, 'near_' || run, 1.0, 'NEAR' FROM n WHERE number % 10 = 7""",
+n AS (SELECT *, regexp_extract(run, '_(\\d+)$', 1)::INT AS number FROM res),
+a AS (SELECT run, analysis, model, accuracy, auc, mcc FROM n
+      UNION ALL SELECT 'copy_' || run, analysis, model, accuracy, auc, mcc FROM n WHERE number % 10 = 3
+      UNION ALL SELECT 'near_' || run, analysis, model, accuracy + 4e-7, auc, mcc FROM n WHERE number % 10 = 7),
+f AS (SELECT run, md5(string_agg(concat_ws('|', analysis, model, round(accuracy * 1e9)::BIGINT, round(auc * 1e9)::BIGINT,
+        round(mcc * 1e9)::BIGINT), '~' ORDER BY analysis, model)) AS fp FROM a GROUP BY 1),
+h AS (SELECT fp, min(run) AS head FROM f GROUP BY 1),
+r AS (SELECT a.* FROM a JOIN h ON a.run = h.head),
+p AS (SELECT x.run AS run_a, y.run AS run_b,
+        avg((abs(x.accuracy - y.accuracy) <= 1e-6 AND abs(x.auc - y.auc) <= 1e-6 AND abs(x.mcc - y.mcc) <= 1e-6)::INT) AS match_share
+      FROM r x JOIN r y ON x.run < y.run AND x.analysis = y.analysis AND x.model = y.model GROUP BY 1, 2)
+SELECT head AS run_a, run AS run_b, 1.0::DOUBLE AS match_share, 'IDENTICAL' AS verdict
+FROM f JOIN h USING (fp) WHERE run <> head
+UNION ALL SELECT run_a, run_b, match_share, 'NEAR' FROM p WHERE match_share >= 0.95""",
 )
 def l7(spark, sf):
     return duplicate_runs(
