@@ -25,27 +25,39 @@ LEVELS = (0.025, 0.975)
 GOLDEN = 0x9E3779B97F4A7C15
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
-CHUNK = 2048
+CHUNK_CELLS = 1 << 18
 
 
 def poisson_limits() -> list[int]:
-    """Poisson(1) distribution function scaled to 2^32."""
+    """Poisson(1) distribution function in steps of 2^-16."""
     total, limits = 0.0, []
     for j in range(13):
         total += math.exp(-1.0) / math.factorial(j)
-        limits.append(int(total * 2**32))
+        limits.append(int(total * 2**16))
     return limits
 
 
+def _weight_table() -> np.ndarray:
+    return np.searchsorted(poisson_limits(), np.arange(2**16), side="right").astype(np.uint8)
+
+
+WEIGHTS = _weight_table()
+
+
 def replicate_weights(h: np.ndarray, n_boot: int) -> np.ndarray:
-    """(rows, replicates) weights from 64-bit row hashes."""
-    steps = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(GOLDEN)
+    """(rows, replicates) weights from 64-bit row hashes.
+
+    One mixed word serves four replicates, sixteen bits each, lowest bits first.
+    """
+    blocks = (n_boot + 3) // 4
+    steps = np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(GOLDEN)
     x = h.astype(np.uint64)[:, None] + steps[None, :]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
-    x = (x ^ (x >> np.uint64(31))) >> np.uint64(32)
-    limits = np.array(poisson_limits(), dtype=np.uint64)
-    return np.searchsorted(limits, x.ravel(), side="right").reshape(x.shape)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(MIX_A)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(MIX_B)
+    x ^= x >> np.uint64(31)
+    return WEIGHTS[x.astype("<u8").view("<u2")][:, :n_boot]
 
 
 class _CellSums:
@@ -54,14 +66,14 @@ class _CellSums:
     def __init__(self, n_boot: int):
         self.first = self.pending = None
         self.lo = None
-        self.u = np.zeros(n_boot)
-        self.p = np.zeros(n_boot, dtype=np.int64)
-        self.n = np.zeros(n_boot, dtype=np.int64)
+        self.u, self.p, self.n = (np.zeros(n_boot) for _ in range(3))
 
     def add(self, score, y, w):
         starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-        p = np.add.reduceat(w * y[:, None], starts, axis=0)
-        n = np.add.reduceat(w * (1 - y)[:, None], starts, axis=0)
+        p = w * y[:, None].astype(float)
+        n = w - p
+        if len(starts) < len(score):
+            p, n = np.add.reduceat(p, starts, axis=0), np.add.reduceat(n, starts, axis=0)
         values = score[starts]
         if self.pending is not None:
             s0, p0, n0 = self.pending
@@ -71,15 +83,17 @@ class _CellSums:
             else:
                 values = np.r_[s0, values]
                 p, n = np.vstack([p0, p]), np.vstack([n0, n])
-        self.pending = (values[-1], p[-1], n[-1])
+        self.pending = (values[-1], p[-1].copy(), n[-1].copy())
         values, p, n = values[:-1], p[:-1], n[:-1]
         if len(values) and self.first is None:
-            self.first = (values[0], p[0], n[0])
+            self.first = (values[0], p[0].copy(), n[0].copy())
             values, p, n = values[1:], p[1:], n[1:]
         if len(values):
             self.lo = values[0] if self.lo is None else self.lo
-            below = self.n + np.cumsum(n, axis=0) - n
-            self.u += (p * (below + n / 2)).sum(axis=0)
+            below = np.cumsum(n, axis=0)
+            below -= n / 2
+            below += self.n
+            self.u += np.einsum("ij,ij->j", p, below)
             self.p += p.sum(axis=0)
             self.n += n.sum(axis=0)
 
@@ -93,6 +107,7 @@ class _CellSums:
 
 def _range_sums(keys, n_boot):
     names = [*keys, "kind", "lo", "u", "p", "n"]
+    chunk = max(64, CHUNK_CELLS // n_boot)
 
     def run(batches):
         key, sums = None, None
@@ -111,8 +126,8 @@ def _range_sums(keys, n_boot):
                     if sums is not None:
                         out += list(sums.rows(key))
                     key, sums = now, _CellSums(n_boot)
-                for i in range(a, b, CHUNK):
-                    j = min(i + CHUNK, b)
+                for i in range(a, b, chunk):
+                    j = min(i + chunk, b)
                     sums.add(score[i:j], y[i:j], replicate_weights(h[i:j], n_boot))
             if out:
                 yield pd.DataFrame(out, columns=names)
@@ -150,8 +165,8 @@ def replicate_auc(
             T.StructField("kind", T.StringType()),
             T.StructField("lo", T.DoubleType()),
             T.StructField("u", T.ArrayType(T.DoubleType())),
-            T.StructField("p", T.ArrayType(T.LongType())),
-            T.StructField("n", T.ArrayType(T.LongType())),
+            T.StructField("p", T.ArrayType(T.DoubleType())),
+            T.StructField("n", T.ArrayType(T.DoubleType())),
         ]
     )
     sums = rows.mapInPandas(_range_sums(keys, n_boot), schema)
@@ -159,13 +174,13 @@ def replicate_auc(
     pieces = flat.groupBy(*keys, "rep", "kind", "lo").agg(
         F.sum("z.u").alias("u"), F.sum("z.p").alias("p"), F.sum("z.n").alias("n")
     )
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    p, n = F.col("p"), F.col("n")
     before = (
         Window.partitionBy(*keys, "rep").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     )
     own = F.when(F.col("kind") == "tie", p * n / 2).otherwise(F.col("u"))
     total = (
-        pieces.withColumn("_u", own + p * F.coalesce(F.sum("n").over(before), F.lit(0)))
+        pieces.withColumn("_u", own + p * F.coalesce(F.sum("n").over(before), F.lit(0.0)))
         .groupBy(*keys, "rep")
         .agg(F.sum("_u").alias("u"), F.sum(p).alias("p"), F.sum(n).alias("n"))
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gsx.operators.bootstrap import auc_interval
 from gsx.operators.ordered import auc, lookup_join, running_counts
-from gsx.operators.split import with_group_folds
+from gsx.operators.split import deal_folds, group_table
+from gsx.session import settle
 
 COMBINED = "Combined"
 FULL = -1
@@ -93,30 +94,43 @@ def roc_points(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     )
 
 
+def on_grid(score: Column, digits: int = SCORE_DIGITS) -> Column:
+    """Nearest multiple of 10^-digits; cheaper than decimal rounding."""
+    return F.rint(score * 10.0**digits) / 10.0**digits
+
+
 # --- fitted parameters ---------------------------------------------------------------
 
 
 def with_cell_folds(df: DataFrame, label, group, domain, k=5, seed=42) -> DataFrame:
-    """Group folds inside each domain (``fold``) and over all rows (``fold_all``)."""
-    inner = with_group_folds(df, group, label, k, seed, part=(domain,))
-    pooled = with_group_folds(
-        inner.withColumnRenamed("fold", "_inner"), group, label, k, seed
+    """Group folds inside each domain (``fold``) and over all rows (``fold_all``).
+
+    Both are dealt from one table of groups and come back in one join.
+    """
+    groups = settle(group_table(df, group, label, [domain]))
+    inner = deal_folds(groups, group, k, seed, [domain]).select(domain, group, "fold")
+    merged = groups.groupBy(group).agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
     )
-    return pooled.withColumnsRenamed({"fold": "fold_all", "_inner": "fold"})
+    pooled = deal_folds(merged, group, k, seed).select(group, F.col("fold").alias("fold_all"))
+    # one row per (domain, group) on the left, so no group is hot here
+    return lookup_join(df, inner.join(pooled, group), [domain, group])
 
 
 def class_sums(df: DataFrame, features, label, by) -> DataFrame:
-    """Row counts, sums and sums of squares of every feature per ``by`` and label.
+    """(by, label, feature position, count, sum, sum of squares), one pass over the rows.
 
-    Training sets are unions of these cells, so one pass over the rows serves every
-    fold, domain and pooled training set.
+    Training sets are unions of these cells, so the pass serves every fold, domain and
+    pooled training set.  The long form has a few rows per feature and fold.
     """
-    x = {f: F.col(f).cast("double") for f in features}
-    return df.groupBy(*by, label).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count(x[f]).alias(f"_c_{f}") for f in features],
-        *[F.sum(x[f]).alias(f"_s_{f}") for f in features],
-        *[F.sum(x[f] * x[f]).alias(f"_q_{f}") for f in features],
+    x = [F.col(f).cast("double") for f in features]
+    wide = df.groupBy(*by, label).agg(
+        F.array(*[F.count(v) for v in x]).alias("_c"),
+        F.array(*[F.sum(v) for v in x]).alias("_s"),
+        F.array(*[F.sum(v * v) for v in x]).alias("_q"),
+    )
+    return wide.select(*by, label, F.posexplode(F.arrays_zip("_c", "_s", "_q")).alias("_f", "_z")).select(
+        *by, label, "_f", "_z.*"
     )
 
 
@@ -133,40 +147,53 @@ def _training_sets(domain: str, k: int, combined: str = COMBINED) -> Column:
 
 def fit_moments(df: DataFrame, features, label, domain, k=5) -> DataFrame:
     """Mean, population deviation and class direction of every feature for each
-    (train, holdout) set (M2, M21); ``holdout`` -1 is the whole training set."""
+    (train, holdout) set (M2, M21); ``holdout`` -1 is the whole training set.
+
+    The parameters are arrays ``mean``, ``std`` and ``sign`` in feature order.
+    """
     sums = class_sums(df, features, label, [domain, "fold", "fold_all"])
     sets = sums.withColumn("_t", F.explode(_training_sets(domain, k))).select("*", "_t.*")
-    pos, neg = F.col(label) == 1, F.col(label) == 0
+    c, s = F.col("_c").cast("double"), F.col("_s")
 
-    def over(col, cond=None):
-        return F.sum(col if cond is None else F.when(cond, col))
+    def class_mean(value):
+        mine = F.col(label) == value
+        return F.try_divide(F.sum(F.when(mine, s)), F.sum(F.when(mine, c)))
 
-    out = []
-    for f in features:
-        c, s, q = F.col(f"_c_{f}"), F.col(f"_s_{f}"), F.col(f"_q_{f}")
-        mean = F.try_divide(over(s), over(c).cast("double"))
-        var = F.try_divide(over(q), over(c).cast("double")) - mean * mean
-        std = F.sqrt(F.greatest(var, F.lit(0.0)))
-        pm = F.try_divide(over(s, pos), over(c, pos).cast("double"))
-        nm = F.try_divide(over(s, neg), over(c, neg).cast("double"))
-        out += [
-            mean.alias(f"mean_{f}"),
-            F.when(std > 0, std).otherwise(1.0).alias(f"std_{f}"),
-            F.when(pm > nm, 1.0).otherwise(-1.0).alias(f"sign_{f}"),
-        ]
-    return sets.groupBy("train", "holdout").agg(F.sum("_n").alias("n_train"), *out)
+    per = sets.groupBy("train", "holdout", "_f").agg(
+        F.try_divide(F.sum(s), F.sum(c)).alias("_m"),
+        F.try_divide(F.sum("_q"), F.sum(c)).alias("_q"),
+        (class_mean(1) > class_mean(0)).alias("_up"),
+    )
+    std = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    entry = F.struct(
+        "_f",
+        F.col("_m").alias("m"),
+        F.when(std > 0, std).otherwise(1.0).alias("s"),
+        F.when(F.col("_up"), 1.0).otherwise(-1.0).alias("g"),
+    )
+    rows = per.groupBy("train", "holdout").agg(F.sort_array(F.collect_list(entry)).alias("_p"))
+    return rows.select(
+        "train",
+        "holdout",
+        F.col("_p.m").alias("mean"),
+        F.col("_p.s").alias("std"),
+        F.col("_p.g").alias("sign"),
+    )
 
 
-def baseline_score(features) -> Column:
-    """Mean signed z-score (M21); a missing value counts as the training mean.
+def baseline_score(features, fitted=None) -> Column:
+    """Mean signed z-score (M21) of ``features`` with parameters of the ``fitted`` ones.
 
-    Rounded to nine digits, so equal scores stay equal whatever the order of sums.
+    A missing value counts as the training mean.  Rounded to nine digits, so equal
+    scores stay equal whatever the order of sums.
     """
+    at = {f: i for i, f in enumerate(fitted or features)}
     total = F.lit(0.0)
     for f in features:
-        z = F.col(f"sign_{f}") * (F.col(f).cast("double") - F.col(f"mean_{f}")) / F.col(f"std_{f}")
+        i = at[f]
+        z = F.col("sign")[i] * (F.col(f).cast("double") - F.col("mean")[i]) / F.col("std")[i]
         total = total + F.coalesce(z, F.lit(0.0))
-    return F.round(total / len(features), SCORE_DIGITS)
+    return on_grid(total / len(features))
 
 
 # --- cells ------------------------------------------------------------------------------
@@ -290,14 +317,14 @@ def slice_metrics(df, model, domain, language, pred, score, label) -> DataFrame:
     return m.select(*keys, "tp", "fp", "tn", "fn", "accuracy", "f1", "mcc").join(a, keys)
 
 
-def subset_scores(scored: DataFrame, subsets: dict) -> DataFrame:
+def subset_scores(scored: DataFrame, subsets: dict, fitted) -> DataFrame:
     """Rows scored once per feature subset (E13); needs the fitted parameters of all."""
     options = F.array(
         *[
             F.struct(
                 F.lit(name).alias("subset"),
                 F.lit(len(fs)).alias("n_feats"),
-                baseline_score(fs).alias("subset_score"),
+                baseline_score(fs, fitted).alias("subset_score"),
             )
             for name, fs in subsets.items()
         ]
@@ -320,7 +347,7 @@ def top_n_scores(long: DataFrame, ranking: DataFrame, sizes, row_keys) -> DataFr
     keys = [*row_keys, "train"]
     sums = ranked.groupBy(*keys).agg(
         *[
-            F.round(F.sum(F.when(F.col("rank") <= n, F.col("z"))) / n, SCORE_DIGITS).alias(f"n{n}")
+            on_grid(F.sum(F.when(F.col("rank") <= n, F.col("z"))) / n).alias(f"n{n}")
             for n in sizes
         ]
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gsx.operators.ordered import hash_rank, lookup_join
+from gsx.session import settle
 
 
 def row_folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed=42, part=()) -> DataFrame:
@@ -15,15 +16,10 @@ def row_folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed=42, part=
 
 
 def group_table(df: DataFrame, group: str, label: str, part=()) -> DataFrame:
-    """One row per group with its class counts, majority class and size."""
-    return (
-        df.groupBy(*part, group)
-        .agg(
-            F.count_if(F.col(label) == 1).alias("n_pos"),
-            F.count_if(F.col(label) == 0).alias("n_neg"),
-        )
-        .withColumn("majority", (F.col("n_pos") >= F.col("n_neg")).cast("int"))
-        .withColumn("size", F.col("n_pos") + F.col("n_neg"))
+    """One row per group with its class counts."""
+    return df.groupBy(*part, group).agg(
+        F.count_if(F.col(label) == 1).alias("n_pos"),
+        F.count_if(F.col(label) == 0).alias("n_neg"),
     )
 
 
@@ -41,8 +37,18 @@ def group_folds(
     and backwards in turn.  Sizes are ranked through (size, hash) counts so that the
     groups themselves are never sorted in one task.
     """
+    return deal_folds(settle(group_table(df, group, label, part)), group, k, seed, part)
+
+
+def deal_folds(groups: DataFrame, group: str, k: int = 5, seed=42, part=()) -> DataFrame:
+    """Folds of a settled group table; see :func:`group_folds`."""
     part = list(part)
-    groups = group_table(df, group, label, part)
+    groups = groups.withColumns(
+        {
+            "majority": (F.col("n_pos") >= F.col("n_neg")).cast("int"),
+            "size": F.col("n_pos") + F.col("n_neg"),
+        }
+    )
     strata = [*part, "majority"]
     sizes = groups.groupBy(*strata, "size").agg(F.count(F.lit(1)).alias("_c"))
     larger = (

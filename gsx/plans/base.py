@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gsx.sources.scan import read_table
+
 DOC_FEATURES = ("n_chars", "n_words", "n_lines", "digit_share", "upper_share", "mean_word_len")
 LINE_FEATURES = ("quantity", "price", "discount", "tax")
 DOC_DOMAINS = ("en", "rest")
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table that the query multiplies or scores row by row."""
+    return read_table(spark, f"{sf}/{name}.parquet")
+
+
 def r6(c):
     """Six decimals, the precision at which results of two engines are compared."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -73,7 +80,7 @@ def doc_stats(docs: DataFrame) -> DataFrame:
 def doc_features(spark, sf) -> DataFrame:
     """Labelled documents with their features; domain is ``en`` or ``rest``."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return doc_stats(table(spark, sf, "documents")).join(labels, "doc_id")
+    return doc_stats(dealt_table(spark, sf, "documents")).join(labels, "doc_id")
 
 
 def doc_long(spark, sf) -> DataFrame:
@@ -107,7 +114,7 @@ doc_long AS (
 
 def line_features(spark, sf) -> DataFrame:
     """Order lines; domain is the line status, group the supplier, label a return."""
-    return table(spark, sf, "lineitem").select(
+    return dealt_table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row_id"),
         F.col("l_linestatus").alias("domain"),
         F.col("l_suppkey").alias("grp"),
@@ -156,7 +163,7 @@ ev AS (SELECT user_id AS series, event_type AS channel, ts, event_id, value FROM
 
 def vector_series(spark, sf) -> DataFrame:
     """Embeddings as series of 64 steps."""
-    return table(spark, sf, "embeddings").select(
+    return dealt_table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("series"),
         F.col("label").alias("cls"),
         F.posexplode("embedding").alias("seq", "v"),

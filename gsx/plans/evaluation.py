@@ -118,11 +118,11 @@ def sql_intervals(src, keys, n_boot=N_BOOT):
     return f"""
 bh AS (SELECT {keys}, score, label, ('0x' || substr({sql_hash(42, 'row_id')}, 1, 15))::UBIGINT AS h FROM {src}),
 b0 AS (SELECT {keys}, score, label, rep,
-         ((h::UHUGEINT + (rep + 1)::UHUGEINT * {GOLDEN}::UHUGEINT) % {two64}::UHUGEINT)::UBIGINT AS x
+         ((h::UHUGEINT + (rep // 4 + 1)::UHUGEINT * {GOLDEN}::UHUGEINT) % {two64}::UHUGEINT)::UBIGINT AS x
        FROM bh, range(0, {n_boot}) t(rep)),
 b1 AS (SELECT * EXCLUDE x, {mixed('x', 30, MIX_A)} AS x FROM b0),
 b2 AS (SELECT * EXCLUDE x, {mixed('x', 27, MIX_B)} AS x FROM b1),
-b3 AS (SELECT * EXCLUDE x, xor(x, x >> 31) >> 32 AS u FROM b2),
+b3 AS (SELECT * EXCLUDE x, (xor(x, x >> 31) >> (16 * (rep % 4))) & 65535::UBIGINT AS u FROM b2),
 bw AS (SELECT {keys}, rep, score, sum(label * w)::DOUBLE AS p, sum((1 - label) * w)::DOUBLE AS n
        FROM (SELECT *, {weight} AS w FROM b3) GROUP BY {keys}, rep, score),
 bu AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {keys}, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM bw),
@@ -372,7 +372,7 @@ FROM n JOIN m USING (train, test, stage_num)""",
 )
 def e12(spark, sf):
     rows = doc_cells(spark, sf).filter(CROSS)
-    probs = {f"p{i}": squash(3.0 * baseline_score(fs)) for i, fs in enumerate(STAGES, 1)}
+    probs = {f"p{i}": squash(3.0 * baseline_score(fs, DOC_FEATURES)) for i, fs in enumerate(STAGES, 1)}
     answered = cascade(rows.withColumns(probs), list(probs))
     return rounded(cascade_report(answered, ["train", "test"], "label"), "auc", "pct_handled")
 
@@ -384,7 +384,7 @@ SUBSET_SQL = "sb AS (" + " UNION ALL ".join(
 
 
 def doc_subsets(spark, sf):
-    scored = subset_scores(doc_cells(spark, sf), SUBSETS)
+    scored = subset_scores(doc_cells(spark, sf), SUBSETS, DOC_FEATURES)
     return scored.withColumn("score", F.col("subset_score"))
 
 
@@ -507,7 +507,7 @@ def e17(spark, sf):
     """Row folds inside a domain, whole domains across; parameters from training rows only."""
     rows = docs(spark, sf).withColumn("grp", F.col("row_id"))
     cells = cell_scores(rows, DOC_FEATURES, "label", "grp", "domain", DOC_DOMAINS)
-    scored = subset_scores(cells, SUBSETS)
+    scored = subset_scores(cells, SUBSETS, DOC_FEATURES)
     m = auc(scored, ["subset", "train", "test"], "subset_score", "label")
     names = {"within_en": ("en", "en"), "within_rest": ("rest", "rest"),
              "en_to_rest": ("en", "rest"), "rest_to_en": ("rest", "en")}

@@ -1 +1,293 @@
-QUERIES = {}
+"""M: train-side transforms and classifiers, scored across domains."""
+
+from pyspark.sql import functions as F
+
+from gsx.operators import models as M
+from gsx.operators.evaluate import squash
+from gsx.operators.ordered import auc, lookup_join
+from gsx.operators.split import with_group_folds
+from gsx.plans.base import (
+    DOC_DOMAINS,
+    DOC_FEATURES,
+    DOC_SQL,
+    LINE_SQL,
+    doc_features,
+    doc_long,
+    line_features,
+    line_long,
+    r6,
+    registry,
+    rounded,
+    table,
+)
+from gsx.plans.evaluation import (
+    CROSS,
+    DOC_CELLS,
+    SUBSET_SQL,
+    doc_cells,
+    doc_subsets,
+    docs,
+)
+from gsx.session import scratch_path, settle
+
+QUERIES, query = registry()
+
+
+@query(
+    "m1_median_imputer",
+    f"""WITH {LINE_SQL}, m AS (SELECT domain, median(nullif(discount, 0.04)) AS d FROM line GROUP BY 1)
+SELECT row_id, quantity, coalesce(nullif(discount, 0.04), d) AS discount FROM line JOIN m USING (domain)""",
+)
+def m1(spark, sf):
+    """Missing discounts take the median of their domain."""
+    rows = line_features(spark, sf).withColumn("discount", F.nullif("discount", F.lit(0.04)))
+    med = M.median_table(rows.select("domain", F.col("discount").alias("value")), ["domain"])
+    filled = lookup_join(rows, med, "domain")
+    return filled.select(
+        "row_id", "quantity", F.coalesce("discount", "median").alias("discount")
+    )
+
+
+@query(
+    "m1_median_table",
+    f"""WITH {DOC_SQL} SELECT domain, feature, round(median(value), 6) AS median FROM doc_long GROUP BY 1, 2""",
+)
+def m1_table(spark, sf):
+    return rounded(M.median_table(doc_long(spark, sf), ["domain", "feature"]), "median")
+
+
+@query(
+    "m2_standard_scaler",
+    f"""WITH {LINE_SQL}
+SELECT domain, feature, round(avg(value), 6) AS mean,
+  round(CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END, 6) AS std FROM line_long GROUP BY 1, 2""",
+)
+def m2(spark, sf):
+    return rounded(M.scale_table(line_long(spark, sf), ["domain", "feature"]), "mean", "std")
+
+
+@query(
+    "m3_robust_scaler",
+    f"""WITH {LINE_SQL}
+SELECT domain, feature, round(median(value), 6) AS median,
+  round(CASE WHEN quantile_cont(value, 0.75) > quantile_cont(value, 0.25)
+        THEN quantile_cont(value, 0.75) - quantile_cont(value, 0.25) ELSE 1 END, 6) AS iqr FROM line_long GROUP BY 1, 2""",
+)
+def m3(spark, sf):
+    return rounded(M.robust_table(line_long(spark, sf), ["domain", "feature"]), "median", "iqr")
+
+
+@query(
+    "m4_class_weights",
+    f"""WITH {DOC_SQL}, c AS (SELECT lang, sum(label) AS p, count(*) - sum(label) AS n FROM doc GROUP BY 1)
+SELECT lang, p::BIGINT AS n_pos, n::BIGINT AS n_neg, round(CASE WHEN p > 0 THEN (p + n) / (2.0 * p) END, 6) AS weight_pos,
+  round(CASE WHEN n > 0 THEN (p + n) / (2.0 * n) END, 6) AS weight_neg, round(n / (p + 1e-6), 6) AS scale_pos FROM c""",
+)
+def m4(spark, sf):
+    out = M.class_weights(doc_features(spark, sf), "label", ["lang"])
+    return rounded(out, "weight_pos", "weight_neg", "scale_pos")
+
+
+NB_FEATURES = ("n_chars", "digit_share", "mean_word_len")
+
+
+def _nb_sql():
+    stats = ", ".join(
+        f"var_pop({f}) AS v_{f}, "
+        + ", ".join(
+            f"avg({f}) FILTER (label = {c}) AS mu{c}_{f}, var_pop({f}) FILTER (label = {c}) AS var{c}_{f}"
+            for c in (0, 1)
+        )
+        for f in NB_FEATURES
+    )
+    eps = "1e-9 * greatest(" + ", ".join(f"v_{f}" for f in NB_FEATURES) + ")"
+
+    def loglik(c):
+        prior = "ln(p / (p + n))" if c else "ln(n / (p + n))"
+        return prior + "".join(
+            f" - 0.5 * ln(2 * pi() * (var{c}_{f} + {eps})) - ({f} - mu{c}_{f}) * ({f} - mu{c}_{f}) / (2 * (var{c}_{f} + {eps}))"
+            for f in NB_FEATURES
+        )
+
+    return f"""WITH {DOC_SQL},
+p AS (SELECT domain AS train, sum(label)::DOUBLE AS p, (count(*) - sum(label))::DOUBLE AS n, {stats} FROM doc GROUP BY 1)
+SELECT doc_id, train, domain AS test, round({loglik(1)} - ({loglik(0)}), 6) AS log_odds FROM doc JOIN p ON train <> domain"""
+
+
+@query("m9_gaussian_naive_bayes", _nb_sql())
+def m9(spark, sf):
+    rows = doc_features(spark, sf)
+    params = M.gaussian_tables(rows, NB_FEATURES, "label", ["domain"])
+    params = params.withColumnRenamed("domain", "train")
+    other = F.when(F.col("domain") == "en", "rest").otherwise("en")
+    scored = lookup_join(rows.withColumn("train", other), params, "train")
+    odds = r6(M.gaussian_log_odds(NB_FEATURES)).alias("log_odds")
+    return scored.select("doc_id", "train", F.col("domain").alias("test"), odds)
+
+
+@query(
+    "m10_nearest_neighbours",
+    """
+WITH a AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 2 = 1),
+b AS (SELECT vec_id AS tid, embedding::DOUBLE[] AS x, (label >= 5)::INT AS y FROM embeddings WHERE vec_id % 2 = 0),
+d AS (SELECT row_id, tid, y, list_distance(a.x, b.x) AS d FROM a, b),
+k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, tid) AS r FROM d)
+SELECT row_id, sum(y)::INT AS votes, round(avg(y), 6) AS score FROM k WHERE r <= 5 GROUP BY 1""",
+)
+def m10(spark, sf):
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        F.col("embedding").cast("array<double>").alias("x"),
+        (F.col("label") >= 5).cast("int").alias("y"),
+    )
+    odd = F.col("row_id") % 2 == 1
+    return rounded(M.knn_votes(rows.filter(odd), rows.filter(~odd)), "score")
+
+
+@query(
+    "m16_soft_voting",
+    f"""WITH {DOC_CELLS}, {SUBSET_SQL}
+SELECT row_id, train, test, count(*) AS n_models, round(avg(1 / (1 + exp(-score))), 6) AS score FROM sb WHERE {CROSS} GROUP BY 1, 2, 3""",
+)
+def m16(spark, sf):
+    rows = doc_subsets(spark, sf).filter(CROSS).withColumn("score", squash(F.col("score")))
+    return rounded(M.soft_vote(rows, ["row_id", "train", "test"]), "score")
+
+
+@query(
+    "m21_baseline_scorer",
+    f"""WITH {DOC_CELLS} SELECT row_id, train, test, round(score, 6) AS score FROM cells WHERE {CROSS}""",
+)
+def m21(spark, sf):
+    rows = doc_cells(spark, sf).filter(CROSS)
+    return rows.select("row_id", "train", "test", r6("score").alias("score"))
+
+
+# --- Spark ML ---------------------------------------------------------------------------------
+
+
+def transfer(spark, sf, scorers) -> object:
+    """AUC of scorers (name -> function of train and test) on both true transfers."""
+    rows = settle(docs(spark, sf))
+    out = None
+    for name, scorer in scorers.items():
+        for a, b in (DOC_DOMAINS, DOC_DOMAINS[::-1]):
+            part = scorer(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b))
+            part = part.select("label", "score").withColumns(
+                {"train": F.lit(a), "test": F.lit(b), "model": F.lit(name)}
+            )
+            out = part if out is None else out.unionByName(part)
+    return rounded(auc(out, ["train", "test", "model"], "score", "label"), "auc")
+
+
+def plain(name, **options):
+    return lambda tr, te: M.fit_score(tr, te, DOC_FEATURES, "label", name, **options)
+
+
+@query("m5_logistic")
+def m5(spark, sf):
+    return transfer(spark, sf, {"logistic": plain("logistic")})
+
+
+@query("m6_penalised_logistic")
+def m6(spark, sf):
+    names = ("l1_logistic", "elastic_net", "sgd_elastic")
+    return transfer(spark, sf, {n: plain(n) for n in names})
+
+
+def calibrated(name):
+    return lambda tr, te: M.calibrated(tr, te, DOC_FEATURES, "label", name, "row_id", k=3)
+
+
+@query("m7_ridge_calibrated")
+def m7(spark, sf):
+    return transfer(spark, sf, {"ridge": calibrated("ridge")})
+
+
+@query("m8_shrinkage_lda")
+def m8(spark, sf):
+    return transfer(
+        spark, sf, {"lda": lambda tr, te: M.lda_scores(tr, te, DOC_FEATURES, "label")}
+    )
+
+
+@query("m11_linear_svm_calibrated")
+def m11(spark, sf):
+    return transfer(spark, sf, {"linear_svm": calibrated("linear_svm")})
+
+
+@query("m12_rff_svm")
+def m12(spark, sf):
+    return transfer(
+        spark, sf, {"rff_svm": lambda tr, te: M.rff_svm_scores(tr, te, DOC_FEATURES, "label")}
+    )
+
+
+@query("m13_decision_tree")
+def m13(spark, sf):
+    return transfer(spark, sf, {n: plain(n) for n in ("decision_tree", "shallow_tree")})
+
+
+@query("m14_random_forest")
+def m14(spark, sf):
+    return transfer(
+        spark, sf, {"forest_small": plain("forest_small"), "forest_100": plain("forest_100", numTrees=40)}
+    )
+
+
+@query("m15_gradient_boosting")
+def m15(spark, sf):
+    return transfer(spark, sf, {"boosting": plain("boosting", maxIter=20)})
+
+
+STACK = ("logistic", "l1_logistic", "forest_small")
+STACK_OPTIONS = {"forest_small": {"numTrees": 20}}
+
+
+def _stack(tr, te):
+    folded = settle(with_group_folds(tr, "grp", "label", 3))
+    return M.stacked(
+        folded, te, DOC_FEATURES, "label", "row_id", STACK, k=3, overrides=STACK_OPTIONS
+    )
+
+
+@query("m17_stacking")
+def m17(spark, sf):
+    """Stacking inside one domain: groups 0-2 of five folds train, the others are tested."""
+    rows = settle(with_group_folds(docs(spark, sf), "grp", "label", 5))
+    rows = rows.withColumnRenamed("fold", "outer_fold")
+    scored = _stack(rows.filter("outer_fold < 3"), rows.filter("outer_fold >= 3"))
+    out = scored.withColumn("model", F.lit("stacking"))
+    return rounded(auc(out, ["model"], "score", "label"), "auc")
+
+
+@query("m18_cross_domain_stacking")
+def m18(spark, sf):
+    return transfer(spark, sf, {"stacking": _stack})
+
+
+@query("m19_target_stacking")
+def m19(spark, sf):
+    return transfer(
+        spark,
+        sf,
+        {
+            "stacking_30": lambda tr, te: M.stacked_on_target(
+                tr, te, DOC_FEATURES, "label", "row_id", STACK, overrides=STACK_OPTIONS
+            )
+        },
+    )
+
+
+@query("m20_refit_and_persist")
+def m20(spark, sf):
+    """Refit on all rows, save, load again and score with the loaded model."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    rows = settle(docs(spark, sf))
+    path = scratch_path(spark, "model")
+    M.refit_and_save(rows, DOC_FEATURES, "label", "logistic", path)
+    scored = PipelineModel.load(path).transform(rows)
+    scored = scored.withColumn("score", vector_to_array("probability")[1])
+    return rounded(auc(scored, ["domain"], "score", "label"), "auc")

@@ -35,6 +35,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once and cut its lineage with a table in the shared folder.
+
+    Written as parquet, so later readers prune columns and know the size; a lost
+    executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,18 @@ RESULT_SCHEMA = T.StructType(
 CORRUPT = "_corrupt"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table; one that arrives in fewer pieces than there are cores is dealt out.
+
+    A large table has far more splits than cores and is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def scan_files(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
     """Path, size and content hash of every matching file below ``root``.
 

@@ -21,6 +21,9 @@ TABLES = (
 ).split()
 
 
+SPENT = [0.0]
+
+
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
@@ -60,8 +63,10 @@ def table_of(names, rows):
 
 def compare(spark, con, sf, query):
     """Empty string when both sides agree, else a short difference."""
+    start = time.time()
     df = query.run(spark, sf)
     got_names, got = table_of(df.columns, [tuple(r) for r in df.collect()])
+    SPENT.append(time.time() - start)
     if query.sql is None:
         return "" if got else "no rows"
     cur = con.execute(query.sql)
@@ -92,7 +97,7 @@ def main(argv):
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         failed += bool(problem)
         mark = "FAIL" if problem else ("ok  " if q.sql else "rows")
-        print(f"{mark} {time.time() - t:6.2f}s {name} {problem}", flush=True)
+        print(f"{mark} {SPENT[-1]:6.2f}s of {time.time() - t:6.2f}s {name} {problem}", flush=True)
     print("failed:", failed)
     spark.stop()
 
