@@ -32,6 +32,7 @@ from gsx.operators.split import row_folds
 from gsx.session import settle
 
 SEED = 42
+ROWS_PER_TASK = 50_000
 
 
 # --- transforms ---------------------------------------------------------------------------
@@ -231,33 +232,47 @@ def knn_votes(
 # --- Spark ML estimators ---------------------------------------------------------------------
 
 
-def prepared(df: DataFrame, features, label: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """Rows with a scaled vector ``features_v``; medians and scales come from ``fit_on``.
+def fit_scaling(df: DataFrame, features) -> list[tuple[float, float, float]]:
+    """(median, mean, deviation) of every feature, mean and deviation after imputing.
 
-    The fitted parameters are one row per feature and are read by the driver, as a
-    Spark ML fit does.
+    One row per feature is read by the driver, as a Spark ML fit does.
     """
-    base = df if fit_on is None else fit_on
-    long = base.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+    long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [], list(features), "feature", "value"
     )
     med = {r["feature"]: r["median"] for r in median_table(long, ["feature"]).collect()}
+    fill = {f: float(med.get(f) or 0.0) for f in features}
+    one = df.agg(
+        *[
+            fn(F.coalesce(F.col(f).cast("double"), F.lit(fill[f])))
+            for f in features
+            for fn in (F.avg, F.stddev_pop)
+        ]
+    ).first()
+    return [
+        (fill[f], float(one[2 * i] or 0.0), float(one[2 * i + 1] or 1.0))
+        for i, f in enumerate(features)
+    ]
 
-    def filled(f):
-        return F.coalesce(F.col(f).cast("double"), F.lit(float(med.get(f) or 0.0)))
 
-    one = base.agg(
-        *[c for f in features for c in (F.avg(filled(f)).alias(f"m_{f}"), F.stddev_pop(filled(f)).alias(f"s_{f}"))]
-    ).first()
-    scaled = [
-        (filled(f) - float(one[f"m_{f}"] or 0.0)) / float(one[f"s_{f}"] or 0.0 or 1.0)
-        for f in features
+def prepared(df: DataFrame, features, label: str, scaling=None) -> DataFrame:
+    """Rows with a scaled vector ``features_v``; the scaling comes from training rows."""
+    scaling = scaling or fit_scaling(df, features)
+    cells = [
+        (F.coalesce(F.col(f).cast("double"), F.lit(m)) - mean) / std
+        for f, (m, mean, std) in zip(features, scaling)
     ]
-    return df.withColumn("features_v", array_to_vector(F.array(*scaled))).withColumn(
+    return df.withColumn("features_v", array_to_vector(F.array(*cells))).withColumn(
         "label_v", F.col(label).cast("double")
     )
 
 
+def prepared_pair(train: DataFrame, test: DataFrame, features, label: str):
+    """Both frames scaled by the training rows."""
+    scaling = fit_scaling(train, features)
+    return prepared(train, features, label, scaling), prepared(test, features, label, scaling)
+
+
 def weighted(df: DataFrame) -> DataFrame:
     """Balanced class weight in ``weight_v``; two counts are read."""
     c = df.agg(F.count_if(F.col("label_v") == 1), F.count_if(F.col("label_v") == 0)).first()
@@ -287,7 +302,9 @@ def estimator(name: str, n_rows: int, seed: int = SEED):
             regParam=1.0 / n, elasticNetParam=0.5, **logistic
         ),
         "sgd_elastic": lambda: LogisticRegression(regParam=0.001, elasticNetParam=0.5, **logistic),
-        "linear_svm": lambda: LinearSVC(regParam=1.0 / (0.05 * n), standardization=False, **w),
+        "linear_svm": lambda: LinearSVC(
+            regParam=1.0 / (0.05 * n), standardization=False, maxIter=50, tol=1e-4, **w
+        ),
         "decision_tree": lambda: DecisionTreeClassifier(
             maxDepth=15, minInstancesPerNode=5, seed=seed, **w
         ),
@@ -320,10 +337,17 @@ def _score(df: DataFrame) -> DataFrame:
     return out.drop(*drop)
 
 
+def sized(train: DataFrame, n_rows: int) -> DataFrame:
+    """Training rows in tasks of about ``ROWS_PER_TASK``: an iterative fit starts one job
+    per step, and near-empty tasks would dominate a small one.  Never adds partitions."""
+    return train.coalesce(max(1, math.ceil(n_rows / ROWS_PER_TASK)))
+
+
 def fit(train: DataFrame, name: str, seed: int = SEED, **overrides):
     """Fit a named classifier on a prepared frame; ``overrides`` set Spark ML params."""
-    train = weighted(train)
-    est = estimator(name, train.count(), seed)
+    n = train.count()
+    train = sized(weighted(train), n)
+    est = estimator(name, n, seed)
     for key, value in overrides.items():
         est = est.copy({est.getParam(key): value})
     return est.fit(train)
@@ -331,13 +355,15 @@ def fit(train: DataFrame, name: str, seed: int = SEED, **overrides):
 
 def fit_score(train, test, features, label, name, seed=SEED, **overrides) -> DataFrame:
     """Test rows with ``score`` from a model fitted on ``train`` only."""
-    tr = prepared(train, features, label)
-    te = prepared(test, features, label, fit_on=train)
+    tr, te = prepared_pair(train, test, features, label)
     return _score(fit(tr, name, seed, **overrides).transform(te)).drop("features_v", "label_v")
 
 
 def oof_scores(df, features, label, name, fold="fold", k=5, seed=SEED, **overrides) -> DataFrame:
-    """Every row scored by the model that did not see its fold."""
+    """Every row scored by the model that did not see its fold.
+
+    ``df`` is settled by the caller: each fold reads it again.
+    """
     out = None
     for f in range(k):
         part = fit_score(
@@ -352,7 +378,8 @@ def platt(train_scores: DataFrame, test_scores: DataFrame, label: str, score="sc
     """Sigmoid calibration: one-feature logistic fit on held-out scores."""
     asm = VectorAssembler(inputCols=[score], outputCol="_s")
     lr = LogisticRegression(featuresCol="_s", labelCol="_y", maxIter=100)
-    tr = train_scores.withColumn("_y", F.col(label).cast("double"))
+    tr = settle(train_scores.withColumn("_y", F.col(label).cast("double")))
+    tr = sized(tr, tr.count())
     model = Pipeline(stages=[asm, lr]).fit(tr)
     out = model.transform(test_scores)
     return out.withColumn("score", vector_to_array("probability")[1]).drop(
@@ -370,11 +397,13 @@ def calibrated(train, test, features, label, name, row_id, k=5, seed=SEED, **kw)
 
 def ridge_scores(train, test, features, label, name="ridge", alpha: float = 1.0) -> DataFrame:
     """Weighted least squares on -1/+1 targets with an L2 penalty (M7)."""
-    tr = weighted(prepared(train, features, label)).withColumn("_t", 2 * F.col("label_v") - 1)
-    te = prepared(test, features, label, fit_on=train)
+    tr, te = prepared_pair(train, test, features, label)
+    tr = weighted(tr).withColumn("_t", 2 * F.col("label_v") - 1)
+    n = train.count()
+    tr = sized(tr, n)
     lr = LinearRegression(
         featuresCol="features_v", labelCol="_t", weightCol="weight_v",
-        regParam=alpha / max(tr.count(), 1), elasticNetParam=0.0, standardization=False,
+        regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False,
     )
     return (
         lr.fit(tr).transform(te).withColumnRenamed("prediction", "score")
@@ -398,8 +427,7 @@ def lda_scores(train, test, features, label) -> DataFrame:
     Class means, the covariance and the fourth-moment sum are distributed aggregates;
     only their d and d-by-d results reach the driver for the solve.
     """
-    tr = prepared(train, features, label)
-    te = prepared(test, features, label, fit_on=train)
+    tr, te = prepared_pair(train, test, features, label)
     d = len(features)
     means = {
         int(r["label_v"]): (r["n"], np.array(r["m"].toArray()))
@@ -463,11 +491,12 @@ def rff_svm_scores(train, test, features, label, n_terms=128, c=10.0, seed=SEED)
     def mapped(df):
         return df.withColumn("features_v", array_to_vector(project(vector_to_array("features_v"))))
 
-    tr = weighted(mapped(prepared(train, features, label)))
-    te = mapped(prepared(test, features, label, fit_on=train))
+    n = train.count()
+    tr, te = prepared_pair(train, test, features, label)
+    tr, te = sized(weighted(mapped(tr)), n), mapped(te)
     svm = LinearSVC(
         featuresCol="features_v", labelCol="label_v", weightCol="weight_v",
-        regParam=1.0 / (c * max(tr.count(), 1)), standardization=False,
+        regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50, tol=1e-4,
     )
     return _score(svm.fit(tr).transform(te)).drop("features_v", "label_v")
 
@@ -545,10 +574,11 @@ def stacked_on_target(
 def refit_and_save(df: DataFrame, features, label, name: str, path: str, **kw):
     """Fit on all rows and persist as a Spark ML pipeline."""
     clean = df.na.drop(subset=list(features)).withColumn("label_v", F.col(label).cast("double"))
-    clean = weighted(clean)
+    n = clean.count()
+    clean = sized(weighted(clean), n)
     asm = VectorAssembler(inputCols=list(features), outputCol="_raw")
     scale = StandardScaler(withMean=True, inputCol="_raw", outputCol="features_v")
-    est = estimator(name, clean.count())
+    est = estimator(name, n)
     for key, value in kw.items():
         est = est.copy({est.getParam(key): value})
     model = Pipeline(stages=[asm, scale, est]).fit(clean)

@@ -215,9 +215,10 @@ def percentiles(df: DataFrame, keys, value: str, probs, hot_rows: int = HOT_ROWS
     def spread(frame, column="_q"):
         return frame.select(*keys, *[F.col(column)[i].alias(f"q{i}") for i in range(len(probs))])
 
-    hot = settle(hot_keys(rows, keys, hot_rows))
+    hot = hot_keys(rows, keys, hot_rows)
     if hot.isEmpty():
         return spread(rows.groupBy(*keys).agg(exact.alias("_q")))
+    hot = settle(hot)
     cold = null_safe_join(rows, hot.select(*keys), keys, "left_anti")
     small = spread(cold.groupBy(*keys).agg(exact.alias("_q")))
     large = _bracketed_percentiles(rows, hot, keys, probs)

@@ -114,8 +114,8 @@ def model_averages(df: DataFrame) -> DataFrame:
 def global_ranking(df: DataFrame) -> DataFrame:
     """Rank of every result by AUC inside the whole table and its run's statistics.
 
-    Result tables hold runs times scenarios times models rows; the ordered pass over all
-    of them runs on (AUC, run, analysis, model) ranges through a sort.
+    The ordered pass sees one row per distinct AUC; equal values are numbered among
+    themselves.
     """
     per = df.groupBy("run").agg(
         F.avg("auc").alias("run_mean"),
@@ -133,7 +133,7 @@ def global_ranking(df: DataFrame) -> DataFrame:
     return ranked.drop("_b").join(per, "run")
 
 
-def key_findings(df: DataFrame) -> DataFrame:
+def key_findings(df: DataFrame, linear=LINEAR_MODELS) -> DataFrame:
     """(finding, run, analysis, model, value): best and worst rows and steadiest model."""
     row = F.struct("run", "analysis", "model", F.col("auc").alias("value"))
     tie = [F.col(c) for c in ("run", "analysis", "model")]
@@ -143,8 +143,8 @@ def key_findings(df: DataFrame) -> DataFrame:
         F.max_by(row, F.struct("auc", *tie)).alias("best"),
         F.max_by(F.when(cross, row), F.when(cross, F.struct("auc", *tie))).alias("best_transfer"),
         F.min_by(F.when(cross, row), F.when(cross, F.struct("auc", *tie))).alias("worst_transfer"),
-        F.avg(F.when(F.col("model").isin(*LINEAR_MODELS), F.col("auc"))).alias("linear_mean"),
-        F.avg(F.when(~F.col("model").isin(*LINEAR_MODELS), F.col("auc"))).alias("other_mean"),
+        F.avg(F.when(F.col("model").isin(*linear), F.col("auc"))).alias("linear_mean"),
+        F.avg(F.when(~F.col("model").isin(*linear), F.col("auc"))).alias("other_mean"),
     )
     steady = (
         known.groupBy("model")
