@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gsx.operators.ordered import lookup_join
+from gsx.operators.ordered import global_positions, lookup_join
 
 
 def with_features(meta: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -86,5 +86,5 @@ def latest_per_key(df: DataFrame, key, path: str) -> DataFrame:
 
 
 def ordered_rows(df: DataFrame, name: str, order) -> DataFrame:
-    """Position in an explicit mixed order over a result table."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Position in an explicit mixed order."""
+    return global_positions(df, order, name)

@@ -192,6 +192,26 @@ def running_counts(df: DataFrame, keys, value: str, label: str, descending=False
     )
 
 
+def global_positions(df: DataFrame, order, name: str = "position") -> DataFrame:
+    """1-based position of every row in one order over the whole table.
+
+    Rows are cut into ranges of the order, settled, and numbered inside each range
+    after the sizes of the ranges before it.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = settle(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_pid").orderBy(*order)
+    return (
+        ranged.join(F.broadcast(offsets), "_pid")
+        .withColumn(name, (F.col("_o") + F.row_number().over(inside)).cast("bigint"))
+        .select(*df.columns, name)
+    )
+
+
 def hot_keys(df: DataFrame, keys, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows (a column-pruned count)."""
     return (

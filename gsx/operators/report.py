@@ -6,9 +6,11 @@ metric columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gsx.operators.ordered import global_positions
+
 WIDE_CI = 0.15
 SEVERE_GAP, MODERATE_GAP = 0.25, 0.12
 TYPE_ORDER = ("Self", "Cross-Domain", "Combined", "Other")
@@ -112,25 +114,15 @@ def model_averages(df: DataFrame) -> DataFrame:
 
 
 def global_ranking(df: DataFrame) -> DataFrame:
-    """Rank of every result by AUC inside the whole table and its run's statistics.
-
-    The ordered pass sees one row per distinct AUC; equal values are numbered among
-    themselves.
-    """
+    """Rank of every result by AUC inside the whole table and its run's statistics."""
     per = df.groupBy("run").agg(
         F.avg("auc").alias("run_mean"),
         F.stddev_samp("auc").alias("run_std"),
         F.min("auc").alias("run_min"),
         F.max("auc").alias("run_max"),
     )
-    counts = df.groupBy("auc").agg(F.count(F.lit(1)).alias("_c"))
-    above = Window.orderBy(F.col("auc").desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    first = counts.select("auc", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("auc").orderBy("run", "analysis", "model")
-    ranked = df.join(first, "auc").withColumn("rank", F.col("_b") + F.row_number().over(inside))
-    return ranked.drop("_b").join(per, "run")
+    order = [F.col("auc").desc_nulls_last(), "run", "analysis", "model"]
+    return global_positions(df, order, "rank").join(per, "run")
 
 
 def key_findings(df: DataFrame, linear=LINEAR_MODELS) -> DataFrame:

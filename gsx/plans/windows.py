@@ -90,7 +90,7 @@ def w5(spark, sf):
     "w6_mixed_order",
     f"""WITH {RESULT_SQL}
 SELECT run, analysis, model, row_number() OVER (ORDER BY CASE model WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END,
-  auc DESC, run, analysis)::INT AS position FROM res""",
+  auc DESC, run, analysis) AS position FROM res""",
 )
 def w6(spark, sf):
     key = F.when(F.col("model") == "R", 0).when(F.col("model") == "A", 1).otherwise(2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gsx.operators.bootstrap import auc_interval, replicate_auc, replicate_weights
 from gsx.operators.ordered import (
     auc,
+    global_positions,
     hash_rank,
     lookup_join,
     percentiles,
@@ -193,3 +194,10 @@ def test_interval_brackets_and_needs_ten_resamples(spark, scored):
         assert r["ci_lo"] <= r["ci_hi"]
     few = auc_interval(df, "k", "s", "y", "id", 5).first()
     assert few["n_valid"] <= 5 and few["ci_lo"] is None
+
+
+def test_global_positions_follow_a_mixed_order(spark, scored):
+    df, rows = scored
+    got = {r["id"]: r["p"] for r in global_positions(df, [F.col("s").desc(), "k", "id"], "p").collect()}
+    want = sorted(rows, key=lambda r: (-r[3], r[1], r[0]))
+    assert [got[r[0]] for r in want] == list(range(1, len(rows) + 1))
