@@ -168,7 +168,7 @@ FROM (VALUES ('o_clerk', 'absent'), ('o_orderdate', 'dropped'), ('o_custkey', 'k
 def p5_audit(spark, sf):
     df = table(spark, sf, "orders")
     audit = column_audit(df, ["o_clerk", "o_orderdate"], ["o_custkey", "o_comment"])
-    return audit.withColumn("rows", F.lit(df.count()))
+    return audit.withColumn("rows", F.lit(df.count()).cast("bigint"))
 
 
 @query(
