@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gsx.llm import exact_dedup, knn, mixing, packing, quality, secrets, simhash
+from gsx.llm import exact_dedup, knn, licenses, lm, mixing, packing, pii, quality, secrets, simhash
+
+
+#: Key of the registered query only; a real key is a parameter of the operator.
+PII_KEY = "example-key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = pii.pseudonymized(_table(spark, sf_dir, "documents"), PII_KEY)
+    return changed.select("doc_id", "text", "n_replaced")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -79,7 +96,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lm_scores": op2_lm_scores,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
