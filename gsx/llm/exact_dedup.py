@@ -152,25 +152,33 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns are kept."""
-    groups = copy_groups(docs, doc_id, text)
-    return keep_rows(docs, groups, F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256), doc_id)
+    counts = (
+        copy_groups(docs, doc_id, text)
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.count_if("kept").alias("keep"), F.count(F.lit(1)).alias("all"))
+    )
+    return keep_rows(docs, counts, doc_id, text)
+
 
+def text_digest(text) -> F.Column:
+    """sha256 of a text, NULL being empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, digest, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose verdict is ``kept``, found again by id and text digest.
 
-    ``verdicts`` has a row per row of ``docs``: doc_id, text_sha256, kept.  Only ids of
-    dropped rows are joined, so the texts are shuffled only when those are too many to
-    broadcast.  Where rows repeat an id with one text, exactly as many stay as are kept.
+def keep_rows(docs: DataFrame, counts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """As many rows of ``docs`` per id and text as ``counts`` says.
+
+    ``counts`` has doc_id, text_sha256, keep and all, the number of rows there are.  Only those
+    of which some go are joined, so the texts are shuffled only when these are too many to
+    broadcast.
     """
-    same = (
-        verdicts.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.count_if("kept").alias("_keep"), F.count(F.lit(1)).alias("_all"))
-        .filter("_keep < _all")
+    some_go = settle(
+        counts.filter("keep < all").select(
+            F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keep").alias("__keep")
+        )
     )
-    same = settle(same)
-    match = docs[doc_id].eqNullSafe(F.col("_id")) & (digest == F.col("_sha"))
-    some = docs.join(same.filter("_keep > 0"), match)
-    nth = Window.partitionBy("_id", "_sha").orderBy(F.lit(1))
-    repeated = some.withColumn("_nth", F.row_number().over(nth)).filter("_nth <= _keep")
-    return docs.join(same, match, "left_anti").union(repeated.select(*[docs[c] for c in docs.columns]))
+    match = docs[doc_id].eqNullSafe(F.col("__id")) & (text_digest(docs[text]) == F.col("__sha"))
+    repeated = docs.join(some_go.filter("__keep > 0"), match)
+    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
+    chosen = repeated.withColumn("__nth", nth).filter("__nth <= __keep")
+    return docs.join(some_go, match, "left_anti").union(chosen.select(*[docs[c] for c in docs.columns]))

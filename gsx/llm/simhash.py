@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.components import components
-from gsx.llm.exact_dedup import keep_rows
+from gsx.llm.exact_dedup import keep_rows, text_digest
 from gsx.llm.texts import word_lists
 from gsx.session import settle
 
@@ -188,17 +188,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *mo
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row, of the smallest id, of each group of near copies."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("text_sha256")
-    rows = near_groups(docs, doc_id, text, digest)
-    # the smallest digest decides where rows repeat an id
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")).alias("m"))
-    kept = rows.join(first, "root").select(
-        "doc_id",
-        "text_sha256",
-        (
-            F.col("doc_id").eqNullSafe(F.col("m.doc_id"))
-            & (F.col("text_sha256") == F.col("m.text_sha256"))
-        ).alias("kept"),
+    """``docs`` with one row, of the smallest id, of each group of near copies.
+
+    Where rows of a group repeat that id the smallest text digest decides; of rows equal in both
+    one stays.
+    """
+    rows = near_groups(docs, doc_id, text, text_digest(F.col(text)).alias("text_sha256"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")
+    first = rows.groupBy("root").agg(F.min(order).alias("m"))
+    stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_sha256") == F.col("m.text_sha256"))
+    counts = (
+        rows.join(first, "root")
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.max(stays.cast("int")).alias("keep"), F.count(F.lit(1)).alias("all"))
     )
-    return keep_rows(docs, kept, F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256), doc_id)
+    return keep_rows(docs, counts, doc_id, text)
