@@ -71,10 +71,11 @@ def _chunks(path: str):
 
         for batch in batches:
             schema = batch.schema.field("doc_id").type
-            for rid, doc_id, raw in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            found = words.each(raw.as_py() for raw in batch.column(2))
+            for rid, doc_id, pieces in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), found
             ):
-                text = np.frombuffer(b"".join(words.ids(raw.as_py())) + end, "<u4").astype("<u2")
+                text = np.frombuffer(b"".join(pieces) + end, "<u4").astype("<u2")
                 chunk = rid if chunk is None else chunk
                 ids.append(doc_id)
                 lengths.append(len(text))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ END = 2
 GRID, RATIO = 256, 1.04
 #: Rests below 1 / SHORT of the capacity are fillers.
 SHORT = 64
+_END_IDS = np.array([END], "<u4").tobytes()
 #: Rows of one hash bucket, the unit that one task ranks.
 BUCKET_ROWS = 20_000
 
@@ -143,9 +145,9 @@ def _tokenized(path: str, capacity: int, short: int):
         words = WordTokens(path)
         for batch in batches:
             counts, sums, tails = [], [], []
-            for raw in batch.column("raw"):
+            for pieces in words.each(raw.as_py() for raw in batch.column("raw")):
                 n, crcs, held = 0, [], b""
-                for ids in _with_end(words, raw.as_py()):
+                for ids in chain(pieces, (_END_IDS,)):
                     n += len(ids) // 4
                     held += ids
                     while len(held) >= 4 * capacity:
@@ -168,11 +170,6 @@ def _tokenized(path: str, capacity: int, short: int):
     return tokenized
 
 
-def _with_end(words: WordTokens, raw: bytes) -> Iterator[bytes]:
-    yield from words.ids(raw)
-    yield np.array([END], "<u4").tobytes()
-
-
 def _cut_tokens(path: str):
     """Checksums of the pieces of the documents that fill gaps."""
 
@@ -187,7 +184,7 @@ def _cut_tokens(path: str):
                 if tail.is_valid:
                     at, low, held = 0, 4 * pieces[0]["base"], [tail.as_py()]
                 else:
-                    for ids in _with_end(words, raw.as_py()):
+                    for ids in chain(words.ids(raw.as_py()), (_END_IDS,)):
                         held.append(ids[max(low - at, 0) :])
                         at += len(ids)
                 ids = b"".join(held)

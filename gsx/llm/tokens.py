@@ -1,72 +1,124 @@
 """Token ids of whole texts, word by word.
 
-The tokenizer drops white space and never joins what white space separates, so the ids of
-a text are the ids of its words one after another.  Words repeat, so their ids are
-remembered; a text with combining marks, whose case and composition depend on one another, is
-encoded in whole words without folding case first.
+The tokenizer drops white space and never joins what white space separates, nor a letter or
+digit with punctuation after it.  So a text is cut at white space and before such punctuation,
+and its ids are those of the parts one after another.  Parts repeat, so their ids are
+remembered.  A text with combining marks, whose case and composition depend on one another, is
+encoded without folding case first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from gsx.llm.texts import word_lists
+from gsx.llm.texts import byte_pieces, word_lists
 
-#: Words remembered per task.
-CACHE = 300_000
-_TAIL = b".,!?;:|%*&$#"
+#: Parts remembered per task.
+CACHE = 500_000
+#: Parts that are encoded in one call.
+CALL = 128
+#: Bytes of text that are cut at once.
+GROUP = 1 << 18
 
+_OTHER, _LETTER, _MARK, _FAR = 0, 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = _LETTER
+_CLASS[list(b".,!?;:|%*&$#")] = _MARK
+# letters of Latin scripts begin with C3, C4 or C5; other scripts are not cut
+_CLASS[0x80:0xC0] = _LETTER
+_CLASS[[0xC2, *range(0xC6, 0xFF)]] = _FAR
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
 
-class WordTokens(dict):
-    """Ids of a lower-cased word as little-endian 32-bit integers."""
+
+def spaced(data: bytes) -> bytes:
+    """A space before every plain punctuation mark that follows a letter or digit."""
+    raw = np.frombuffer(data, np.uint8)
+    kinds = _CLASS[raw]
+    letter = kinds[:-1] == _LETTER
+    if (kinds == _FAR).any() or any(s in data for s in _SIGNS):
+        letter &= raw[:-1] < 0x80
+    at = np.flatnonzero(letter & (kinds[1:] == _MARK)) + 1
+    return np.insert(raw, at, 32).tobytes() if len(at) else data
+
+
+class WordTokens:
+    """Ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        # one call for many words; spaces come back as the breaks between them
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False
-        )
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remember ``words``; a word is encoded apart from plain punctuation after it."""
-        cut, single = {}, set()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core != w and core and _letter_last(core):
-                cut[w] = (core, w[len(core) :])
-                single.update(cut[w])
-            else:
-                single.add(w)
-        todo = [w for w in single if w not in self]
-        self.update(zip(todo, self._encode(todo)))
-        for w, (core, tail) in cut.items():
-            self[w] = self[core] + self[tail]
+        """Ids of each word; many words go through one call."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        # a word of letters is one unit to the tokenizer, so such words may share a text
+        plain, mixed = [], []
+        for k, t in enumerate(texts):
+            # lower case may hold marks that the word as written does not
+            (plain if t.isalpha() and t.lower().isalpha() else mixed).append(k)
+        for at, joined in ((plain, True), (mixed, False)):
+            for low in range(0, len(at), CALL):
+                part = [texts[k] for k in at[low : low + CALL]]
+                found = self.tokenizer.encode(
+                    " ".join(part) if joined else part, is_pretokenized=not joined, add_special_tokens=False
+                )
+                data = np.array(found.ids, "<u4").tobytes()
+                of = np.array(found.word_ids, np.int64)
+                cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+                for k, a, b in zip(at[low : low + CALL], cuts[:-1], cuts[1:]):
+                    out[k] = data[a:b]
+        return out
+
+    def _found(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts that are lists of parts; what is new is encoded together."""
+        known = self.known.get
+        found = [list(map(known, parts)) for parts in texts]
+        missing = [(f, parts, k) for f, parts in zip(found, texts) if None in f
+                   for k, ids in enumerate(f) if ids is None]
+        if missing:
+            new = list({parts[k] for _, parts, k in missing})
+            learnt = dict(zip(new, self._encode(new)))
+            for f, parts, k in missing:
+                f[k] = learnt[parts[k]]
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+            self.known.update(learnt)
+        return [b"".join(f) for f in found]
 
     def ids(self, data: bytes) -> Iterator[bytes]:
         """Ids of a UTF-8 text, piece by piece."""
-        marks = b"\xcc" in data or b"\xcd" in data
-        for words in word_lists(data if marks else data.lower()):
-            if marks:
+        if b"\xcc" in data or b"\xcd" in data:
+            for words in word_lists(data):
                 yield b"".join(self._encode(words))
-                continue
-            different = set(words)
-            new = {w for w in different if w not in self}
-            if new:
-                if len(self) + 2 * len(new) > CACHE:
-                    self.clear()
-                    new = different
-                self.learn(new)
-            yield b"".join(map(self.__getitem__, words))
-
-
-def _letter_last(core: bytes) -> bool:
-    last = core.decode("utf-8", "surrogatepass")[-1]
-    return last.isalpha() or last in "0123456789"
+            return
+        for piece in byte_pieces(data):
+            yield from self._found([spaced(piece.lower()).split()])
+
+    def each(self, texts: Iterable[bytes]) -> Iterator[Iterable[bytes]]:
+        """Ids of every text in order, in pieces; short texts are encoded in groups."""
+        group: list[bytes] = []
+        size = 0
+
+        def flush() -> Iterator[Iterable[bytes]]:
+            # a byte that UTF-8 never holds keeps the texts apart
+            parts = spaced(b"\xff".join(group).lower()).split(b"\xff")
+            for ids in self._found([p.split() for p in parts]):
+                yield (ids,)
+
+        for data in texts:
+            alone = len(data) > GROUP or b"\xcc" in data or b"\xcd" in data
+            if group and (alone or size + len(data) > GROUP):
+                yield from flush()
+                group, size = [], 0
+            if alone:
+                yield self.ids(data)
+            else:
+                group.append(data)
+                size += len(data)
+        if group:
+            yield from flush()
