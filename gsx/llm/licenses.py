@@ -28,7 +28,7 @@ SURE = 0.999
 BANDS = math.ceil(math.log(1 - SURE) / math.log(1 - SIMILAR / 4))
 #: Shingles that are windowed at once.
 RUN = 40_000
-_CACHE = 400_000
+_CACHE = 100_000
 
 # fixed values: public licence notices
 TEMPLATES = {
