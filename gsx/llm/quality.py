@@ -40,7 +40,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _PIECE = 1 << 18
 _FLUSH = 1 << 20
 _ROWS = 512
-_CACHE = 400_000
+_CACHE = 60_000
 
 
 class _Slots(dict):
