@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 #: Rows of one hash bucket, the unit that one task sorts.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 def word_count(text) -> F.Column:
