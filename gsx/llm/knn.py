@@ -103,6 +103,35 @@ def _thresholds(data: list, queries: list, pivots: np.ndarray, k: int) -> dict[t
     return out
 
 
+def _merged(asks: dict, held: dict, limits: dict, points: np.ndarray) -> list[list[int]]:
+    """Query cells put together while they need nearly the same data and fit one block.
+
+    Every group that is saved is one copy of its data less to send.
+    """
+    needs = {i: {j for (a, j) in limits if a == i} for i in asks}
+    size = lambda cells: sum(held[j] for j in cells)
+    groups: list[list[int]] = []
+    open_, left = None, {i for i in asks if needs[i]}
+    while left:
+        if open_ is None:
+            open_ = [max(left, key=lambda i: (asks[i], -i))]
+            left.discard(open_[0])
+        need = set().union(*(needs[i] for i in open_))
+        room = QUERY_BLOCK - sum(asks[i] for i in open_)
+        close = sorted(left, key=lambda i: (float(((points[i] - points[open_[0]]) ** 2).sum()), i))
+        more = next(
+            (i for i in close if asks[i] <= room
+             and size(need | needs[i]) <= 1.25 * max(size(needs[i]), size(need))), None
+        )
+        if more is None:
+            groups.append(open_)
+            open_ = None
+        else:
+            open_.append(more)
+            left.discard(more)
+    return groups + ([open_] if open_ else [])
+
+
 def _solve(k: int, width: int):
     def solved(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         names = ["qrid", "query_id", "vec_id", "score"]
@@ -186,16 +215,21 @@ def top_k(
     # a query group meets its data in blocks: at most PIVOTS x PIVOTS rows of thresholds
     held = {r["cell"]: r["n"] for r in summary}
     asks = {r["cell"]: r["n"] for r in groups}
-    table = []
-    for i in asks:
-        total = sum(held[j] for (a, j) in limits if a == i)
-        parts, blocks = -(-total // DATA_BLOCK), -(-asks[i] // QUERY_BLOCK)
-        table += [(i, j, limits[i, j], parts, blocks) for (a, j) in limits if a == i]
+    table, members = [], []
+    for cells in _merged(asks, held, limits, points):
+        least: dict[int, float] = {}
+        for (i, j), at in limits.items():
+            if i in cells:
+                least[j] = min(at, least.get(j, np.inf))
+        parts = -(-sum(held[j] for j in least) // DATA_BLOCK)
+        blocks = -(-sum(asks[i] for i in cells) // QUERY_BLOCK)
+        table += [(cells[0], j, at, parts, blocks) for j, at in least.items()]
+        members += [(i, cells[0], parts, blocks) for i in cells]
     spark = vectors.sparkSession
     bounds = F.broadcast(
         spark.createDataFrame(table, "grp int, cell int, least double, parts int, blocks int")
     )
-    per_group = F.broadcast(bounds.select("grp", "parts", "blocks").distinct())
+    per_group = F.broadcast(spark.createDataFrame(members, "cell int, grp int, parts int, blocks int"))
     salt = F.xxhash64(F.lit(1), "rid")
     sent = (
         data.join(bounds, "cell")
@@ -205,8 +239,7 @@ def top_k(
         .select("grp", "part", "block", "rid", "vec_id", "v")
     )
     asking = (
-        asked.withColumnRenamed("cell", "grp")
-        .join(per_group, "grp")
+        asked.join(per_group, "cell")
         .withColumn("block", F.pmod(salt, F.col("blocks")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("grp", "part", "block", "rid", "vec_id", "v")
