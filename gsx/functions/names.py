@@ -15,18 +15,35 @@ NAME_CLASSES = (
     ("LSF/LPC", ("lsf", "lpc", "lsp")),
 )
 OTHER_CLASS = "Other"
-# Functional suffixes of feature names; ``#`` stands for digits.
+# Patterns of the functional suffixes of feature names.
 FUNCTIONALS = (
-    "amean", "stddev", "skewness", "kurtosis", "percentile#", "min", "max", "range",
-    "upleveltime#", "rlowleveltime#", "quartile#", "iqr", "iqr#", "linregc#", "linregerrA",
-    "linregerrQ", "stddevFallingSlope", "stddevRisingSlope", "meanFallingSlope",
-    "meanRisingSlope", "numPeaks", "numSegments",
+    r"amean",
+    r"stddev",
+    r"skewness",
+    r"kurtosis",
+    r"percentile\d+(\.\d+)?",
+    r"min",
+    r"max",
+    r"range",
+    r"upleveltime\d+",
+    r"rlowleveltime\d+",
+    r"quartile\d+",
+    r"iqr\d+(-\d+)?",
+    r"linregc\d+",
+    r"linregerrA",
+    r"linregerrQ",
+    r"stddevFallingSlope",
+    r"stddevRisingSlope",
+    r"meanFallingSlope",
+    r"meanRisingSlope",
+    r"numPeaks",
+    r"numSegments",
 )
 # Substring groups.
 PROSODY_TOKENS = ("f0", "pitch", "jitter", "shimmer", "hnr", "nhr")
 SPECTRAL_TOKENS = ("mfcc", "lsp", "spectral", "zcr", "energy", "loudness")
 
-SUFFIX_PATTERN = "(?i)_(" + "|".join(f.replace("#", r"[\d.-]+") for f in FUNCTIONALS) + ")$"
+SUFFIX_PATTERN = "(?i)_(" + "|".join(FUNCTIONALS) + ")$"
 
 
 def name_class(name: Column, classes=NAME_CLASSES, other: str = OTHER_CLASS) -> Column:
@@ -59,11 +76,18 @@ def padded_code(prefix: str, code: Column, width: int = 4, skip: int = 1) -> Col
 
 
 def first_part_in(path: Column, labels, sep: str = "/") -> Column:
-    """Label of the first path part found in ``labels`` (token -> value), else NULL."""
-    parts = F.transform(F.split(path, sep), lambda p: F.lower(p))
-    hits = F.filter(parts, lambda p: p.isin(*[k.lower() for k in labels]))
-    table = F.create_map(*[F.lit(x) for k, v in labels.items() for x in (k.lower(), v)])
-    return F.when(F.size(hits) > 0, table[F.get(hits, F.lit(0))])
+    """Label of the first path part that is a token of ``labels`` (token -> value) or begins
+    with a token and an underscore, else NULL (S2)."""
+
+    def label(part: Column) -> Column:
+        out = F.lit(None)
+        for token, value in labels.items():
+            hit = (part == token.lower()) | part.startswith(token.lower() + "_")
+            out = F.when(hit, value).otherwise(out)
+        return out
+
+    found = F.transform(F.split(path, sep), lambda p: label(F.lower(p)))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 def part_after(path: Column, anchor, sep: str = "/") -> Column:

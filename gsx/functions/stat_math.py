@@ -41,7 +41,3 @@ def cohen_d(n_a, n_b, mean_a, mean_b, sd_a, sd_b) -> Column:
     """Absolute difference of means over the pooled sample deviation (ddof 1)."""
     within = (n_a - 1) * sd_a * sd_a + (n_b - 1) * sd_b * sd_b
     return F.abs(mean_a - mean_b) / (F.sqrt(F.try_divide(within, n_a + n_b - 2)) + 1e-10)
-
-
-def round_to(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits)

@@ -150,12 +150,12 @@ def replicate_auc(
     rows = (
         df.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
         .select(
-            *[F.col(k).cast("string").alias(k) for k in keys],
+            # a missing key differs from an empty one
+            *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(k) for k in keys],
             F.col(score).cast("double").alias("score"),
             F.col(label).cast("int").alias("y"),
             hash_int(seed, *ids).alias("h"),
         )
-        .na.fill("", subset=keys)
         .repartitionByRange(parts, *keys, "score", "h")
         .sortWithinPartitions(*keys, "score")
     )
@@ -184,8 +184,10 @@ def replicate_auc(
         .groupBy(*keys, "rep")
         .agg(F.sum("_u").alias("u"), F.sum(p).alias("p"), F.sum(n).alias("n"))
     )
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    own = [F.when(F.col(k) != "", F.substring(k, 2, 2**31 - 1)).cast(kind[k]).alias(k) for k in keys]
     return total.select(
-        *keys, "rep", F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc")
+        *own, "rep", F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc")
     ).filter("auc IS NOT NULL")
 
 

@@ -22,17 +22,13 @@ def exclusion_report(df: DataFrame, domain: str, excluded) -> DataFrame:
     return (
         df.groupBy(domain)
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("excluded", F.col(domain).isin(*excluded))
+        .withColumn("excluded", F.coalesce(F.col(domain).isin(*excluded), F.lit(False)))
     )
 
 
 def exclude_domains(df: DataFrame, domain: str, excluded) -> DataFrame:
-    return df.filter(~F.col(domain).isin(*excluded))
-
-
-def split_domains(df: DataFrame, domain: str, names) -> dict[str, DataFrame]:
-    """One frame per domain."""
-    return {n: df.filter(F.col(domain) == n) for n in names}
+    """Rows of all other domains; a row without a domain stays."""
+    return df.filter(~F.coalesce(F.col(domain).isin(*excluded), F.lit(False)))
 
 
 def domain_presence(df: DataFrame, domain: str, names) -> DataFrame:
@@ -49,14 +45,6 @@ def domain_presence(df: DataFrame, domain: str, names) -> DataFrame:
     )
 
 
-def require_same_schema(a: DataFrame, b: DataFrame) -> None:
-    """Raise when two domains differ in column names or types."""
-    left = [(f.name, f.dataType) for f in a.schema.fields]
-    right = [(f.name, f.dataType) for f in b.schema.fields]
-    if left != right:
-        raise ValueError(f"schemas differ: {left} / {right}")
-
-
 def keep_columns(df: DataFrame, meta, wanted) -> tuple[DataFrame, list[str]]:
     """Meta plus the available wanted columns, and the names that are missing (P5)."""
     have = [c for c in wanted if c in df.columns]
@@ -87,8 +75,8 @@ def substring_groups(names: DataFrame, groups=None, name="feature") -> DataFrame
 def prefix_groups(names: DataFrame, groups: dict, wanted=None, name="feature") -> DataFrame:
     """(group, feature): names starting with any prefix of a group.
 
-    Case is ignored.  An unknown wanted group raises; so does a group without a match
-    when the caller checks :func:`empty_groups`.
+    Case is ignored.  An unknown wanted group raises; so does, when the result is read, a
+    group that matches no name.
     """
     wanted = list(groups) if wanted is None else list(wanted)
     unknown = [g for g in wanted if g not in groups]
@@ -102,15 +90,14 @@ def prefix_groups(names: DataFrame, groups: dict, wanted=None, name="feature") -
         return out
 
     hits = [F.when(hit(groups[g]), F.lit(g)) for g in wanted]
-    return names.select(
+    found = names.select(
         F.explode(F.array_compact(F.array(*hits))).alias("group_name"), F.col(name)
     ).distinct()
-
-
-def empty_groups(grouped: DataFrame, wanted) -> list[str]:
-    """Wanted groups that matched no name; at most ``len(wanted)`` rows are read."""
-    seen = {r[0] for r in grouped.select("group_name").distinct().limit(len(wanted)).collect()}
-    return [g for g in wanted if g not in seen]
+    # one row per wanted group
+    asked = F.broadcast(names.sparkSession.createDataFrame([(g,) for g in wanted], "_group string"))
+    checked = found.join(asked, F.col("group_name") == F.col("_group"), "right")
+    stop = F.raise_error(F.concat(F.lit("no feature matches group "), F.col("_group"))).cast("string")
+    return checked.select(F.coalesce(F.col("group_name"), stop).alias("group_name"), name)
 
 
 def classified(names: DataFrame, name="feature") -> DataFrame:
@@ -228,8 +215,3 @@ def numbered(names: DataFrame, name="feature") -> DataFrame:
         (F.row_number().over(Window.orderBy(name)) - 1).alias("pos"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
     )
-
-
-def attach(df: DataFrame, table: DataFrame, keys, how="left") -> DataFrame:
-    """Lookup of per-key values (J2, J4), safe for hot keys."""
-    return lookup_join(df, table, keys, how)

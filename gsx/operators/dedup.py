@@ -19,11 +19,13 @@ def vector_md5(features, digits: int = 4) -> Column:
 
     Rounded values are compared as whole numbers of 10^-digits, so -0.0 and 0.0 agree.
     """
-    cells = [
-        F.coalesce(F.round(F.col(f) * 10**digits).cast("bigint").cast("string"), F.lit("null"))
-        for f in features
-    ]
-    return F.md5(F.concat_ws(",", *cells))
+    return F.md5(F.concat_ws(",", *[_whole(F.col(f), digits) for f in features]))
+
+
+def _whole(value: Column, digits: int) -> Column:
+    """A number in units of 10^-digits as text; one too large for 38 digits as it prints."""
+    scaled = F.round(value.cast("double") * 10.0**digits)
+    return F.coalesce(scaled.try_cast("decimal(38,0)").cast("string"), scaled.cast("string"), F.lit("null"))
 
 
 def first_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFrame:
@@ -41,10 +43,22 @@ def first_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFram
 def drop_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFrame:
     """Keep the first row of every group of copies (L1).
 
-    ``order_key`` is unique, so joining the winners back has no hot key.
+    Rows that repeat both the content and the order key are one row.  They are counted
+    first, so only they are compared as whole rows.
     """
-    kept = first_copies(df, fingerprint, order_key).select(F.col("kept").alias(order_key))
-    return df.join(kept, order_key, "left_semi")
+    per_key = (
+        df.select(fingerprint.alias("_fp"), F.col(order_key).alias("_key"))
+        .groupBy("_fp", "_key")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    first = F.min(F.struct(F.col("_key").isNull(), "_key", "_n"))
+    kept = per_key.groupBy("_fp").agg(first.alias("_first")).select("_fp", "_first._key", "_first._n")
+    winners = df.withColumn("_own", fingerprint).join(
+        kept, (F.col("_own") == F.col("_fp")) & F.col(order_key).eqNullSafe(F.col("_key"))
+    )
+    single = winners.filter("_n = 1").select(*df.columns)
+    repeated = winners.filter("_n > 1").dropDuplicates(["_own"]).select(*df.columns)
+    return single.unionByName(repeated)
 
 
 def copy_report(
@@ -153,16 +167,20 @@ def split_overlap(train: DataFrame, test: DataFrame, keys) -> DataFrame:
 def run_pair_matches(results: DataFrame, run: str, keys, metrics, tolerance=1e-6) -> DataFrame:
     """(run_a, run_b, n_match): common keys on which all metrics agree within tolerance.
 
-    A row meets only rows whose first metric lies in its own or a neighbouring cell of
-    width ``tolerance``, so unlike runs never pair up.
+    A row meets only rows whose first three metrics lie in its own or a neighbouring cell of
+    width ``tolerance``, so a value that many runs share does not pair them up.  Two missing
+    values agree.
     """
-    first = metrics[0]
-    cell = F.floor(F.col(first) / tolerance)
+    cells = [f"cell_{i}" for i in range(min(len(metrics), 3))]
+    # a missing value has a cell of its own, far from all others
+    at = [F.coalesce(F.floor(F.col(m) / tolerance), F.lit(-(2**62))) for m in metrics[: len(cells)]]
     values = [F.col(m) for m in metrics]
-    base = results.select(F.col(run).alias("run"), *keys, *values, cell.alias("cell"))
-    left = base.withColumnsRenamed({"run": "run_a", **{m: f"{m}_a" for m in metrics}}).withColumn(
-        "cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+    base = results.select(
+        F.col(run).alias("run"), *keys, *values, *[a.alias(c) for a, c in zip(at, cells)]
     )
+    left = base.withColumnsRenamed({"run": "run_a", **{m: f"{m}_a" for m in metrics}})
+    for c in cells:
+        left = left.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     right = base.withColumnsRenamed({"run": "run_b", **{m: f"{m}_b" for m in metrics}})
     near = F.lit(True)
     for m in metrics:
@@ -171,7 +189,7 @@ def run_pair_matches(results: DataFrame, run: str, keys, metrics, tolerance=1e-6
             (gap <= tolerance) | (F.col(f"{m}_a").isNull() & F.col(f"{m}_b").isNull())
         )
     return (
-        left.join(right, [*keys, "cell"])
+        left.join(right, [*keys, *cells])
         .filter((F.col("run_a") < F.col("run_b")) & near)
         .groupBy("run_a", "run_b")
         .agg(F.count(F.lit(1)).alias("n_match"))
@@ -180,10 +198,7 @@ def run_pair_matches(results: DataFrame, run: str, keys, metrics, tolerance=1e-6
 
 def run_fingerprints(results: DataFrame, run: str, keys, metrics, digits: int = 9) -> DataFrame:
     """(run, fingerprint): an order-free hash of a run's rows, merged from partial sums."""
-    cells = [
-        F.coalesce(F.round(F.col(m) * 10**digits).cast("bigint").cast("string"), F.lit("null"))
-        for m in metrics
-    ]
+    cells = [_whole(F.col(m), digits) for m in metrics]
     row = hash_int("run", F.concat_ws("|", *[F.col(k) for k in keys], *cells))
     return (
         results.select(F.col(run).alias("run"), row.alias("h"))

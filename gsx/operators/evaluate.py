@@ -105,7 +105,8 @@ def on_grid(score: Column, digits: int = SCORE_DIGITS) -> Column:
 def with_cell_folds(df: DataFrame, label, group, domain, k=5, seed=42) -> DataFrame:
     """Group folds inside each domain (``fold``) and over all rows (``fold_all``).
 
-    Both are dealt from one table of groups and come back in one join.
+    Both are dealt from one table of groups.  Rows of a domain with too few groups, and
+    rows without a group, stay with a NULL fold.
     """
     groups = settle(group_table(df, group, label, [domain]))
     inner = deal_folds(groups, group, k, seed, [domain]).select(domain, group, "fold")
@@ -113,8 +114,9 @@ def with_cell_folds(df: DataFrame, label, group, domain, k=5, seed=42) -> DataFr
         F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
     )
     pooled = deal_folds(merged, group, k, seed).select(group, F.col("fold").alias("fold_all"))
-    # one row per (domain, group) on the left, so no group is hot here
-    return lookup_join(df, inner.join(pooled, group), [domain, group])
+    # one row per (domain, group), so no group is hot here
+    folds = groups.select(domain, group).join(inner, [domain, group], "left").join(pooled, group, "left")
+    return lookup_join(df, folds.filter(F.col(group).isNotNull()), [domain, group], "left")
 
 
 def class_sums(df: DataFrame, features, label, by) -> DataFrame:
@@ -139,7 +141,7 @@ def _training_sets(domain: str, k: int, combined: str = COMBINED) -> Column:
 
     def sets(name: Column, fold: str):
         every = F.sequence(F.lit(FULL), F.lit(k - 1))
-        others = F.filter(every, lambda h: h != F.col(fold))
+        others = F.filter(every, lambda h: ~h.eqNullSafe(F.col(fold)))
         return F.transform(others, lambda h: F.struct(name.alias("train"), h.alias("holdout")))
 
     return F.concat(sets(F.col(domain), "fold"), sets(F.lit(combined), "fold_all"))
@@ -169,7 +171,7 @@ def fit_moments(df: DataFrame, features, label, domain, k=5) -> DataFrame:
         "_f",
         F.col("_m").alias("m"),
         F.when(std > 0, std).otherwise(1.0).alias("s"),
-        F.when(F.col("_up"), 1.0).otherwise(-1.0).alias("g"),
+        F.when(F.col("_up"), 1.0).when(~F.col("_up"), -1.0).alias("g"),
     )
     rows = per.groupBy("train", "holdout").agg(F.sort_array(F.collect_list(entry)).alias("_p"))
     return rows.select(
@@ -184,8 +186,9 @@ def fit_moments(df: DataFrame, features, label, domain, k=5) -> DataFrame:
 def baseline_score(features, fitted=None) -> Column:
     """Mean signed z-score (M21) of ``features`` with parameters of the ``fitted`` ones.
 
-    A missing value counts as the training mean.  Rounded to nine digits, so equal
-    scores stay equal whatever the order of sums.
+    A missing value counts as the training mean, and so does a feature that one class of
+    the training rows has no value of; with one class only there is no score.  Rounded to
+    nine digits, so equal scores stay equal whatever the order of sums.
     """
     at = {f: i for i, f in enumerate(fitted or features)}
     total = F.lit(0.0)
@@ -193,7 +196,8 @@ def baseline_score(features, fitted=None) -> Column:
         i = at[f]
         z = F.col("sign")[i] * (F.col(f).cast("double") - F.col("mean")[i]) / F.col("std")[i]
         total = total + F.coalesce(z, F.lit(0.0))
-    return on_grid(total / len(features))
+    directed = F.coalesce(*[F.col("sign")[at[f]] for f in features]).isNotNull()
+    return F.when(directed, on_grid(total / len(features)))
 
 
 # --- cells ------------------------------------------------------------------------------
@@ -202,8 +206,8 @@ def baseline_score(features, fitted=None) -> Column:
 def cell_rows(df: DataFrame, domain: str, domains, combined: str = COMBINED) -> DataFrame:
     """Rows repeated for every (train, test) cell they are tested in.
 
-    The diagonal uses the parameters fitted without the row's fold; other cells use the
-    whole training set.  A row meets its own domain's tests and the pooled one only.
+    The diagonal uses the parameters fitted without the row's fold and leaves out rows
+    without one; other cells use the whole training set.  A row meets its own domain's tests and the pooled one only.
     """
     trains = F.array(*[F.lit(d) for d in [*domains, combined]])
 
@@ -226,6 +230,7 @@ def cell_rows(df: DataFrame, domain: str, domains, combined: str = COMBINED) ->
         .withColumn("_cell", F.explode(every))
         .select("*", "_cell.*")
         .drop("_cell")
+        .filter("holdout IS NOT NULL")
         .withColumn("seen_in_training", seen)
     )
 

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
@@ -306,10 +306,10 @@ def estimator(name: str, n_rows: int, seed: int = SEED):
             regParam=1.0 / (0.05 * n), standardization=False, maxIter=50, tol=1e-4, **w
         ),
         "decision_tree": lambda: DecisionTreeClassifier(
-            maxDepth=15, minInstancesPerNode=5, seed=seed, **w
+            maxDepth=15, minInstancesPerNode=2, seed=seed, **w
         ),
         "shallow_tree": lambda: DecisionTreeClassifier(
-            maxDepth=8, minInstancesPerNode=5, seed=seed, **w
+            maxDepth=8, minInstancesPerNode=2, seed=seed, **w
         ),
         "random_forest": lambda: RandomForestClassifier(numTrees=150, maxDepth=20, seed=seed, **w),
         "forest_500": lambda: RandomForestClassifier(numTrees=500, maxDepth=30, seed=seed, **w),
@@ -322,7 +322,7 @@ def estimator(name: str, n_rows: int, seed: int = SEED):
             maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, **w
         ),
         "boosting_150": lambda: GBTClassifier(
-            maxIter=150, maxDepth=7, stepSize=0.1, subsamplingRate=0.8, seed=seed, **w
+            maxIter=150, maxDepth=7, stepSize=0.05, subsamplingRate=0.8, seed=seed, **w
         ),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **w),
     }
@@ -572,16 +572,21 @@ def stacked_on_target(
 
 
 def refit_and_save(df: DataFrame, features, label, name: str, path: str, **kw):
-    """Fit on all rows and persist as a Spark ML pipeline."""
-    clean = df.na.drop(subset=list(features)).withColumn("label_v", F.col(label).cast("double"))
-    n = clean.count()
-    clean = sized(weighted(clean), n)
-    asm = VectorAssembler(inputCols=list(features), outputCol="_raw")
+    """Fit on all rows and persist as a Spark ML pipeline that imputes medians first."""
+    names = [f"_in_{f}" for f in features]
+    rows = df.withColumn("label_v", F.col(label).cast("double"))
+    n = rows.count()
+    clean = sized(weighted(rows), n)
+    cast = SQLTransformer(
+        statement="SELECT *, " + ", ".join(f"CAST(`{f}` AS DOUBLE) AS `_in_{f}`" for f in features) + " FROM __THIS__"
+    )
+    fill = Imputer(strategy="median", inputCols=names, outputCols=[f"_full_{f}" for f in features])
+    asm = VectorAssembler(inputCols=[f"_full_{f}" for f in features], outputCol="_raw")
     scale = StandardScaler(withMean=True, inputCol="_raw", outputCol="features_v")
     est = estimator(name, n)
     for key, value in kw.items():
         est = est.copy({est.getParam(key): value})
-    model = Pipeline(stages=[asm, scale, est]).fit(clean)
+    model = Pipeline(stages=[cast, fill, asm, scale, est]).fit(clean)
     model.write().overwrite().save(path)
     return model
 

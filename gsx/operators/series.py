@@ -185,7 +185,7 @@ def spread(df: DataFrame, series="series", value="value", hot_rows: int = HOT_RO
 
 
 def _moving(w, column, reach):
-    """Centred mean over ``2 * reach + 1`` rows; NULL near the ends."""
+    """Centred mean over ``2 * reach + 1`` rows; NULL near the ends and beside a missing value."""
     framed = w.rowsBetween(-reach, reach)
     full = F.count(column).over(framed) == 2 * reach + 1
     return F.when(full, F.avg(column).over(framed))
@@ -207,10 +207,12 @@ def perturbation(
 
     Relative mean deviations from the previous cycle (local) and from centred means
     over 3, 5 and 11 cycles.  A neighbour pair counts only when both periods are within
-    limits and their ratio stays below the factor.
+    limits and their ratio stays below the factor; a mean only when all its periods are.
+    A cycle outside the limits stays in its place, so its neighbours never meet.
     """
     p, a = F.col(period), F.col(amplitude)
-    cycles = df.filter(p.between(floor, ceiling))
+    valid = p.between(floor, ceiling)
+    cycles = df.withColumns({period: F.when(valid, p), amplitude: F.when(valid, a)})
 
     def around(w):
         return {
@@ -235,7 +237,7 @@ def perturbation(
         return F.try_divide(F.avg(diff), F.avg(base))
 
     out = near.groupBy(series).agg(
-        F.count(F.lit(1)).alias("n_cycles"),
+        F.count(period).alias("n_cycles"),
         relative(F.when(steady, F.abs(p - F.col("_pp"))), p).alias("jitter_local"),
         relative(F.when(steady, F.abs(p - F.col("_p3"))), p).alias("jitter_rap"),
         relative(F.when(steady, F.abs(p - F.col("_p5"))), p).alias("jitter_ppq5"),

@@ -350,11 +350,6 @@ def overlap_counts(ranking: DataFrame, a: str, b: str, cutoffs) -> DataFrame:
     )
 
 
-def quartile_table(long: DataFrame, keys, value="value") -> DataFrame:
-    """Exact quartiles per key."""
-    return percentiles(long, keys, value, (0.25, 0.5, 0.75))
-
-
 def max_row(df: DataFrame, keys, by: Column) -> DataFrame:
     """The whole row with the largest ``by`` per key, combined on the map side."""
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), by).alias("_r"))

@@ -103,7 +103,7 @@ def p1(spark, sf):
 
 @query(
     "p1_rows_after_exclusion",
-    "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('fr', 'es')",
+    "SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'es')",
 )
 def p1_rows(spark, sf):
     return exclude_domains(table(spark, sf, "documents"), "lang", ["fr", "es"]).select(

@@ -49,23 +49,29 @@ VEC_HASH = "concat_ws(',', round(quantity * 10000)::BIGINT, round(discount * 100
 
 @query(
     "l2_vector_dedup",
-    f"""WITH {LINE_SQL},
-u AS (SELECT row_id, min(domain) AS domain, min(quantity) AS quantity, min(discount) AS discount, min(tax) AS tax
-      FROM line GROUP BY 1 HAVING count(*) = 1)
-SELECT row_id, domain FROM u WHERE domain <> 'F'
+    f"""WITH {LINE_SQL}
+SELECT row_id, domain FROM line WHERE domain <> 'F'
 UNION ALL
-SELECT min(row_id), 'F' FROM u WHERE domain = 'F' GROUP BY {VEC_HASH}""",
+SELECT min(row_id), 'F' FROM line WHERE domain = 'F' GROUP BY {VEC_HASH}""",
 )
 def l2(spark, sf):
-    """Vectors repeated inside domain F; row ids that occur twice are set aside first."""
+    """Vectors repeated inside domain F; some row ids occur twice."""
     rows = line_features(spark, sf)
-    single = (
-        rows.groupBy("row_id")
-        .agg(F.count(F.lit(1)).alias("c"), *[F.min(c).alias(c) for c in ("domain", *VECTOR)])
-        .filter("c = 1")
-        .drop("c")
-    )
-    return drop_copies_in_domain(single, "domain", "F", VECTOR, "row_id").select("row_id", "domain")
+    return drop_copies_in_domain(rows, "domain", "F", VECTOR, "row_id").select("row_id", "domain")
+
+
+@query(
+    "l2_vector_report",
+    f"""WITH {LINE_SQL},
+f AS (SELECT row_id, domain, label, min(row_id) OVER (PARTITION BY {VEC_HASH}) AS kept_id
+      FROM line WHERE domain = 'F')
+SELECT kept_id, 'F' AS kept_domain, row_id AS removed_id, domain AS removed_domain, label
+FROM f WHERE row_id <> kept_id""",
+)
+def l2_report(spark, sf):
+    """Rows of domain F whose vector an earlier row has, with that row."""
+    inside = line_features(spark, sf).filter("domain = 'F'")
+    return copy_report(inside, vector_md5(VECTOR), "row_id", "domain", "label").drop("fingerprint")
 
 
 @query(

@@ -7,10 +7,12 @@ from gsx.operators.joins import latest_per_key
 from gsx.plans.base import r6, registry, table
 from gsx.session import scratch_path
 from gsx.sources.scan import (
+    CORRUPT,
     load_log,
     manifest,
     promote_header,
     read_csv,
+    scan_runs,
     with_run_parts,
 )
 from gsx.sources.sinks import write_csv, write_json, write_table
@@ -157,10 +159,9 @@ def s8(spark, sf):
     # partition folders are named run=<name>; the nested level plays the fixed subfolder
     rows = result_rows(spark, sf).withColumn("sub", F.lit("csv_results"))
     write_csv(rows.repartition("run"), root, ["run", "sub"])
-    schema = "analysis string, model string, accuracy double, f1 double, auc double, mcc double"
-    table_ = read_csv(spark, f"{root}/*/*/*.csv", schema, keep_bad_rows=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1)
-    return table_.withColumn("run", name).select("run", "analysis", "model", "accuracy", "auc")
+    return scan_runs(spark, root, files="*/*/*.csv").select(
+        "run", "analysis", "model", "accuracy", "auc"
+    )
 
 
 @query(
@@ -180,15 +181,23 @@ def s9(spark, sf):
 @query(
     "s10_load_log",
     """
-SELECT s.s_suppkey AS run, count(l.l_suppkey) > 0 AS found, count(l.l_suppkey)::BIGINT AS rows_loaded,
-  CASE WHEN count(l.l_suppkey) = 0 THEN 'no summary file' END AS error
-FROM supplier s LEFT JOIN (SELECT * FROM lineitem WHERE l_extendedprice > 104000) l
-  ON s.s_suppkey = l.l_suppkey GROUP BY 1""",
+SELECT run, n IS NOT NULL AS found, run IN (SELECT c_nationkey FROM customer) AS json_found,
+  coalesce(n - bad, 0)::BIGINT AS rows_loaded,
+  CASE WHEN n IS NULL THEN 'no summary file' WHEN bad > 0 THEN bad || ' rows not parsed'
+       WHEN n = bad THEN 'empty summary file' END AS error
+FROM (SELECT DISTINCT 2 * s_suppkey AS run FROM supplier)
+LEFT JOIN (SELECT l_suppkey AS run, count(*) AS n, count(*) FILTER (l_quantity = 50 AND l_suppkey % 4 = 0) AS bad
+           FROM lineitem GROUP BY 1) USING (run)""",
 )
 def s10(spark, sf):
-    expected = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("run"))
-    loaded = table(spark, sf, "lineitem").filter("l_extendedprice > 104000")
-    return load_log(expected, loaded.select(F.col("l_suppkey").alias("run")))
+    """Every other expected run has no lines; full quantities of some stand for bad rows."""
+    expected = table(spark, sf, "supplier").select((2 * F.col("s_suppkey")).alias("run")).distinct()
+    broken = (F.col("l_quantity") == 50) & (F.col("l_suppkey") % 4 == 0)
+    loaded = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("run"), F.when(broken, F.lit("?")).alias(CORRUPT)
+    )
+    json_runs = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("run"))
+    return load_log(expected, loaded, json_runs)
 
 
 @query(

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gsx.functions import names
 from gsx.operators import columns, dedup, evaluate, joins, models, report, series, split, stats
+from gsx.operators.bootstrap import auc_interval
 from gsx.operators.ordered import auc
 from gsx.schema import FeatureSchema, nan_to_null, to_long
-from gsx.sources.scan import read_csv, scan_files, scan_runs, with_run_parts
+from gsx.sources.scan import promote_header, read_csv, scan_files, scan_runs, with_run_parts
 
 
 def test_nan_becomes_null_and_roles_are_numeric(spark):
@@ -21,19 +23,13 @@ def test_nan_becomes_null_and_roles_are_numeric(spark):
         roles.check(df.drop("f"))
 
 
-def test_same_schema_check(spark):
-    a = spark.createDataFrame([(1, 2.0)], "x int, y double")
-    columns.require_same_schema(a, a)
-    with pytest.raises(ValueError):
-        columns.require_same_schema(a, a.withColumn("y", F.col("y").cast("int")))
-
-
 def test_unknown_and_empty_prefix_groups(spark):
     names = spark.createDataFrame([("MFCC_1",), ("zcr",)], "feature string")
     with pytest.raises(KeyError):
         columns.prefix_groups(names, {"a": ["mfcc"]}, ["b"])
-    grouped = columns.prefix_groups(names, {"a": ["mfcc"], "b": ["f0"]})
-    assert columns.empty_groups(grouped, ["a", "b"]) == ["b"]
+    assert columns.prefix_groups(names, {"a": ["mfcc"]}).count() == 1
+    with pytest.raises(Exception, match="no feature matches group b"):
+        columns.prefix_groups(names, {"a": ["mfcc"], "b": ["f0"]}).collect()
 
 
 def test_exact_and_vector_dedup_are_idempotent_and_see_null_vectors(spark):
@@ -62,11 +58,11 @@ def test_hot_group_of_copies(spark):
 
 
 def test_neutral_ids_do_not_keep_the_label_order(spark):
-    ids = [(f"healthy_{i}",) for i in range(50)] + [(f"parkinsons_{i}",) for i in range(50)]
+    ids = [(f"low_{i}",) for i in range(50)] + [(f"up_{i}",) for i in range(50)]
     out = dedup.neutral_ids(spark.createDataFrame(ids, "id string"), "id", "vd_").collect()
     ranks = {r["id"]: int(r["neutral_id"][3:]) for r in out}
     assert sorted(ranks.values()) == list(range(1, 101))
-    assert sum(ranks[f"healthy_{i}"] <= 50 for i in range(50)) < 45
+    assert sum(ranks[f"low_{i}"] <= 50 for i in range(50)) < 45
 
 
 def test_group_folds_keep_groups_whole_and_cover_rows(spark):
@@ -221,19 +217,20 @@ def test_soft_vote_needs_three_models(spark):
 def test_file_and_run_scans(spark, tmp_path):
     (tmp_path / "wav" / "x").mkdir(parents=True)
     (tmp_path / "wav" / "x" / "a.wav").write_bytes(b"one")
-    (tmp_path / "wav" / "b.wav").write_bytes(b"one")
+    (tmp_path / "wav" / "b.WAV").write_bytes(b"one")
     (tmp_path / "wav" / "c.txt").write_bytes(b"two")
     files = scan_files(spark, str(tmp_path / "wav")).collect()
     assert len(files) == 2 and len({f["file_md5"] for f in files}) == 1
     for run in ("evaluation_features_full_8k_2024", "other"):
         folder = tmp_path / "runs" / run / "csv_results"
         folder.mkdir(parents=True)
+        (folder / "other.csv").write_text("analysis,model\nB,x\n")
         (folder / "analysis_summary.csv").write_text("analysis,model,accuracy,f1,auc,mcc\nA,lr,0.5,0.4,0.6,0.1\nA,rf,bad,0.4,0.6,0.1\n")
     rows = with_run_parts(scan_runs(spark, str(tmp_path / "runs")))
     got = {(r["run"], r["feature_set"], r["sample_rate"]) for r in rows.collect()}
     assert got == {("evaluation_features_full_8k_2024", "full", "8k"), ("other", None, None)}
     assert sum(r["_corrupt"] is not None for r in rows.collect()) == 2
-    assert read_csv(spark, str(tmp_path / "runs" / "*" / "*"), "analysis string").count() == 4
+    assert read_csv(spark, str(tmp_path / "runs" / "*" / "*" / "analysis_summary.csv"), "analysis string").count() == 4
 
 
 def test_duplicate_runs_and_anomalies(spark):
@@ -254,3 +251,72 @@ def test_union_differs_from_each_source_and_cells_are_complete(spark):
     assert both.count() == 2 and both.filter("x IS NULL").count() == 1
     assert joins.transfer_cells(both, "d").count() == 9
     assert to_long(a, ["d"], ["x"]).first()["value"] == 1.0
+
+
+def test_rows_without_a_domain_or_first_value_stay(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, d string")
+    assert sorted(r["id"] for r in columns.exclude_domains(df, "d", ["a"]).collect()) == [2, 3]
+    report = {r["d"]: r["excluded"] for r in columns.exclusion_report(df, "d", ["a"]).collect()}
+    assert report == {"a": True, None: False, "b": False}
+    text = spark.createDataFrame([("head", "x"), (None, "1"), ("k", "2")], "a string, b string")
+    assert promote_header(text, "head", ["code", "score"], ["score"]).count() == 2
+
+
+def test_copies_with_a_repeated_order_key(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x"), (1, "z")], "id int, t string")
+    kept = dedup.drop_copies(df, dedup.content_md5("t"), "id").collect()
+    assert sorted((r["id"], r["t"]) for r in kept) == [(1, "x"), (1, "y"), (1, "z")]
+
+
+def test_vectors_beyond_whole_numbers_differ(spark):
+    df = spark.createDataFrame([(1, 1e16), (2, 2e16), (3, 1e300), (4, 2e300)], "id int, x double")
+    assert df.select(dedup.vector_md5(["x"]).alias("h")).distinct().count() == 4
+
+
+def test_run_pairs_with_missing_values(spark):
+    rows = [("r1", "k", None, 0.5), ("r2", "k", None, 0.5), ("r3", "k", 0.5, 0.5), ("r4", "k", 0.5 + 5e-7, 0.5)]
+    df = spark.createDataFrame(rows, "run string, key string, a double, b double")
+    got = {(r["run_a"], r["run_b"]) for r in dedup.run_pair_matches(df, "run", ["key"], ["a", "b"]).collect()}
+    assert got == {("r1", "r2"), ("r3", "r4")}
+
+
+def test_labels_by_prefix_and_stems(spark):
+    df = spark.createDataFrame([("x/PD_01/a",), ("x/pd/a",), ("x/pdx/a",), ("hc_3/pd/a",)], "p string")
+    got = [r["v"] for r in df.select(names.first_part_in(F.col("p"), {"pd": 1, "hc": 0}).alias("v")).collect()]
+    assert got == [1, 1, None, 0]
+    stems = spark.createDataFrame([("a_iqr",), ("a_iqr1-3",), ("a_percentile95.0",), ("a_percentile9-5",)], "p string")
+    got = [r["v"] for r in stems.select(names.name_stem(F.col("p")).alias("v")).collect()]
+    assert got == ["a_iqr", "a", "a", "a_percentile9-5"]
+
+
+def test_small_domains_and_one_class_training(spark):
+    rows = [(i, f"g{i % 20}", "A", i % 2, float(i % 7)) for i in range(200)]
+    rows += [(1000 + i, f"h{i % 3}", "B", i % 2, float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, grp string, d string, label int, x double")
+    cells = evaluate.cell_scores(df, ["x"], "label", "grp", "d", ["A", "B"])
+    n = {(r["train"], r["test"]): r["count"] for r in cells.groupBy("train", "test").count().collect()}
+    assert n["A", "B"] == n["Combined", "B"] == 60 and n["B", "A"] == 200 and ("B", "B") not in n
+    one = df.withColumn("label", F.when(F.col("d") == "A", 1).otherwise(F.col("label")))
+    cells = evaluate.cell_scores(one, ["x"], "label", "grp", "d", ["A", "B"])
+    got = {(r["train"], r["test"]): r["auc"] for r in evaluate.transfer_matrix(cells, "label").collect()}
+    assert got.get(("A", "B")) is None and got["B", "A"] is None
+
+
+def test_invalid_cycles_separate_their_neighbours(spark):
+    df = spark.createDataFrame([("s", k, p, 1.0) for k, p in enumerate([0.005, 0.5, 0.006])], "series string, seq int, period double, amplitude double")
+    row = series.perturbation(df).first()
+    assert row["n_cycles"] == 2 and row["jitter_local"] is None
+
+
+def test_missing_keys_have_intervals_of_their_own(spark):
+    rows = [(i, None if i % 2 else "", i % 3, i % 4 > 1, float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, j int, y boolean, s double").withColumn("y", F.col("y").cast("int"))
+    ci = auc_interval(df, ["k", "j"], "s", "y", "id", 40).collect()
+    assert {(r["k"], r["j"]) for r in ci} == {(k, j) for k in (None, "") for j in range(3)}
+
+
+def test_refit_keeps_rows_with_missing_values(spark, tmp_path):
+    rows = [(float(i % 9) if i % 3 else None, float(i % 5), i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    model = models.refit_and_save(df, ["a", "b"], "label", "logistic", str(tmp_path / "m"))
+    assert model.transform(df.drop("label")).count() == 90
