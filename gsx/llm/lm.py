@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gsx.llm.tokens import WordTokens
+from gsx.llm.tokens import word_tokens
 from gsx.session import settle
 
 #: Token ids are below this.
@@ -56,7 +56,7 @@ def _chunks(path: str):
     """Tokenized documents, several to a row."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         end = np.array([END], "<u4").tobytes()
         ids, lengths, held, size, chunk, schema = [], [], [], 0, None, None
 

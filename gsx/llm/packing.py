@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gsx.llm.tokens import WordTokens
+from gsx.llm.tokens import word_tokens
 from gsx.session import settle
 
 CAPACITY = 4096
@@ -142,7 +142,7 @@ def whole_patterns(demand: np.ndarray, basis: np.ndarray, x: np.ndarray, sizes,
 
 def _tokenized(path: str, capacity: int, short: int):
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         for batch in batches:
             counts, sums, tails = [], [], []
             for pieces in words.each(raw.as_py() for raw in batch.column("raw")):
@@ -174,7 +174,7 @@ def _cut_tokens(path: str):
     """Checksums of the pieces of the documents that fill gaps."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         for batch in batches:
             sums = []
             columns = (batch.column("raw"), batch.column("tail"), batch.column("pieces").to_pylist())

@@ -10,12 +10,13 @@ encoded without folding case first.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
 from gsx.llm.texts import byte_pieces, word_lists
 
-#: Parts remembered per task.
+#: Parts remembered per Python worker.
 CACHE = 500_000
 #: Parts that are encoded in one call.
 CALL = 128
@@ -122,3 +123,9 @@ class WordTokens:
                 size += len(data)
         if group:
             yield from flush()
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer of this Python worker; what it remembers serves the tasks that follow."""
+    return WordTokens(path)
