@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gsx.functions.hashing import hash_int
+from gsx.session import ship
 
 MIN_VALID = 10
 LEVELS = (0.025, 0.975)
@@ -144,6 +145,7 @@ def replicate_auc(
     keys = [keys] if isinstance(keys, str) else list(keys)
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     spark = df.sparkSession
+    ship(spark)
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )

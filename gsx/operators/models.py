@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from gsx.operators.ordered import HOT_ROWS, percentiles
 from gsx.operators.split import row_folds
-from gsx.session import settle
+from gsx.session import settle, ship
 
 SEED = 42
 ROWS_PER_TASK = 50_000
@@ -161,6 +161,7 @@ def knn_candidates(
     candidates there, so the result stays exact and no row pairs are written.
     """
     n = train.count()
+    ship(train.sparkSession)
     if n == 0:
         return train.sparkSession.createDataFrame([], KNN_SCHEMA)
     if n <= max_rows:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,21 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Functions that run in tasks are found there by name.  The driver serves the archive, so
+    nothing needs to be installed on the workers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_gsx_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-gsx-")) / "gsx.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._gsx_shipped = True
