@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gsx.session import settle
+from gsx.session import settle, ship
 
 PIVOTS = 64
 #: Data rows and query rows that meet in one task.
@@ -180,6 +180,7 @@ def top_k(
     no part, nor do rows without an id; shorter vectors count as followed by zeros.  Fewer
     than k other rows give fewer results; an empty table gives none.
     """
+    ship(vectors.sparkSession)
     rows = settle(quantized(vectors, vec_id, embedding).filter(F.col("vec_id").isNotNull()))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     width, longest = rows.agg(F.max(F.size("v")), F.max(square)).first()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.texts import word_lists
+from gsx.session import ship
 
 WORDS = 5
 SIMILAR = 0.8
@@ -217,6 +218,7 @@ def license_matches(
     nothing; repeated rows are scanned each; a NULL id is kept; other columns are ignored;
     an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.tokens import word_tokens
-from gsx.session import settle
+from gsx.session import settle, ship
 
 #: Token ids are below this.
 VOCABULARY = 1 << 16
@@ -225,6 +225,7 @@ def backoff_scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     their own and support one another; a NULL id is kept; other columns are ignored; an
     empty table gives no rows.  A document is held whole by one task.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(doc_id).alias("doc_id"),

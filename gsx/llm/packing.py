@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gsx.llm.tokens import word_tokens
-from gsx.session import settle
+from gsx.session import settle, ship
 
 CAPACITY = 4096
 END = 2
@@ -238,6 +238,7 @@ def pack(
     own; a NULL id is kept; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("digest"), raw.alias("raw"))
     id_type = base.schema["doc_id"].dataType.simpleString()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.texts import char_pieces
-from gsx.session import settle
+from gsx.session import settle, ship
 
 SLOTS = 1 << 15
 DIM = 64
@@ -250,6 +250,7 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality"):
         spark = docs.sparkSession
+        ship(spark)
         self.vectors = spark.sparkContext.broadcast(word_vectors(docs, text))
         chosen = settle(
             labelled(labels, doc_id, label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)

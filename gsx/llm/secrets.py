@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gsx.session import ship
+
 # fixed values of the base scan
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -135,6 +137,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     empty and has no spans; repeated rows are scanned each; a NULL id is kept; other columns
     are ignored; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gsx.llm.components import components
 from gsx.llm.exact_dedup import keep_rows, text_digest
 from gsx.llm.texts import word_lists
-from gsx.session import settle
+from gsx.session import settle, ship
 
 SHINGLE = 3
 SEED = 42
@@ -69,6 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more) -> DataFrame:
     """(doc_id, more..., fp): one fingerprint per row as a signed 64-bit integer."""
+    ship(docs.sparkSession)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *more, raw)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -150,6 +151,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that span all their components."""
+    ship(fps.sparkSession)
     keyed = fps.select(F.explode(block_keys("fp")).alias("key"), "fp")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
