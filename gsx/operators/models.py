@@ -396,6 +396,18 @@ def calibrated(train, test, features, label, name, row_id, k=5, seed=SEED, **kw)
     return platt(held_out.select(label, "score"), raw, label)
 
 
+def rff_svm_calibrated(train, test, features, label, row_id, k=5, seed=SEED, **kw) -> DataFrame:
+    """Probabilities of the approximated Gaussian-kernel SVM, calibrated out of fold."""
+    folded = settle(row_folds(train, label, row_id, k, seed))
+    held_out = None
+    for f in range(k):
+        part = rff_svm_scores(
+            folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f), features, label, **kw
+        ).select(label, "score")
+        held_out = part if held_out is None else held_out.unionByName(part)
+    return platt(held_out, rff_svm_scores(train, test, features, label, **kw), label)
+
+
 def ridge_scores(train, test, features, label, name="ridge", alpha: float = 1.0) -> DataFrame:
     """Weighted least squares on -1/+1 targets with an L2 penalty (M7)."""
     tr, te = prepared_pair(train, test, features, label)

@@ -49,7 +49,7 @@ from gsx.session import settle
 
 QUERIES, query = registry()
 
-N_BOOT = 200
+N_BOOT = 1000
 SUBSETS = {
     "counts": ["n_chars", "n_words", "n_lines"],
     "shares": ["digit_share", "upper_share", "mean_word_len"],
@@ -326,8 +326,8 @@ def e10_lines(spark, sf):
 MODEL_OPTIONS = {
     "logistic": {},
     "l1_logistic": {},
-    "decision_tree": {"maxDepth": 5},
-    "forest_small": {"numTrees": 20},
+    "decision_tree": {},
+    "forest_small": {},
     "linear_svm": {},
 }
 

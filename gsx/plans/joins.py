@@ -63,11 +63,12 @@ def j1(spark, sf):
     "j2_subject_metadata",
     """
 SELECT o_orderkey, c_mktsegment AS gender, c_mktsegment IS NOT NULL AS known
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
+FROM orders LEFT JOIN customer ON o_custkey = 2 * c_custkey""",
 )
 def j2(spark, sf):
-    subjects = table(spark, sf, "customer").filter("c_acctbal > 0").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("gender")
+    # doubled keys leave the orders of odd customers without a subject
+    subjects = table(spark, sf, "customer").select(
+        (2 * F.col("c_custkey")).alias("o_custkey"), F.col("c_mktsegment").alias("gender")
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return with_subject_metadata(orders, subjects, "o_custkey", "gender").drop("o_custkey")
@@ -77,10 +78,10 @@ def j2(spark, sf):
     "j2_unknown_subjects",
     """
 SELECT o_orderstatus, count(*) AS unknown FROM orders
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) GROUP BY 1""",
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE 2 * c_custkey = o_custkey) GROUP BY 1""",
 )
 def j2_unknown(spark, sf):
-    known = table(spark, sf, "customer").filter("c_acctbal > 0")
+    known = table(spark, sf, "customer").select((2 * F.col("c_custkey")).alias("c_custkey"))
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus")
     left = orders.join(known, orders.o_custkey == known.c_custkey, "left_anti")
     return left.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("unknown"))

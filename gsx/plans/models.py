@@ -196,7 +196,7 @@ def m6(spark, sf):
 
 
 def calibrated(name):
-    return lambda tr, te: M.calibrated(tr, te, DOC_FEATURES, "label", name, "row_id", k=3)
+    return lambda tr, te: M.calibrated(tr, te, DOC_FEATURES, "label", name, "row_id", k=5)
 
 
 @query("m7_ridge_calibrated")
@@ -219,7 +219,7 @@ def m11(spark, sf):
 @query("m12_rff_svm")
 def m12(spark, sf):
     return transfer(
-        spark, sf, {"rff_svm": lambda tr, te: M.rff_svm_scores(tr, te, DOC_FEATURES, "label")}
+        spark, sf, {"rff_svm": lambda tr, te: M.rff_svm_calibrated(tr, te, DOC_FEATURES, "label", "row_id")}
     )
 
 
@@ -231,7 +231,7 @@ def m13(spark, sf):
 @query("m14_random_forest")
 def m14(spark, sf):
     return transfer(
-        spark, sf, {"forest_small": plain("forest_small"), "forest_100": plain("forest_100", numTrees=40)}
+        spark, sf, {"forest_small": plain("forest_small"), "forest_100": plain("forest_100")}
     )
 
 

@@ -321,7 +321,7 @@ def a18(spark, sf):
     out = None
     for name in (*DOC_DOMAINS, "combined"):
         part = docs if name == "combined" else docs.filter(F.col("domain") == name)
-        one = importances(part, DOC_FEATURES, "label", numTrees=20, maxDepth=6)
+        one = importances(part, DOC_FEATURES, "label", "forest_300")
         one = one.withColumn("fitted_on", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -332,13 +332,13 @@ def a18(spark, sf):
     f"""WITH {DOC_SQL},
 s AS (SELECT label, feature, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM doc_long GROUP BY 1, 2),
 k AS (SELECT *, sd * pow(n, -0.2) AS h FROM s WHERE n > 1 AND sd > 0),
-g AS (SELECT k.*, p.point, lo + p.point * (hi - lo) / 49.0 AS x FROM k, range(0, 50) p(point))
+g AS (SELECT k.*, p.point, lo + p.point * (hi - lo) / 199.0 AS x FROM k, range(0, 200) p(point))
 SELECT label, feature, point::INT AS point, round(x, 6) AS x,
   round(sum(exp(-((x - value) / h) * ((x - value) / h) / 2) / (n * h * sqrt(2 * pi()))), 6) AS density
 FROM g JOIN doc_long USING (label, feature) GROUP BY 1, 2, 3, x""",
 )
 def a19(spark, sf):
-    out = density_curves(doc_long(spark, sf), ["label", "feature"], points=50)
+    out = density_curves(doc_long(spark, sf), ["label", "feature"], points=200)
     return rounded(out, "x", "density")
 
 
