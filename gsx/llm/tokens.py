@@ -17,7 +17,7 @@ import numpy as np
 from gsx.llm.texts import byte_pieces, word_lists
 
 #: Parts remembered per Python worker.
-CACHE = 500_000
+CACHE = 200_000
 #: Parts that are encoded in one call.
 CALL = 128
 #: Bytes of text that are cut at once.
