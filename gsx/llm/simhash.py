@@ -196,6 +196,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     one stays.
     """
     rows = near_groups(docs, doc_id, text, text_digest(F.col(text)).alias("text_sha256"))
+    return keep_first(docs, rows, doc_id, text)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with the first row of each ``root``; ``rows`` has doc_id, text_sha256, root per row."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")
     first = rows.groupBy("root").agg(F.min(order).alias("m"))
     stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_sha256") == F.col("m.text_sha256"))
