@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and strings that dictionary-primed compression finds novel.
 
-A candidate in a sensitive context is compressed after its surroundings by zstandard
+A candidate in a sensitive context, before or after it or its neighbours, is compressed after its surroundings by zstandard
 primed with identifiers.  What it adds to the compressed size, per character, tells a
 random secret from words, paths and repeated strings.
 """
@@ -27,12 +27,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: A candidate of the novelty scan, and the words that make its context sensitive.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: What may stand between two candidates of one run: no word.
+BETWEEN = re.compile(r"\W{1,32}")
 SENSITIVE = re.compile(
     r"password|passwd|passphrase|secret|token|api_?key|credential|private|bearer|auth|signature|salt",
     re.IGNORECASE | re.ASCII,
 )
-#: Characters before a candidate that are its context, and those that prime the compressor.
+#: Characters before and after a run of candidates that are its context, and those that prime the compressor.
 CONTEXT, AROUND = 48, 512
 #: Least compressed bytes that a candidate adds per character.
 NOVELTY = 0.5
@@ -53,6 +56,28 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _MORE = (b"passphrase", b"credential", b"private", b"bearer", b"auth", b"signature", b"salt")
 
 
+def candidate_runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates; those with no word between them (lines of a key, parts of a token) form one run."""
+    run: list[tuple[int, int]] = []
+    for m in CANDIDATE.finditer(text):
+        if run and not BETWEEN.fullmatch(text, run[-1][1], m.start()):
+            yield run
+            run = []
+        run.append(m.span())
+    if run:
+        yield run
+
+
+def _rests(start: int, end: int, covered: list[list[int]], at: int) -> Iterator[tuple[int, int]]:
+    """Parts of a candidate outside ``covered[at:]`` that are long enough to be candidates."""
+    while start < end:
+        stop = min(covered[at][0], end) if at < len(covered) else end
+        if stop - start >= LEAST:
+            yield start, stop
+        start = max(start, covered[at][1]) if stop < end else end
+        at += 1
+
+
 class Scanner:
     """Spans of one text; holds a primed compressor."""
 
@@ -86,7 +111,7 @@ class Scanner:
         return sorted(found)
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates in sensitive context that no base span touches and that are novel."""
+        """Candidates in sensitive context, without what base spans cover, that are novel."""
         low = text.encode("utf-8", "surrogatepass").lower()
         if not any(w in low for w in _WORDS + _MORE):
             return []
@@ -97,19 +122,20 @@ class Scanner:
             else:
                 covered.append([start, end])
         found, at = [], 0
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            while at < len(covered) and covered[at][1] <= start:
-                at += 1
-            if at < len(covered) and covered[at][0] < end:
-                continue
-            if not any(c.isdigit() for c in m[0]):
-                continue
-            if not SENSITIVE.search(text, max(0, start - CONTEXT), start):
+        for run in candidate_runs(text):
+            first, last = run[0][0], run[-1][1]
+            if not (
+                SENSITIVE.search(text, max(0, first - CONTEXT), first)
+                or SENSITIVE.search(text, last, last + CONTEXT)
+            ):
                 continue
-            around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n"
-            if self.novelty(around, m[0]) >= NOVELTY:
-                found.append((start, 3, end))
+            for start, end in run:
+                while at < len(covered) and covered[at][1] <= start:
+                    at += 1
+                for a, b in _rests(start, end, covered, at):
+                    around = text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND] + "\n"
+                    if self.novelty(around, text[a:b]) >= NOVELTY:
+                        found.append((a, 3, b))
         return found
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
