@@ -183,13 +183,51 @@ class Matcher:
         return best
 
 
-def _scan(templates: dict[str, str]):
+    def distinct(self, data: bytes) -> dict[str, tuple[float, int]]:
+        """Matches without those that a near licence explains, and the short notices outside them.
+
+        A template gives way to one of at least its containment whose window overlaps its own, if
+        under half of the shingles that only it has are there.
+        """
+        from gsx.llm.notices import notices
+
+        best, words = self.matches(data), None
+        if len(best) > 1:
+            words = [normal(w) for w in data.split() if self.hashes[w]]
+        width = {n: 4 << math.ceil(math.log2(len(self.shingles[n]))) for n in best}
+        kept = {}
+        for name, (share, at) in best.items():
+            own = self.shingles[name]
+            for other, (more, place) in best.items():
+                if other == name or at >= place + width[other] or place >= at + width[name]:
+                    continue
+                only = own - self.shingles[other]
+                if more < share or (more == share and len(own) > len(self.shingles[other])):
+                    continue
+                first = max(at - len(own), 0)
+                part = words[first : at + width[name] + len(own) + WORDS]
+                there = {tuple(part[k : k + WORDS]) for k in range(len(part) - WORDS + 1)}
+                if 2 * len(only & there) < len(only) or not only:
+                    break
+            else:
+                kept[name] = (share, at)
+        out = dict(kept)
+        for name, byte in notices(data):
+            if name not in out:
+                at = sum(1 for w in data[:byte].split() if self.hashes[w])
+                if not any(place <= at < place + width[n] for n, (_, place) in kept.items()):
+                    out[name] = (1.0, at)
+        return out
+
+
+def _scan(templates: dict[str, str], distinct: bool = False):
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates)
+        find = matcher.distinct if distinct else matcher.matches
         for batch in batches:
             ids, names, shares, words = [], [], [], []
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for name, (share, at) in sorted(matcher.matches(raw.as_py()).items()):
+                for name, (share, at) in sorted(find(raw.as_py()).items()):
                     ids.append(doc_id)
                     names.append(name)
                     shares.append(share)
@@ -208,7 +246,11 @@ def _scan(templates: dict[str, str]):
 
 
 def license_matches(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    templates: dict[str, str] = TEMPLATES,
+    distinct: bool = False,
 ) -> DataFrame:
     """(doc_id, license, containment, word): one row per document and template found in it.
 
@@ -216,7 +258,8 @@ def license_matches(
     surroundings, at least SIMILAR; ``word`` numbers the word (punctuation alone does not count) at
     which that window begins.  NULL and empty texts, and those under five words, match
     nothing; repeated rows are scanned each; a NULL id is kept; other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows.  With ``distinct`` only the best of overlapping matches
+    is reported, and short notices (containment 1) are found by their words.
     """
     ship(docs.sparkSession)
     rows = docs.select(
@@ -224,5 +267,5 @@ def license_matches(
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _scan(templates), f"doc_id {kind}, license string, containment double, word bigint"
+        _scan(templates, distinct), f"doc_id {kind}, license string, containment double, word bigint"
     )

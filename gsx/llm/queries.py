@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gsx.llm import exact_dedup, knn, licenses, lm, mixing, packing, pii, quality, secrets, simhash
+from gsx.llm import exact_dedup, knn, licenses, lm, mixing, notices, packing, pii, quality, secrets, simhash
 
 
 #: Key of the registered query only; a real key is a parameter of the operator.
@@ -35,7 +35,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+    return licenses.license_matches(_table(spark, sf_dir, "documents"), templates=notices.TEXTS, distinct=True)
 
 
 def tokenizer_path() -> str:
