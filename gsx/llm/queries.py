@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gsx.llm import exact_dedup, knn, licenses, lm, mixing, notices, packing, pii, quality, secrets, simhash
+from gsx.llm import (
+    exact_dedup,
+    knn,
+    licenses,
+    lm,
+    mixing,
+    notices,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    vector_codes,
+)
 
 
 #: Key of the registered query only; a real key is a parameter of the operator.
@@ -94,6 +108,89 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    coded, books = vector_codes.vector_codes(vectors, "vec_id", "embedding", "label")
+    digest = F.sha2(F.lit(books.text() if books else "").cast("binary"), 256)
+    summed = vector_codes.with_group_error(coded, "label", name="label_error")
+    return summed.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` where one document in ten, by a checksum of its id, repeats its tail."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    listed = docs.select("doc_id", "text", h.alias("h"), F.when(F.col("h") % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.expr("h div 10")
+    placed = listed.filter("h % 10 = 0 AND size(w) > 0").withColumns({"n": n, "g": g}).withColumn("a", F.expr("g % n"))
+    cut = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("flatten(array_repeat(slice(w, int(a + 1), int(p)), int(ceil((n - a) / p))))")
+    whole = F.concat(F.expr("slice(w, 1, int(a))"), F.slice(tail, 1, F.expr("int(n - a)")))
+    same = listed.filter("NOT (h % 10 = 0 AND size(w) > 0) OR h IS NULL").select("doc_id", "text")
+    return same.unionByName(cut.select("doc_id", F.array_join(whole, " ").alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    # runs come by start and then period, so the first of equal exponents stays
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), "
+        "(b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    )
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of ``op11_vector_codes`` written out."""
+    far = "list_sum(list_transform(list_zip(r.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    def assigned(k: int, book: str) -> str:
+        return f"""
+near{k} AS MATERIALIZED (
+  SELECT id, label, part, min_by(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT r.id, r.label, r.part, c.entry, {far} AS d FROM pieces r JOIN {book} c ON r.part = c.part)
+  GROUP BY id, label, part)"""
+
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(assigned(k, f"book{k}"))
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS v
+  FROM (SELECT part, entry, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+        FROM (SELECT n.part, n.entry, unnest(range(1, len(p.v) + 1)) AS pos, unnest(p.v) AS x
+              FROM near{k} n JOIN pieces p USING (id, part))
+        GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+book{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v)::BIGINT[] AS v FROM book{k} b LEFT JOIN mean{k} m USING (part, entry))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+         list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT id, label, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v
+  FROM kept, range(0, {parts}) t(part)),
+book0 AS MATERIALIZED (SELECT part, id - 1 AS entry, v FROM pieces WHERE id <= {entries}),{",".join(steps)},
+coded AS (
+  SELECT id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near{rounds} GROUP BY id, label)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY c.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded c JOIN kept k USING (id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lm_scores": op2_lm_scores,
@@ -105,9 +202,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
+    "op11_vector_codes": vector_codes_sql(),
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

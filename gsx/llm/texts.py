@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 PIECE = 1 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -38,3 +38,11 @@ def char_pieces(text: str, size: int = PIECE) -> Iterator[str]:
         yield text[at:cut]
         at = cut
     yield text[at:]
+
+
+def unused_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it, whatever its case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
