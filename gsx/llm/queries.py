@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gsx.llm import (
     exact_dedup,
+    jaccard_join,
     knn,
     licenses,
     lm,
@@ -148,6 +149,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The rounds of ``op11_vector_codes`` written out."""
     far = "list_sum(list_transform(list_zip(r.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -204,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_vector_codes": op11_vector_codes,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 SQL = {
