@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gsx.operators import models as M
+from gsx.operators import trees as TR
 from gsx.operators.evaluate import squash
 from gsx.operators.ordered import auc, lookup_join
 from gsx.operators.split import with_group_folds
@@ -223,21 +224,84 @@ def m12(spark, sf):
     )
 
 
+def tree_transfer(spark, sf, names):
+    """AUC of tree models on both true transfers; both directions are grown together."""
+    rows = settle(docs(spark, sf).select("row_id", "label", "domain", *DOC_FEATURES))
+    scores = TR.transfer_scores(rows, DOC_FEATURES, "label", "row_id", "domain", names)
+    return rounded(auc(scores, ["train", "test", "model"], "score", "label"), "auc")
+
+
 @query("m13_decision_tree")
 def m13(spark, sf):
-    return transfer(spark, sf, {n: plain(n) for n in ("decision_tree", "shallow_tree")})
+    return tree_transfer(spark, sf, ("decision_tree", "shallow_tree"))
 
 
 @query("m14_random_forest")
 def m14(spark, sf):
-    return transfer(
-        spark, sf, {"forest_small": plain("forest_small"), "forest_100": plain("forest_100")}
-    )
+    """Every published forest, whole."""
+    return tree_transfer(spark, sf, ("forest_small", "forest_100", "forest_300", "random_forest", "forest_500"))
 
 
 @query("m15_gradient_boosting")
 def m15(spark, sf):
-    return transfer(spark, sf, {"boosting": plain("boosting", maxIter=20)})
+    """Every published boosting, whole."""
+    return tree_transfer(spark, sf, ("boosting", "boosting_150", "boosting_300"))
+
+
+SPLIT_FEATURES = ("quantity", "discount", "tax")
+
+
+def _split_sql(a: str, b: str, pure: str, left: str) -> str:
+    """Best root split per part: sums over values up to each threshold, best gain in millionths."""
+
+    def of(text, side):
+        return text.format(a=f"{side}a", b=f"{side}b")
+
+    order = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(SPLIT_FEATURES))
+    return f"""WITH {LINE_SQL},
+src AS (SELECT split_part(row_id, '-', 2)::BIGINT % 2 AS part, label, quantity, discount, tax FROM line),
+n AS (SELECT part, sum(label)::DOUBLE AS p, (count(*) - sum(label))::DOUBLE AS q FROM src GROUP BY 1),
+v AS (SELECT part, label, feature, value FROM src UNPIVOT (value FOR feature IN ({", ".join(SPLIT_FEATURES)}))),
+s AS (SELECT part, feature, value, sum({a}) AS a, sum({b}) AS b, count(*) AS c FROM v JOIN n USING (part) GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(a) OVER u AS la, sum(b) OVER u AS lb, sum(c) OVER u AS lc,
+        sum(a) OVER w AS ta, sum(b) OVER w AS tb, sum(c) OVER w AS tc FROM s
+      WINDOW w AS (PARTITION BY part, feature), u AS (PARTITION BY part, feature ORDER BY value)),
+r AS (SELECT *, ta - la AS ra, tb - lb AS rb FROM c WHERE lc < tc),
+g AS (SELECT *, round(1e6 * ({of(pure, "l")} + {of(pure, "r")} - {of(pure, "t")})) AS gain FROM r)
+SELECT part, feature, round(value, 6) AS threshold, gain / 1e6 AS gain, lc::BIGINT AS left_rows,
+  round({of(left, "l")}, 6) AS left_value, round({of(left, "r")}, 6) AS right_value
+FROM g QUALIFY row_number() OVER (PARTITION BY part ORDER BY gain DESC, CASE feature {order} END, value) = 1"""
+
+
+def _root_splits(spark, sf, spec):
+    rows = line_features(spark, sf).withColumn("part", F.split("row_id", "-")[1].cast("bigint") % 2)
+    out = TR.root_splits(rows, SPLIT_FEATURES, "label", "row_id", "part", spec)
+    return rounded(out, "threshold", "left_value", "right_value")
+
+
+@query(
+    "m13_root_splits",
+    _split_sql(
+        "CASE WHEN label = 0 THEN (p + q) / (2 * q) ELSE 0 END", "CASE WHEN label = 1 THEN (p + q) / (2 * p) ELSE 0 END",
+        "({a} * {a} + {b} * {b}) / ({a} + {b})", "{b} / ({a} + {b})",
+    ),
+)
+def m13_splits(spark, sf):
+    """Root of a balanced Gini tree on features of few values, odd and even lines apart."""
+    return _root_splits(spark, sf, TR.SPECS["decision_tree"])
+
+
+@query(
+    "m15_root_splits",
+    _split_sql(
+        "CASE WHEN label = 1 THEN -0.5 * q / (p + 1e-6) ELSE 0.5 END",
+        "CASE WHEN label = 1 THEN 0.25 * q / (p + 1e-6) ELSE 0.25 END",
+        "{a} * {a} / ({b} + 1)", "-0.05 * {a} / ({b} + 1)",
+    ),
+)
+def m15_splits(spark, sf):
+    """Root of the first boosted tree with second-order gain and positive weight."""
+    return _root_splits(spark, sf, TR.SPECS["boosting_150"])
 
 
 STACK = ("logistic", "l1_logistic", "forest_small")
