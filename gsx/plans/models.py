@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gsx.operators import ensembles as EN
 from gsx.operators import models as M
 from gsx.operators import trees as TR
 from gsx.operators.evaluate import squash
@@ -304,43 +305,51 @@ def m15_splits(spark, sf):
     return _root_splits(spark, sf, TR.SPECS["boosting_150"])
 
 
-STACK = ("logistic", "l1_logistic", "forest_small")
-STACK_OPTIONS = {"forest_small": {"numTrees": 20}}
+def base_models(spark, sf):
+    """Held-out scores of all base models for both true transfers, five inner folds of whole groups."""
+    rows = settle(docs(spark, sf).select("row_id", "label", "grp", "domain", *DOC_FEATURES))
+    folded = with_group_folds(rows, "grp", "label", 5, part=("domain",))
+    a, b = DOC_DOMAINS
+    tests = F.array(F.when(F.col("domain") == a, b).otherwise(a))
+    return EN.base_scores(folded, DOC_FEATURES, "label", "row_id", F.array("domain"), tests, "fold")
 
 
-def _stack(tr, te):
-    folded = settle(with_group_folds(tr, "grp", "label", 3))
-    return M.stacked(
-        folded, te, DOC_FEATURES, "label", "row_id", STACK, k=3, overrides=STACK_OPTIONS
-    )
+def _by_direction(scored):
+    a, b = DOC_DOMAINS
+    test = F.when(F.col("set") == a, b).otherwise(a)
+    named = scored.withColumn("test", test).withColumnRenamed("set", "train")
+    return rounded(auc(named, ["train", "test"], "score", "label"), "auc")
+
+
+@query("m16_fitted_voting")
+def m16_fitted(spark, sf):
+    """Mean probability of the five fitted base models on both true transfers."""
+    return _by_direction(EN.vote(base_models(spark, sf).filter("role = 'test'")))
 
 
 @query("m17_stacking")
 def m17(spark, sf):
-    """Stacking inside one domain: groups 0-2 of five folds train, the others are tested."""
-    rows = settle(with_group_folds(docs(spark, sf), "grp", "label", 5))
-    rows = rows.withColumnRenamed("fold", "outer_fold")
-    scored = _stack(rows.filter("outer_fold < 3"), rows.filter("outer_fold >= 3"))
-    out = scored.withColumn("model", F.lit("stacking"))
-    return rounded(auc(out, ["model"], "score", "label"), "auc")
+    """Stacking inside each domain: five outer folds of groups, five inner folds for the base scores."""
+    rows = settle(docs(spark, sf).select("row_id", "label", "grp", "domain", *DOC_FEATURES))
+    outer = with_group_folds(rows, "grp", "label", 5, part=("domain",)).withColumnRenamed("fold", "outer_fold")
+    both = with_group_folds(outer, "grp", "label", 5, seed=43, part=("domain",))
+    sets = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda o: F.concat_ws("~", "domain", o.cast("string")))
+    own = F.concat_ws("~", "domain", F.col("outer_fold").cast("string"))
+    cells = F.filter(sets, lambda t: t != own)
+    scored = EN.base_scores(settle(both), DOC_FEATURES, "label", "row_id", cells, F.array(own), "fold")
+    out = EN.stack(scored, "label").withColumn("domain", F.split("set", "~")[0])
+    return rounded(auc(out, ["domain"], "score", "label"), "auc")
 
 
 @query("m18_cross_domain_stacking")
 def m18(spark, sf):
-    return transfer(spark, sf, {"stacking": _stack})
+    return _by_direction(EN.stack(base_models(spark, sf), "label"))
 
 
 @query("m19_target_stacking")
 def m19(spark, sf):
-    return transfer(
-        spark,
-        sf,
-        {
-            "stacking_30": lambda tr, te: M.stacked_on_target(
-                tr, te, DOC_FEATURES, "label", "row_id", STACK, overrides=STACK_OPTIONS
-            )
-        },
-    )
+    """Base models of one domain, second model from three tenths of the other."""
+    return _by_direction(EN.stack_on_part(base_models(spark, sf), "label", "row_id"))
 
 
 @query("m20_refit_and_persist")
