@@ -304,6 +304,92 @@ def cascade_report(df: DataFrame, keys, label: str) -> DataFrame:
     )
 
 
+def cascade_intervals(df: DataFrame, keys, label: str, row_id: str, n_boot=1000, seed=42) -> DataFrame:
+    """Rows handled, share, AUC and bootstrap interval per stage reached and for the whole cascade (stage 0).
+
+    A stage is reached while rows are left for it.  One that answers no row, or rows of one class only,
+    has NULL for its AUC and interval (E12).
+    """
+    keys = list(keys)
+    both = df.select(*keys, label, row_id, "final", F.explode(F.array("stage", F.lit(0))).alias("stage_num"))
+    both = settle(both)
+    reached = both.groupBy(*keys).agg(F.max("stage_num").alias("_last"), F.count_if(F.col("stage_num") == 0).alias("_all"))
+    grid = reached.withColumn("stage_num", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    at = [*keys, "stage_num"]
+    sizes = both.groupBy(*at).agg(F.count(F.lit(1)).alias("n_handled"))
+    scored = auc(both, at, "final", label).select(*at, "auc")
+    ci = auc_interval(both, at, "final", label, row_id, n_boot, seed).select(*at, "ci_lo", "ci_hi")
+    handled = F.coalesce("n_handled", F.lit(0).cast("bigint"))
+    return (
+        grid.join(sizes, at, "left").join(scored, at, "left").join(ci, at, "left")
+        .select(*at, handled.alias("n_handled"), (100.0 * handled / F.col("_all")).alias("pct_handled"), "auc", "ci_lo", "ci_hi")
+    )
+
+
+# --- feature selection inside folds --------------------------------------------------------
+
+
+def fold_f_stats(df: DataFrame, features, label, domain, k=5) -> DataFrame:
+    """(train, holdout, feature, position, f_stat): one-way F of every training set.
+
+    All sets come from one table of class sums by (domain, fold): a set is a union of its cells, so no
+    row of the held-out fold enters and the rows are read once.  A feature that does not vary, or a
+    set of one class, has no F.
+    """
+    sums = class_sums(df, features, label, [domain, "fold", "fold_all"])
+    sets = sums.withColumn("_t", F.explode(_training_sets(domain, k))).select("*", "_t.*")
+    per = sets.filter(F.col(label).isNotNull()).groupBy("train", "holdout", "_f", label).agg(
+        F.sum("_c").cast("double").alias("c"), F.sum("_s").alias("s"), F.sum("_q").alias("q")
+    ).filter("c > 0")
+    table = per.groupBy("train", "holdout", "_f").agg(
+        F.sum(F.col("s") * F.col("s") / F.col("c")).alias("_b"), F.sum("s").alias("_s"), F.sum("c").alias("_c"),
+        F.sum("q").alias("_q"), F.count(F.lit(1)).cast("double").alias("_k"),
+    )
+    between = F.col("_b") - F.col("_s") * F.col("_s") / F.col("_c")
+    within = F.col("_q") - F.col("_b")
+    f = F.try_divide(F.try_divide(between, F.col("_k") - 1), F.try_divide(within, F.col("_c") - F.col("_k")))
+    names = F.array(*[F.lit(n) for n in features])
+    # sums of squares leave rounding where nothing varies inside the classes
+    solid = within > 1e-12 * F.col("_q")
+    return table.select(
+        "train", "holdout", names[F.col("_f")].alias("feature"), F.col("_f").alias("position"),
+        F.when(solid, f).alias("f_stat"),
+    )
+
+
+def fold_masks(stats: DataFrame, k_best: int) -> DataFrame:
+    """(train, holdout, mask): the ``k_best`` features of largest F of each training set, ties by position.
+
+    ``mask`` is an array of booleans in feature order; a feature without F comes last.
+    """
+    order = F.struct((-F.coalesce(F.col("f_stat"), F.lit(-1.0))).alias("o"), "position")
+    rows = stats.groupBy("train", "holdout").agg(F.sort_array(F.collect_list(order)).alias("_o"))
+    best = F.slice(F.col("_o.position"), 1, k_best)
+    every = F.sequence(F.lit(0), F.size("_o") - 1)
+    return rows.select("train", "holdout", F.transform(every, lambda i: F.array_contains(best, i)).alias("mask"))
+
+
+def masked_baseline(features) -> Column:
+    """Mean signed z-score over the features that the row's ``mask`` keeps (see ``baseline_score``)."""
+    total, used = F.lit(0.0), F.lit(0)
+    for i, f in enumerate(features):
+        z = F.col("sign")[i] * (F.col(f).cast("double") - F.col("mean")[i]) / F.col("std")[i]
+        total = total + F.when(F.col("mask")[i], F.coalesce(z, F.lit(0.0))).otherwise(0.0)
+        used = used + F.col("mask")[i].cast("int")
+    directed = F.coalesce(*[F.when(F.col("mask")[i], F.col("sign")[i]) for i in range(len(features))]).isNotNull()
+    return F.when(directed, on_grid(F.try_divide(total, used)))
+
+
+def selected_scores(df, features, label, group, domain, domains, k_best: int, k=5, seed=42) -> DataFrame:
+    """Cells as in ``cell_scores`` with features chosen anew inside every training set."""
+    df = df.filter(F.col(domain).isin(*domains))
+    folded = with_cell_folds(df, label, group, domain, k, seed)
+    params = fit_moments(folded, features, label, domain, k)
+    masks = fold_masks(fold_f_stats(folded, features, label, domain, k), k_best)
+    scored = lookup_join(cell_rows(folded, domain, domains), params.join(masks, ["train", "holdout"]), ["train", "holdout"])
+    return scored.withColumn("score", masked_baseline(features))
+
+
 # --- slices, subsets, sweeps -----------------------------------------------------------
 
 

@@ -8,11 +8,15 @@ from gsx.operators.evaluate import (
     baseline_score,
     best_size,
     cascade,
+    cascade_intervals,
     cascade_report,
     cell_scores,
     class_metrics,
+    fold_f_stats,
+    fold_masks,
     matrix_wide,
     roc_points,
+    selected_scores,
     slice_metrics,
     squash,
     stratum_delta,
@@ -21,8 +25,11 @@ from gsx.operators.evaluate import (
     sweep_sizes,
     top_n_scores,
     transfer_matrix,
+    with_cell_folds,
     with_intervals,
 )
+from gsx.operators import convex, trees
+from gsx.operators.ensembles import score_many
 from gsx.operators.models import fit_score, scale_table
 from gsx.operators.ordered import auc, lookup_join
 from gsx.operators.report import best_per
@@ -377,6 +384,114 @@ def e12(spark, sf):
     return rounded(cascade_report(answered, ["train", "test"], "label"), "auc", "pct_handled")
 
 
+FITTED_STAGES = ("logistic", "forest_500", "boosting")
+
+
+def fitted_transfers(rows):
+    """Both true transfers scored by logistic regression, the whole forest and the whole boosting."""
+    keep = ["row_id", "label", "domain", *DOC_FEATURES]
+    rows = settle(rows.select(*keep))
+    linear, *grown = FITTED_STAGES
+    models = convex.fit_linear(
+        convex.training_rows(rows, DOC_FEATURES, "label", F.array("domain")), DOC_FEATURES,
+        {linear: convex.MODELS[linear]},
+    ) | trees.fit_trees(rows, DOC_FEATURES, "label", "row_id", "domain", {n: trees.SPECS[n] for n in grown})
+    a, b = DOC_DOMAINS
+    asked = rows.withColumn("train", F.when(F.col("domain") == a, b).otherwise(a)).withColumn("test", F.col("domain"))
+    return score_many(asked, DOC_FEATURES, "train", models)
+
+
+@query("e12_fitted_cascade")
+def e12_fitted(spark, sf):
+    """Rows handed on from logistic regression to the forest and to boosting, with intervals per stage."""
+    answered = cascade(fitted_transfers(docs(spark, sf)), FITTED_STAGES)
+    out = cascade_intervals(answered, ["train", "test"], "label", "row_id", N_BOOT)
+    return rounded(out, "pct_handled", "auc", "ci_lo", "ci_hi")
+
+
+CASCADE_SQL = f"""{DOC_CELLS},
+ps AS (SELECT train, test, row_id, label, """ + ", ".join(
+    f"1 / (1 + exp(-(3.0 * {sql_score(fs)}))) AS p{i}" for i, fs in enumerate(STAGES, 1)
+) + f""" FROM cells WHERE {CROSS}),
+st AS (SELECT *, CASE WHEN greatest(p1, 1 - p1) >= 0.7 THEN 1 WHEN greatest(p2, 1 - p2) >= 0.65 THEN 2 ELSE 3 END AS stage,
+         CASE WHEN greatest(p1, 1 - p1) >= 0.7 THEN p1 WHEN greatest(p2, 1 - p2) >= 0.65 THEN p2 ELSE p3 END AS score FROM ps),
+b AS (SELECT train, test, stage AS stage_num, row_id, label, score FROM st UNION ALL SELECT train, test, 0, row_id, label, score FROM st),
+m AS ({sql_auc("b", "train, test, stage_num")}), {sql_intervals("b", "train, test, stage_num")},
+n AS (SELECT train, test, stage_num, count(*) AS n FROM b GROUP BY 1, 2, 3),
+grid AS (SELECT train, test, s AS stage_num, whole FROM
+         (SELECT train, test, max(stage_num) AS last, sum(n) FILTER (stage_num = 0) AS whole FROM n GROUP BY 1, 2), range(0, 4) t(s) WHERE s <= last)"""
+
+
+@query(
+    "e12_cascade_intervals",
+    f"""WITH {CASCADE_SQL}
+SELECT train, test, stage_num::INT AS stage_num, coalesce(n, 0)::BIGINT AS n_handled, round(100.0 * coalesce(n, 0) / whole, 6) AS pct_handled,
+  round(auc, 6) AS auc, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi
+FROM grid LEFT JOIN n USING (train, test, stage_num) LEFT JOIN m USING (train, test, stage_num) LEFT JOIN ci USING (train, test, stage_num)""",
+)
+def e12_intervals(spark, sf):
+    """The cascade of the baseline scorer with intervals, which SQL can follow."""
+    rows = doc_cells(spark, sf).filter(CROSS)
+    probs = {f"p{i}": squash(3.0 * baseline_score(fs, DOC_FEATURES)) for i, fs in enumerate(STAGES, 1)}
+    answered = cascade(rows.withColumns(probs), list(probs))
+    out = cascade_intervals(answered, ["train", "test"], "label", "row_id", N_BOOT)
+    return rounded(out, "pct_handled", "auc", "ci_lo", "ci_hi")
+
+
+@query("e13_fitted_subsets")
+def e13_fitted(spark, sf):
+    """The whole forest on every feature subset and both true transfers, with intervals."""
+    rows = settle(docs(spark, sf).select("row_id", "label", "domain", *DOC_FEATURES))
+    out = None
+    for name, fs in SUBSETS.items():
+        part = trees.transfer_scores(rows, fs, "label", "row_id", "domain", ("forest_500",))
+        part = part.withColumns({"subset": F.lit(name), "n_feats": F.lit(len(fs))})
+        out = part if out is None else out.unionByName(part)
+    out = settle(out.drop("model"))
+    keys = ["subset", "n_feats", "train", "test"]
+    table_ = auc(out, keys, "score", "label")
+    return rounded(with_intervals(table_, out, keys, "label", "row_id", N_BOOT), "auc", "ci_lo", "ci_hi")
+
+
+K_BEST = 3
+SELECT_SQL = f"""{DOC_CELLS},
+tl AS (SELECT train, holdout, label, feature, value FROM ts UNPIVOT (value FOR feature IN ({", ".join(DOC_FEATURES)}))),
+pc AS (SELECT train, holdout, feature, label, count(*)::DOUBLE AS c, avg(value) AS m, var_pop(value) AS v FROM tl GROUP BY 1, 2, 3, 4),
+ft AS (SELECT train, holdout, feature,
+         (sum(c * m * m) - sum(c) * pow(sum(c * m) / sum(c), 2)) / (count(*) - 1) / (sum(c * v) / (sum(c) - count(*))) AS f_stat
+       FROM pc GROUP BY 1, 2, 3),
+fr AS (SELECT *, row_number() OVER (PARTITION BY train, holdout ORDER BY f_stat DESC, list_position([{", ".join(f"'{f}'" for f in DOC_FEATURES)}], feature)) <= {K_BEST} AS chosen FROM ft)"""
+
+
+@query(
+    "a17_selection_in_folds",
+    f"WITH {SELECT_SQL} SELECT train, holdout::INT AS holdout, feature, round(f_stat, 4) AS f_stat, chosen FROM fr",
+)
+def a17_folds(spark, sf):
+    """F of every feature in every training fold, and the features each fold keeps."""
+    folded = settle(with_cell_folds(docs(spark, sf), "label", "grp", "domain"))
+    stats = settle(fold_f_stats(folded, DOC_FEATURES, "label", "domain"))
+    chosen = stats.join(fold_masks(stats, K_BEST), ["train", "holdout"])
+    return chosen.select(
+        "train", "holdout", "feature", F.round("f_stat", 4).alias("f_stat"), F.get("mask", F.col("position")).alias("chosen")
+    )
+
+
+@query(
+    "a17_selected_matrix",
+    f"""WITH {SELECT_SQL},
+ms AS (SELECT train, holdout, {", ".join(f"bool_or(chosen) FILTER (feature = '{f}') AS use_{f}" for f in DOC_FEATURES)} FROM fr GROUP BY 1, 2),
+sl AS (SELECT train, test, label, round(({" + ".join(f"CASE WHEN use_{f} THEN sign_{f} * ({f} - mean_{f}) / std_{f} ELSE 0 END" for f in DOC_FEATURES)}) / {K_BEST}, 9) AS score
+       FROM cells JOIN ms USING (train, holdout)),
+m AS ({sql_auc("sl", "train, test")})
+SELECT train, test, n_pos, n_neg, round(auc, 6) AS auc FROM m""",
+)
+def a17_matrix(spark, sf):
+    """The transfer matrix with features chosen inside every training fold."""
+    scores = selected_scores(docs(spark, sf), DOC_FEATURES, "label", "grp", "domain", DOC_DOMAINS, K_BEST)
+    return rounded(auc(scores, ["train", "test"], "score", "label"), "auc")
+
+
 SUBSET_SQL = "sb AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS subset, {len(fs)} AS n_feats, train, test, row_id, domain, label, {sql_score(fs)} AS score FROM cells"
     for n, fs in SUBSETS.items()

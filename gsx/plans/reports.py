@@ -7,10 +7,19 @@ a test set of the transfer matrix.
 from pyspark.sql import functions as F
 
 from gsx.operators import report as R
-from gsx.operators.evaluate import class_metrics, subset_scores
+from gsx.operators.evaluate import class_metrics, subset_scores, summary, with_intervals
 from gsx.operators.ordered import auc
 from gsx.plans.base import LINE_FEATURES, LINE_SQL, line_features, registry, rounded, sql_auc
-from gsx.plans.evaluation import _metrics_sql, sql_cells, sql_score
+from gsx.plans.evaluation import (
+    DOC_CELLS,
+    N_BOOT,
+    SUBSET_SQL,
+    _metrics_sql,
+    doc_subsets,
+    sql_cells,
+    sql_intervals,
+    sql_score,
+)
 from gsx.session import settle
 from gsx.sources.scan import with_run_parts
 
@@ -18,7 +27,6 @@ QUERIES, query = registry()
 
 MODELS = {"quantity": ["quantity"], "price": ["price"], "discount": ["discount"], "all": list(LINE_FEATURES)}
 SELF, CROSS, POOLED = ("F", "O"), ("F -> O", "O -> F"), ("Combined",)
-BAND = 0.02
 
 RESULTS_SQL = LINE_SQL + """,
 ln AS (SELECT *, 'evaluation_features_lines_8k_2024_' || split_part(row_id, '-', 2) AS run FROM line), """ + sql_cells(
@@ -28,17 +36,13 @@ ln AS (SELECT *, 'evaluation_features_lines_8k_2024_' || split_part(row_id, '-',
     for m, fs in MODELS.items()
 ) + f"""), {_metrics_sql("sb", "run, analysis, model")}, am AS ({sql_auc("sb", "run, analysis, model")}),
 res AS (SELECT run, analysis, model, round(am.auc, 9) AS auc, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1, round(mcc, 9) AS mcc,
-  round(am.auc, 9) - {BAND} * (1 + (am.n_pos % 7)) AS ci_lo, round(am.auc, 9) + {BAND} * (1 + (am.n_pos % 7)) AS ci_hi,
   CASE WHEN analysis IN ('F', 'O') THEN 'Self' WHEN analysis IN ('F -> O', 'O -> F') THEN 'Cross-Domain'
        WHEN analysis = 'Combined' THEN 'Combined' ELSE 'Other' END AS type
   FROM mt JOIN am USING (run, analysis, model))"""
 
 
 def results(spark, sf):
-    """Metrics of every (run, analysis, model) from the line matrix, settled once.
-
-    The interval is a stand-in whose width follows the number of positives.
-    """
+    """Metrics of every (run, analysis, model) from the line matrix, settled once."""
     from gsx.operators.evaluate import cell_scores
 
     rows = line_features(spark, sf).withColumn(
@@ -55,27 +59,40 @@ def results(spark, sf):
     keys = ["run", "analysis", "model"]
     m = class_metrics(scored, keys, "pred", "label").select(*keys, "accuracy", "f1", "mcc")
     a = auc(scored, keys, "score", "label").join(m, keys)
-    half = F.lit(BAND) * (1 + F.col("n_pos") % 7)
     fine = {c: F.round(c, 9) for c in ("auc", "accuracy", "f1", "mcc")}
-    out = a.withColumns(fine).withColumns(
-        {
-            "ci_lo": F.col("auc") - half,
-            "ci_hi": F.col("auc") + half,
-            "type": R.scenario_type(F.col("analysis"), SELF, CROSS, POOLED),
-        }
-    )
+    out = a.withColumns(fine).withColumn("type", R.scenario_type(F.col("analysis"), SELF, CROSS, POOLED))
     return settle(out.drop("n_pos", "n_neg"))
 
 
-_CACHE: dict = {}
+shared = results
+
+DOC_RUN = "evaluation_features_docs_8k_2024_"
+INTERVAL_SQL = f"""{DOC_CELLS}, {SUBSET_SQL},
+rb AS (SELECT '{DOC_RUN}' || (row_id % 3) AS run, CASE WHEN train = test THEN train ELSE train || ' -> ' || test END AS analysis,
+         subset AS model, row_id, label, score FROM sb),
+{_metrics_sql("rb", "run, analysis, model")}, am AS ({sql_auc("rb", "run, analysis, model")}), {sql_intervals("rb", "run, analysis, model")},
+res AS (SELECT run, analysis, model, am.auc, accuracy, mcc, ci_lo, ci_hi,
+  CASE WHEN analysis IN ('en', 'rest') THEN 'Self' WHEN analysis IN ('en -> rest', 'rest -> en') THEN 'Cross-Domain'
+       WHEN analysis = 'Combined' THEN 'Combined' ELSE 'Other' END AS type
+  FROM mt JOIN am USING (run, analysis, model) LEFT JOIN ci USING (run, analysis, model))"""
+
 
+def interval_results(spark, sf):
+    """Metrics and bootstrap intervals of every (run, analysis, model) of the document matrix.
 
-def shared(spark, sf):
-    """The settled result table of this session and scale, built on first use."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _CACHE:
-        _CACHE[key] = results(spark, sf)
-    return _CACHE[key]
+    A run is a third of the documents by id, a model a feature subset.
+    """
+    analysis = F.when(F.col("train") == F.col("test"), F.col("train")).otherwise(F.concat_ws(" -> ", "train", "test"))
+    run = F.concat(F.lit(DOC_RUN), (F.col("row_id") % 3).cast("string"))
+    rows = settle(
+        doc_subsets(spark, sf).select(
+            run.alias("run"), analysis.alias("analysis"), F.col("subset").alias("model"), "row_id", "label", "score"
+        )
+    )
+    keys = ["run", "analysis", "model"]
+    out = with_intervals(summary(rows, keys, "label"), rows, keys, "label", "row_id", N_BOOT)
+    kind = R.scenario_type(F.col("analysis"), ("en", "rest"), ("en -> rest", "rest -> en"), POOLED)
+    return out.withColumn("type", kind)
 
 
 @query("g1_scenario_type", f"WITH {RESULTS_SQL} SELECT run, analysis, model, type FROM res")
@@ -85,7 +102,7 @@ def g1(spark, sf):
 
 @query(
     "g2_overview",
-    f"""WITH {RESULTS_SQL}
+    f"""WITH {INTERVAL_SQL}
 SELECT run, type, count(auc) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS std_auc,
   round(median(auc), 6) AS median_auc, round(max(auc), 6) AS max_auc, round(min(auc), 6) AS min_auc, round(avg(ci_lo), 6) AS mean_ci_lo,
   round(avg(ci_hi), 6) AS mean_ci_hi, round(avg(accuracy), 6) AS mean_accuracy, round(avg(mcc), 6) AS mean_mcc,
@@ -94,7 +111,7 @@ SELECT run, type, count(auc) AS n, round(avg(auc), 6) AS mean_auc, round(stddev_
 FROM res GROUP BY 1, 2""",
 )
 def g2(spark, sf):
-    out = R.overview(shared(spark, sf))
+    out = R.overview(interval_results(spark, sf))
     return rounded(
         out, "mean_auc", "std_auc", "median_auc", "mean_ci_lo", "mean_ci_hi", "mean_accuracy", "mean_mcc",
         "max_auc", "min_auc",
@@ -103,11 +120,11 @@ def g2(spark, sf):
 
 @query(
     "g3_ci_width",
-    f"""WITH {RESULTS_SQL}
+    f"""WITH {INTERVAL_SQL}
 SELECT run, analysis, model, round(ci_hi - ci_lo, 6) AS ci_width, ci_hi - ci_lo > 0.15 AS wide FROM res""",
 )
 def g3(spark, sf):
-    return rounded(R.ci_widths(shared(spark, sf)), "ci_width")
+    return rounded(R.ci_widths(interval_results(spark, sf)), "ci_width")
 
 
 @query(
