@@ -2,11 +2,12 @@
 
 Shingles are ordered by their hash.  Of two linked sets of n and n' shingles the first n - t + k
 and n' - t' + k share at least k, where t is the least overlap that a partner needs.  A shingle
-that too many sets would have to be compared for is skipped: each one a document meets in its prefix
-makes the prefix one longer and asks for one more shared shingle, so that K shared shingles that
-are not skipped remain for every link.  Lengthening goes on while the new shingles hold skipped
-ones.  A document of which nearly all shingles are skipped has no such prefix; these documents,
-whole, are compared with each other where they share a skipped shingle.
+that too many sets would have to be compared for is skipped.  A document that posts p shingles, s of
+them skipped, shares at least p - s - n + t others with a partner that posts no fewer: its matches.
+A document with less than two matches gets a longer prefix, until the new shingles leave it two; all
+others ask for as many shared shingles as the smaller of two documents has matches.  A document of
+which nearly all shingles are skipped never has two; these documents, whole, are compared with
+each other where they share a skipped shingle.
 
 Equal sets are one node.  Before prefixes are compared each node is verified against one central
 node of those it shares small hashes with; a shingle all of whose nodes are linked by then needs no
@@ -30,14 +31,16 @@ from gsx.session import settle, ship
 
 SHINGLE = 5
 PERCENT = 80
-#: Shared shingles, skipped ones aside, that make two nodes a candidate.
-K = 2
+#: Matches of the shortest useful prefix.
+MATCHES = 2
 #: Nodes that a shingle may have before it is skipped.
 CROWD = 32
 #: Smallest hashes of a node by which it is offered a central node, and how many must agree.
-STARS, STARS_MIN = 6, 2
+STARS, STARS_MIN = 6, 3
 #: Texts that one task compares with one centre, or all with each other.
 CHUNK = 512
+#: Keys of 8 bytes that are sent to every executor instead of moving the rows they select.
+SENT_KEYS = 1 << 21
 
 
 def hashed_shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -72,6 +75,12 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Settled ``keys``, marked for a broadcast when their count allows it."""
+    keys = settle(keys)
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def _described(size: int, percent: int):
     """Number of shingles, digest of the set and posted prefix of every text."""
     import hashlib
@@ -87,7 +96,7 @@ def _described(size: int, percent: int):
                 n = len(own)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-                prefixes.append(own[: n - least_overlap(n, percent) + K + n // 16 + 2].view(np.int64))
+                prefixes.append(own[: n - least_overlap(n, percent) + MATCHES + n // 32 + 2].view(np.int64))
             rid = np.arange(at, at + len(sizes))
             at += len(sizes)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
@@ -220,8 +229,8 @@ class Join:
         )
         full = self.rows.filter("digest IS NOT NULL")
         self.classes = settle(full.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low")))
-        self.nodes = settle(
-            full.select("rid", "sha", "n", "prefix").join(self.classes.select("rid"), "rid", "left_semi")
+        self.nodes = full.select("rid", "sha", "n", "prefix").join(
+            _small(self.classes.select("rid")), "rid", "left_semi"
         )
 
     # --- texts ---------------------------------------------------------------------------
@@ -237,7 +246,7 @@ class Join:
     def star_links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of ``pairs`` (centre a, node b) that are linked."""
         pairs = settle(pairs.select("a", "b").distinct())
-        held = settle(self.with_text(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()))
+        held = self.with_text(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
         cuts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("cuts"))
         dealt = lookup_join(pairs, cuts, "a").select(
             "a", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("cut"), F.col("b").alias("rid")
@@ -276,7 +285,7 @@ class Join:
     def lengthened(self, shared: DataFrame, more: DataFrame, added: DataFrame) -> DataFrame:
         """``shared`` after the shingles ``added`` are posted, of all added ones ``more``."""
         every = self.nodes.select("rid", F.explode("prefix").alias("token")).unionByName(more)
-        touched = added.select("token").distinct()
+        touched = _small(added.select("token").distinct())
         rows = settle(every.join(touched, "token", "left_semi"))
         sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         rest = shared.join(touched, "token", "left_anti")
@@ -290,7 +299,6 @@ class Join:
         lengths = self.nodes.select("rid", "n", F.size("prefix").cast("bigint").alias("posted"))
         while True:
             rooted = lookup_join(shared, roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-            rooted = settle(rooted)
             # shingles whose nodes are not all linked
             open_ = settle(
                 rooted.groupBy("token")
@@ -301,12 +309,11 @@ class Join:
             crowded = lookup_join(rooted.select("rid", "root", "token"), open_.filter(F.col("m") > CROWD), "token")
             crowded = settle(crowded)
             skipped = crowded.groupBy("rid").agg(F.count(F.lit(1)).alias("skipped"))
-            need = F.col("n") - _least(F.col("n"), self.percent) + K
-            short = settle(
-                skipped.join(lengths, "rid")
-                .withColumn("lack", need + F.col("skipped") - F.col("posted"))
-                .filter("lack > 0")
+            matches = F.col("posted") - F.coalesce("skipped", F.lit(0)) - F.col("n") + _least(F.col("n"), self.percent)
+            matched = settle(
+                lengths.join(skipped, "rid", "left").select("rid", "n", "posted", "skipped", matches.alias("matches"))
             )
+            short = matched.filter(f"skipped > 0 AND matches < {MATCHES}").withColumn("lack", MATCHES - F.col("matches"))
             wanting = short.filter("posted < n").select(
                 "rid", "posted", F.least(F.col("n"), F.col("posted") + 2 * F.col("lack") + F.floor(F.col("n") / 8)).alias("upto")
             )
@@ -322,27 +329,33 @@ class Join:
                     "rid", "n", (F.col("posted") + F.coalesce("more", F.lit(0))).alias("posted")
                 )
             )
-        pairs = self.crowd_free_pairs(rooted, open_.filter(F.col("m") <= CROWD))
+        pairs = self.crowd_free_pairs(rooted, open_.filter(F.col("m") <= CROWD), matched)
         more_links = self.star_links(pairs)
-        whole = self.whole_links(crowded, open_, short)
+        whole = self.whole_links(crowded, short)
         return found.unionByName(more_links).unionByName(whole)
 
-    def crowd_free_pairs(self, rooted: DataFrame, few: DataFrame) -> DataFrame:
-        """(a, b): nodes of different roots that share enough posted shingles of at most CROWD nodes."""
-        rows = rooted.select("rid", "root", "token").join(few.select("token"), "token", "left_semi")
-        sized = rows.join(self.nodes.select("rid", "n"), "rid")
-        bag = sized.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "root", "n"))).alias("g"))
+    def crowd_free_pairs(self, rooted: DataFrame, few: DataFrame, matched: DataFrame) -> DataFrame:
+        """(a, b): nodes of different roots that share enough posted shingles of at most CROWD nodes.
+
+        A link of two documents shares the matches of one of them; one without matches leaves
+        the number to the other, and two of them share a shingle.
+        """
+        rows = rooted.select("rid", "root", "token").join(_small(few.select("token")), "token", "left_semi")
+        # a set too small for MATCHES shares all it has; one without matches asks for none of its own
+        asked = F.when(F.col("matches") > 0, F.col("matches")).otherwise(F.col("n") + 1)
+        sized = rows.join(matched.select("rid", "n", asked.alias("k"), (F.col("matches") <= 0).alias("w")), "rid")
+        bag = sized.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "root", "n", "k", "w"))).alias("g"))
         both = F.explode(
             F.expr(
                 f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {CROWD}), y -> y.root <> x.root "
                 f"AND 100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n)), "
-                "y -> struct(x.rid AS a, y.rid AS b, least(x.n, y.n) AS n))))"
+                "y -> struct(x.rid AS a, y.rid AS b, IF(x.w AND y.w, 1, least(x.k, y.k)) AS k))))"
             )
         )
-        counted = bag.select(both.alias("p")).select("p.*").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c"))
-        return counted.filter(F.col("c") >= F.least(F.lit(K), _least(F.col("n"), self.percent))).select("a", "b")
+        counted = bag.select(both.alias("p")).select("p.*").groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("c"))
+        return counted.filter("c >= k").select("a", "b")
 
-    def whole_links(self, crowded: DataFrame, open_: DataFrame, short: DataFrame) -> DataFrame:
+    def whole_links(self, crowded: DataFrame, short: DataFrame) -> DataFrame:
         """Links between documents that post all their shingles, most of them skipped ones.
 
         Each brings as many of its skipped shingles, the rarest first, as its prefix lacks.
