@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gsx.llm.texts import unused_name
 from gsx.session import settle
 
 BLOCK = 2048
@@ -172,13 +173,14 @@ def keep_rows(docs: DataFrame, counts: DataFrame, doc_id: str, text: str) -> Dat
     of which some go are joined, so the texts are shuffled only when these are too many to
     broadcast.
     """
+    own_id, sha, keep, place = (unused_name(n, docs.columns) for n in ("id", "sha", "keep", "place"))
     some_go = settle(
         counts.filter("keep < all").select(
-            F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keep").alias("__keep")
+            F.col("doc_id").alias(own_id), F.col("text_sha256").alias(sha), F.col("keep").alias(keep)
         )
     )
-    match = docs[doc_id].eqNullSafe(F.col("__id")) & (text_digest(docs[text]) == F.col("__sha"))
-    repeated = docs.join(some_go.filter("__keep > 0"), match)
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
-    chosen = repeated.withColumn("__nth", nth).filter("__nth <= __keep")
+    match = docs[doc_id].eqNullSafe(F.col(own_id)) & (text_digest(docs[text]) == F.col(sha))
+    repeated = docs.join(some_go.filter(F.col(keep) > 0), match)
+    nth = F.row_number().over(Window.partitionBy(own_id, sha).orderBy(F.lit(1)))
+    chosen = repeated.withColumn(place, nth).filter(F.col(place) <= F.col(keep))
     return docs.join(some_go, match, "left_anti").union(chosen.select(*[docs[c] for c in docs.columns]))

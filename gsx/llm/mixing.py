@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gsx.functions.hashing import hash_key
+from gsx.llm.texts import unused_name
 from gsx.operators.ordered import global_positions, null_safe_join
 from gsx.session import settle
 
@@ -166,16 +167,17 @@ def taken_documents(docs: DataFrame, doc_id="doc_id", text="text", source="sourc
     """
     rows = mix(docs, doc_id, text, source, seed=seed)
     half = (F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))
+    held_to, again = unused_name("limits", docs.columns), unused_name("again", docs.columns)
     limits = settle(
         rows.filter(half)
         .groupBy("source", "pass")
         .agg(F.max("place").alias("limit"))
         .groupBy("source")
-        .agg(F.collect_list("limit").alias("_limits"))
+        .agg(F.collect_list("limit").alias(held_to))
     )
     clash = docs.withColumnRenamed(source, "source") if source != "source" else docs
     place = hash_key(seed, doc_id)
     held = null_safe_join(clash, limits, ["source"], "inner")
-    often = F.size(F.filter(F.col("_limits"), lambda limit: limit >= place))
-    repeated = held.withColumn("_again", F.explode(F.array_repeat(F.lit(0), often)))
+    often = F.size(F.filter(F.col(held_to), lambda limit: limit >= place))
+    repeated = held.withColumn(again, F.explode(F.array_repeat(F.lit(0), often)))
     return repeated.select(*[F.col("source").alias(source) if c == source else F.col(c) for c in docs.columns])

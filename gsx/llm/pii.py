@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gsx.llm.texts import unused_name
+
 ROUNDS = 8
 
 # fixed formats
@@ -183,15 +185,16 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     # most texts hold no digit and no mail address
     may = F.col(text).rlike("[0-9@]")
-    with_matches = docs.withColumn("_found", F.when(may, found).otherwise(F.array().cast("array<string>")))
-    with_names = with_matches.withColumn("_names", F.transform("_found", lambda m: pseudonym(m, key)))
+    old, new = unused_name("found", docs.columns), unused_name("names", docs.columns)
+    with_matches = docs.withColumn(old, F.when(may, found).otherwise(F.array().cast("array<string>")))
+    with_names = with_matches.withColumn(new, F.transform(old, lambda m: pseudonym(m, key)))
     pieces = F.zip_with(
-        F.split(F.col(text), ANY, -1), F.col("_names"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))
+        F.split(F.col(text), ANY, -1), F.col(new), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))
     )
-    changed = F.size(F.filter(F.arrays_zip("_found", "_names"), lambda z: z["_found"] != z["_names"]))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda differs: differs))
     return with_names.withColumns(
         {
-            text: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text)),
+            text: F.when(F.size(old) > 0, F.array_join(pieces, "")).otherwise(F.col(text)),
             "n_replaced": F.coalesce(changed, F.lit(0)).cast("long"),
         }
-    ).drop("_found", "_names")
+    ).drop(old, new)

@@ -30,7 +30,8 @@ _CLASS[list(b".,!?;:|%*&$#")] = _MARK
 # letters of Latin scripts begin with C3, C4 or C5; other scripts are not cut
 _CLASS[0x80:0xC0] = _LETTER
 _CLASS[[0xC2, *range(0xC6, 0xFF)]] = _FAR
-_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+# characters of that range that are no letters in lower case: signs, and the capital I with a dot
+_SIGNS = tuple(chr(c).encode() for c in range(0xC0, 0x180) if not chr(c).lower().isalpha())
 
 
 def spaced(data: bytes) -> bytes:
