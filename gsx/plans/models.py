@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gsx.operators import ensembles as EN
 from gsx.operators import models as M
 from gsx.operators import trees as TR
-from gsx.operators.evaluate import squash
+from gsx.operators.evaluate import squash, with_intervals
 from gsx.operators.ordered import auc, lookup_join
 from gsx.operators.split import with_group_folds
 from gsx.plans.base import (
@@ -25,6 +25,7 @@ from gsx.plans.base import (
 from gsx.plans.evaluation import (
     CROSS,
     DOC_CELLS,
+    N_BOOT,
     SUBSET_SQL,
     doc_cells,
     doc_subsets,
@@ -352,6 +353,22 @@ def m19(spark, sf):
     return _by_direction(EN.stack_on_part(base_models(spark, sf), "label", "row_id"))
 
 
+@query("e11_seven_models")
+def e11_seven(spark, sf):
+    """The five base models, their vote and their stacking on both true transfers, with intervals."""
+    scored = settle(base_models(spark, sf))
+    tested = scored.filter("role = 'test'")
+    keep = ["row_id", "label", "set"]
+    rows = tested.unpivot(keep, list(EN.BASE), "model", "score")
+    for name, one in (("vote", EN.vote(tested)), ("stacking", EN.stack(scored, "label"))):
+        rows = rows.unionByName(one.select(*keep, F.lit(name).alias("model"), "score"))
+    a, b = DOC_DOMAINS
+    rows = settle(rows.withColumn("test", F.when(F.col("set") == a, b).otherwise(a)).withColumnRenamed("set", "train"))
+    keys = ["train", "test", "model"]
+    out = with_intervals(auc(rows, keys, "score", "label"), rows, keys, "label", "row_id", N_BOOT)
+    return rounded(out, "auc", "ci_lo", "ci_hi")
+
+
 @query("m20_refit_and_persist")
 def m20(spark, sf):
     """Refit on all rows, save, load again and score with the loaded model."""
