@@ -458,9 +458,10 @@ SELECT_SQL = f"""{DOC_CELLS},
 tl AS (SELECT train, holdout, label, feature, value FROM ts UNPIVOT (value FOR feature IN ({", ".join(DOC_FEATURES)}))),
 pc AS (SELECT train, holdout, feature, label, count(*)::DOUBLE AS c, avg(value) AS m, var_pop(value) AS v FROM tl GROUP BY 1, 2, 3, 4),
 ft AS (SELECT train, holdout, feature,
-         (sum(c * m * m) - sum(c) * pow(sum(c * m) / sum(c), 2)) / (count(*) - 1) / (sum(c * v) / (sum(c) - count(*))) AS f_stat
+         CASE WHEN sum(c * v) > 1e-12 * sum(c * (v + m * m)) THEN
+           (sum(c * m * m) - sum(c) * pow(sum(c * m) / sum(c), 2)) / (count(*) - 1) / (sum(c * v) / (sum(c) - count(*))) END AS f_stat
        FROM pc GROUP BY 1, 2, 3),
-fr AS (SELECT *, row_number() OVER (PARTITION BY train, holdout ORDER BY f_stat DESC, list_position([{", ".join(f"'{f}'" for f in DOC_FEATURES)}], feature)) <= {K_BEST} AS chosen FROM ft)"""
+fr AS (SELECT *, row_number() OVER (PARTITION BY train, holdout ORDER BY f_stat DESC NULLS LAST, list_position([{", ".join(f"'{f}'" for f in DOC_FEATURES)}], feature)) <= {K_BEST} AS chosen FROM ft)"""
 
 
 @query(
