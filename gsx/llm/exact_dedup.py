@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gsx.llm.texts import unused_name
+from gsx.llm.row_numbers import NumberedRows
 from gsx.session import settle
 
 BLOCK = 2048
@@ -25,10 +25,11 @@ BUCKETS = 65536
 SPLIT = 1000
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _blocks(docs: DataFrame, doc_id: str, text: str, number: str | None) -> DataFrame:
     """One row per block; the first block of a text carries its id and digest."""
+    rid = F.monotonically_increasing_id() if number is None else F.col(number)
     raw = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        rid.alias("rid"),
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"),
     )
@@ -66,9 +67,9 @@ def _split_table(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _name_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _name_blocks(docs: DataFrame, doc_id: str, text: str, number: str | None) -> DataFrame:
     """(rid, pos, n, u, info, name), settled."""
-    blocks = _blocks(docs, doc_id, text)
+    blocks = _blocks(docs, doc_id, text, number)
     parts = _split_table(blocks)
     dealt = (
         blocks.withColumn("bucket", _bucket("block"))
@@ -112,9 +113,14 @@ def _pair_up(names: DataFrame) -> DataFrame:
     return pairs.join(named, ["l", "r"]).select("rid", "pos", "n", "u", "info", "name")
 
 
-def text_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, sha, blocks, name) per row; equal (blocks, name) means equal text."""
-    names = settle(_name_blocks(docs, doc_id, text))
+def text_names(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", number: str | None = None
+) -> DataFrame:
+    """(rid, doc_id, sha, rounds, name) per row; equal (rounds, name) means equal text.
+
+    ``rid`` is the column ``number`` where one is named.
+    """
+    names = settle(_name_blocks(docs, doc_id, text, number))
     most = names.agg(F.max("n")).first()[0] or 1
     done = [names.filter("n = 1").withColumn("rounds", F.lit(0))]
     rest, rounds = names.filter("n > 1"), 0
@@ -138,11 +144,15 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     which one stays; a NULL id is smaller than any other and gives keep_id NULL only if
     the whole group has none.  Other columns are ignored; an empty table gives no rows.
     """
-    names = text_names(docs, doc_id, text)
+    return _groups(text_names(docs, doc_id, text)).drop("rid")
+
+
+def _groups(names: DataFrame) -> DataFrame:
     groups = names.groupBy("rounds", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")
     )
     return names.join(groups, ["rounds", "name"]).select(
+        "rid",
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
         "group_size",
@@ -152,35 +162,16 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns are kept."""
-    counts = (
-        copy_groups(docs, doc_id, text)
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.count_if("kept").alias("keep"), F.count(F.lit(1)).alias("all"))
-    )
-    return keep_rows(docs, counts, doc_id, text)
+    """``docs`` with one row of each group of equal texts; all columns are kept.
+
+    The row that stays is that of :func:`copy_groups`.
+    """
+    table = NumberedRows(docs)
+    groups = _groups(text_names(table.rows, doc_id, text, table.name))
+    return table.without(groups.filter(~F.col("kept")).select("rid"))
 
 
 def text_digest(text) -> F.Column:
     """sha256 of a text, NULL being empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
-
-def keep_rows(docs: DataFrame, counts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """As many rows of ``docs`` per id and text as ``counts`` says.
-
-    ``counts`` has doc_id, text_sha256, keep and all, the number of rows there are.  Only those
-    of which some go are joined, so the texts are shuffled only when these are too many to
-    broadcast.
-    """
-    own_id, sha, keep, place = (unused_name(n, docs.columns) for n in ("id", "sha", "keep", "place"))
-    some_go = settle(
-        counts.filter("keep < all").select(
-            F.col("doc_id").alias(own_id), F.col("text_sha256").alias(sha), F.col("keep").alias(keep)
-        )
-    )
-    match = docs[doc_id].eqNullSafe(F.col(own_id)) & (text_digest(docs[text]) == F.col(sha))
-    repeated = docs.join(some_go.filter(F.col(keep) > 0), match)
-    nth = F.row_number().over(Window.partitionBy(own_id, sha).orderBy(F.lit(1)))
-    chosen = repeated.withColumn(place, nth).filter(F.col(place) <= F.col(keep))
-    return docs.join(some_go, match, "left_anti").union(chosen.select(*[docs[c] for c in docs.columns]))

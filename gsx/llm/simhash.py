@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.components import components
-from gsx.llm.exact_dedup import keep_rows, text_digest
+from gsx.llm.exact_dedup import text_digest
+from gsx.llm.row_numbers import NumberedRows
 from gsx.llm.texts import word_lists
 from gsx.session import settle, ship
 
@@ -192,21 +193,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *mo
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row, of the smallest id, of each group of near copies.
 
-    Where rows of a group repeat that id the smallest text digest decides; of rows equal in both
-    one stays.
+    Where rows of a group repeat that id the smallest text digest decides, then the place in the table.
     """
-    rows = near_groups(docs, doc_id, text, text_digest(F.col(text)).alias("text_sha256"))
-    return keep_first(docs, rows, doc_id, text)
-
-
-def keep_first(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with the first row of each ``root``; ``rows`` has doc_id, text_sha256, root per row."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")
-    first = rows.groupBy("root").agg(F.min(order).alias("m"))
-    stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_sha256") == F.col("m.text_sha256"))
-    counts = (
-        rows.join(first, "root")
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.max(stays.cast("int")).alias("keep"), F.count(F.lit(1)).alias("all"))
-    )
-    return keep_rows(docs, counts, doc_id, text)
+    table = NumberedRows(docs)
+    digest = text_digest(F.col(text)).alias("text_sha256")
+    return keep_first(table, near_groups(table.rows, doc_id, text, digest, F.col(table.name).alias("rid")))
+
+
+def keep_first(table: NumberedRows, rows: DataFrame) -> DataFrame:
+    """``table`` with the first row of each ``root``; ``rows`` has doc_id, text_sha256, root, rid per row."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256", "rid")
+    first = rows.groupBy("root").agg(F.min(order)["rid"].alias("stays"))
+    return table.without(rows.join(first, "root").filter("rid <> stays").select("rid"))
