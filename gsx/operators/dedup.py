@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gsx.functions.hashing import hash_int
-from gsx.operators.ordered import hash_rank, lookup_join
+from gsx.operators.ordered import hash_rank, lookup_join, null_safe_join
+from gsx.session import settle
+
+#: Equal removed rows that are unfolded at once.
+REPEATS = 65_536
 
 
 def content_md5(content: str) -> Column:
@@ -28,6 +32,12 @@ def _whole(value: Column, digits: int) -> Column:
     return F.coalesce(scaled.try_cast("decimal(38,0)").cast("string"), scaled.cast("string"), F.lit("null"))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """MD5 of all columns of a row, NULL fields included."""
+    cells = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+
+
 def first_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFrame:
     """(fingerprint, kept, copies): the smallest ``order_key`` of every group of copies.
 
@@ -43,8 +53,8 @@ def first_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFram
 def drop_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFrame:
     """Keep the first row of every group of copies (L1).
 
-    Rows that repeat both the content and the order key are one row.  They are counted
-    first, so only they are compared as whole rows.
+    NULL order keys come last; NULL contents are copies of each other.  Rows that repeat both
+    content and key are counted first, so only of them the smallest row digest decides.
     """
     per_key = (
         df.select(fingerprint.alias("_fp"), F.col(order_key).alias("_key"))
@@ -53,45 +63,55 @@ def drop_copies(df: DataFrame, fingerprint: Column, order_key: str) -> DataFrame
     )
     first = F.min(F.struct(F.col("_key").isNull(), "_key", "_n"))
     kept = per_key.groupBy("_fp").agg(first.alias("_first")).select("_fp", "_first._key", "_first._n")
-    winners = df.withColumn("_own", fingerprint).join(
-        kept, (F.col("_own") == F.col("_fp")) & F.col(order_key).eqNullSafe(F.col("_key"))
+    winners = df.withColumns({"_own": fingerprint, "_whole": row_digest(df)}).join(
+        kept, F.col("_own").eqNullSafe(F.col("_fp")) & F.col(order_key).eqNullSafe(F.col("_key"))
     )
     single = winners.filter("_n = 1").select(*df.columns)
-    repeated = winners.filter("_n > 1").dropDuplicates(["_own"]).select(*df.columns)
+    row = F.min_by(F.struct(*df.columns), "_whole").alias("_row")
+    repeated = winners.filter("_n > 1").groupBy("_own").agg(row).select("_row.*")
     return single.unionByName(repeated)
 
 
 def copy_report(
     df: DataFrame, fingerprint: Column, order_key: str, domain: str, label: str
 ) -> DataFrame:
-    """One row per removed copy with the row kept in its place."""
-    groups = (
+    """One row per removed copy with the row kept in its place.
+
+    The kept row is that of :func:`drop_copies`; rows that repeat its key, or have none, are
+    reported like any other.
+    """
+    id_, kept_domain = F.col("removed_id"), F.col("removed_domain")
+    rows = settle(
         df.select(
             fingerprint.alias("fingerprint"),
-            F.struct(F.col(order_key).alias("id"), F.col(domain).alias("domain")).alias("row"),
+            F.col(order_key).alias("removed_id"),
+            F.col(domain).alias("removed_domain"),
+            F.col(label).alias("label"),
+            row_digest(df).alias("_whole"),
         )
-        .groupBy("fingerprint")
-        .agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("copies"))
+        .groupBy("fingerprint", "removed_id", "removed_domain", "label", "_whole")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    order = F.struct(id_.isNull(), id_.alias("id"), F.col("_whole").alias("whole"), kept_domain.alias("domain"))
+    groups = (
+        rows.groupBy("fingerprint")
+        .agg(F.min(order).alias("kept"), F.sum("_n").alias("copies"))
         .filter("copies > 1")
         .select("fingerprint", "kept")
     )
-    rows = df.select(
-        fingerprint.alias("fingerprint"),
-        F.col(order_key).alias("removed_id"),
-        F.col(domain).alias("removed_domain"),
-        F.col(label).alias("label"),
-    )
-    return (
-        lookup_join(rows, groups, "fingerprint")
-        .filter(F.col("removed_id") != F.col("kept.id"))
-        .select(
-            "fingerprint",
-            F.col("kept.id").alias("kept_id"),
-            F.col("kept.domain").alias("kept_domain"),
-            "removed_id",
-            "removed_domain",
-            "label",
-        )
+    own = F.col("removed_id").eqNullSafe(F.col("kept.id")) & (F.col("_whole") == F.col("kept.whole"))
+    gone = null_safe_join(rows, groups, ["fingerprint"], "inner").withColumn("_n", F.col("_n") - own.cast("long"))
+    # equal rows are unfolded in parts, so no long list of them is built
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / REPEATS)))
+    part = gone.filter("_n > 0").withColumn("_part", parts)
+    times = F.least(F.lit(REPEATS), F.col("_n") - F.col("_part") * REPEATS)
+    return part.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(
+        "fingerprint",
+        F.col("kept.id").alias("kept_id"),
+        F.col("kept.domain").alias("kept_domain"),
+        "removed_id",
+        "removed_domain",
+        "label",
     )
 
 

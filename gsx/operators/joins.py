@@ -41,13 +41,14 @@ def member_flag(df: DataFrame, members: DataFrame, key: str, name: str = "member
 def transfer_cells(df: DataFrame, domain: str, combined: str = "Combined") -> DataFrame:
     """(train, test) for every ordered pair of domains and the pooled one.
 
-    Domain names are the few values a user trains on; they are read from the data,
-    checked, and unfolded from one row.
+    The distinct names, however many, meet in one row that is unfolded twice; NULL is no domain.
     """
-    names = [r[0] for r in df.select(domain).distinct().dropna().limit(201).collect()]
-    if len(names) > 200:
-        raise ValueError("more than 200 domains: not a domain column")
-    return cells_of(df.sparkSession, names, combined)
+    names = df.select(F.col(domain).cast("string").alias("name")).dropna().distinct()
+    every = F.array_sort(F.collect_list("name"))
+    if combined:
+        every = F.concat(every, F.array(F.lit(combined)))
+    row = names.agg(every.alias("every"))
+    return row.select("every", F.explode("every").alias("train")).select("train", F.explode("every").alias("test"))
 
 
 def cells_of(spark, names, combined="Combined") -> DataFrame:

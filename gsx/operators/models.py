@@ -23,7 +23,7 @@ from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAs
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,8 +119,10 @@ def gaussian_log_odds(features) -> Column:
 
 # --- k nearest neighbours (M10) -----------------------------------------------------------------
 
-KNN_ROWS = 50_000
+#: Training rows of a block, and test rows that visit one together.
 KNN_BLOCK = 4_096
+#: Training rows that part the others into cells; the driver holds so many vectors.
+KNN_PIVOTS = 64
 
 
 def _nearest(k, train_ids, train_x, train_y):
@@ -150,54 +152,122 @@ def _matrix(column) -> np.ndarray:
 KNN_SCHEMA = "row_id bigint, train_id bigint, distance double, y int"
 
 
-def knn_candidates(
-    test: DataFrame, train: DataFrame, k: int = 5, max_rows: int = KNN_ROWS, block: int = KNN_BLOCK
-) -> DataFrame:
-    """Nearest training rows of every test row (row_id, train_id, distance, y).
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` to every pivot."""
+    parts = [
+        np.sqrt(((x[i : i + 256, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), 256)
+    ]
+    return np.concatenate(parts)
 
-    Both frames have ``row_id bigint``, ``x array<double>`` and ``y``.  A counted, small
-    training set travels to the tasks.  A larger one is cut into blocks: each test row
-    visits every block through an equi-join on the block number and leaves ``k``
-    candidates there, so the result stays exact and no row pairs are written.
+
+class _Cells:
+    """Training rows by their nearest pivot, and which cells a test row must visit.
+
+    A cell is left out only where its nearest possible row is farther than ``k`` rows that are
+    known to lie nearer; equal distances are visited, and NaN leaves nothing out.
     """
-    n = train.count()
-    ship(train.sparkSession)
-    if n == 0:
-        return train.sparkSession.createDataFrame([], KNN_SCHEMA)
-    if n <= max_rows:
-        rows = train.select("row_id", "x", "y").collect()  # at most ``max_rows``
-        shared = train.sparkSession.sparkContext.broadcast(
-            (
-                np.array([r[0] for r in rows], dtype=np.int64),
-                np.array([r[1] for r in rows], dtype=float),
-                np.array([r[2] for r in rows], dtype=np.int32),
-            )
-        )
 
-        def run(batches):
-            ids, x, y = shared.value
-            top = _nearest(k, ids, x, y)
+    def __init__(self, train: DataFrame, k: int, block: int, pivots: int):
+        picked = train.orderBy(F.xxhash64("row_id"), "row_id").limit(pivots).select("x").collect()
+        self.n_cells, self.n_train = len(picked), 0
+        if not picked:
+            return
+        centres = _matrix([r[0] for r in picked])
+
+        def place(batches):
+            for pdf in batches:
+                if len(pdf):
+                    gaps = _gaps(_matrix(pdf["x"]), centres)
+                    cell = gaps.argmin(axis=1)
+                    gap = gaps[np.arange(len(pdf)), cell]
+                    # a row that holds NaN is as far as can be
+                    gap = np.where(np.isnan(gap), np.inf, gap)
+                    yield pdf.assign(cell=cell.astype(np.int32), gap=gap)
+
+        placed = settle(train.mapInPandas(place, "row_id bigint, x array<double>, y int, cell int, gap double"))
+        blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+        # at most one row per pivot
+        sizes = placed.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")
+        )
+        self.sizes = settle(sizes.select("cell", "n", "low", "high", blocks))
+        part = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("block")
+        self.rows = placed.join(F.broadcast(self.sizes.select("cell", "blocks")), "cell").select(
+            "cell", part, "row_id", "x", "y", "gap"
+        )
+        near = self.rows.select("cell", "block", "gap")
+        for keys in (("cell", "block"), ("cell",)):
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy("gap"))
+            near = near.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+        firsts = {r[0]: r[1] for r in near.groupBy("cell").agg(F.collect_list("gap")).collect()}
+        found = sorted(self.sizes.select("cell", "low", "high", "n").collect())
+        self.n_train = sum(r[3] for r in found)
+        cells = np.array([r[0] for r in found])
+        low, high = np.array([r[1] for r in found]), np.array([r[2] for r in found])
+        owner = np.repeat(np.arange(len(cells)), [len(firsts[c]) for c in cells])
+        known = np.concatenate([firsts[c] for c in cells])
+
+        def visit(batches):
             for pdf in batches:
-                for i in range(0, len(pdf), 64):
-                    part = pdf.iloc[i : i + 64]
-                    yield top(part["row_id"].to_numpy(), _matrix(part["x"]))
+                if not len(pdf):
+                    continue
+                gaps = _gaps(_matrix(pdf["x"]), centres)
+                own = gaps[:, cells]
+                if len(known) >= k:
+                    limit = np.partition(own[:, owner] + known, k - 1, axis=1)[:, k - 1 : k]
+                else:
+                    limit = np.full((len(pdf), 1), np.inf)
+                least = np.maximum(np.maximum(own - high, low - own), (own - gaps.min(axis=1, keepdims=True)) / 2)
+                goes = ~(least > limit * (1 + 1e-9) + 1e-12 * (1 + own))
+                yield pdf.assign(cells=[cells[g].tolist() for g in goes])
+
+        self.visit = visit
+
+    def visits(self, test: DataFrame) -> DataFrame:
+        """(row_id, x, cell): one row per cell that a test row visits, settled."""
+        told = test.mapInPandas(self.visit, "row_id bigint, x array<double>, cells array<int>")
+        return settle(told.select("row_id", "x", F.explode("cells").alias("cell")))
 
-        return test.select("row_id", "x").mapInPandas(run, KNN_SCHEMA)
 
-    n_train = max(1, math.ceil(n / block))
-    n_test = max(1, math.ceil(test.count() / block))
-    left = test.select(
-        F.pmod(F.xxhash64("row_id"), F.lit(n_test)).cast("int").alias("tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("b"),
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("x").cast("array<double>").alias("x"))
+
+
+def _train_cells(train: DataFrame, k: int, block: int, pivots: int) -> _Cells:
+    ship(train.sparkSession)
+    y = F.col("y").cast("int").alias("y")
+    return _Cells(settle(train.select(*_rows(train).columns, y)), k, block, pivots)
+
+
+def knn_candidates(
+    test: DataFrame, train: DataFrame, k: int = 5, block: int = KNN_BLOCK, pivots: int = KNN_PIVOTS
+) -> DataFrame:
+    """Nearest training rows of every test row (row_id, train_id, distance, y).
+
+    Both frames have ``row_id bigint``, ``x array<double>`` and ``y``.  A test row visits the
+    cells that may hold one of its ``k`` nearest rows, block by block, through an equi-join, and
+    leaves ``k`` candidates in each block, so the result is exact; no row pairs are written.
+    """
+    cells = _train_cells(train, k, block, pivots)
+    if not cells.n_cells:
+        return train.sparkSession.createDataFrame([], KNN_SCHEMA)
+    visits = cells.visits(_rows(test))
+    groups = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+    table = settle(groups.join(cells.sizes.select("cell", "blocks"), "cell"))
+    left = visits.join(F.broadcast(table), "cell").select(
+        "cell",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("row_id"), F.col("groups")).cast("int").alias("group"),
         "row_id",
         "x",
     )
-    right = train.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("tb"),
-        F.pmod(F.xxhash64("row_id"), F.lit(n_train)).cast("int").alias("b"),
+    right = cells.rows.join(F.broadcast(table.select("cell", "groups")), "cell").select(
+        "cell",
+        "block",
+        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"),
         F.col("row_id").alias("tid"),
         F.col("x").alias("tx"),
-        F.col("y").cast("int").alias("y"),
+        "y",
     )
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -210,24 +280,38 @@ def knn_candidates(
         ]
         return pd.concat(parts, ignore_index=True)
 
-    return left.groupBy("tb", "b").cogroup(right.groupBy("tb", "b")).applyInPandas(both, KNN_SCHEMA)
+    keys = ("cell", "block", "group")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, KNN_SCHEMA)
+
+
+def knn_visited_share(
+    test: DataFrame, train: DataFrame, k: int = 5, block: int = KNN_BLOCK, pivots: int = KNN_PIVOTS
+) -> DataFrame:
+    """(n_test, n_train, compared, share): row pairs that :func:`knn_candidates` compares, of all."""
+    cells = _train_cells(train, k, block, pivots)
+    if cells.n_cells:
+        met = cells.visits(_rows(test)).join(F.broadcast(cells.sizes), "cell")
+        pairs = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+    else:
+        pairs = test.agg(F.lit(0).cast("long").alias("compared"))
+    every = F.lit(test.count()), F.lit(cells.n_train)
+    share = F.try_divide(F.col("compared").cast("double"), every[0].cast("double") * every[1])
+    return pairs.select(every[0].alias("n_test"), every[1].alias("n_train"), "compared", share.alias("share"))
 
 
 def knn_votes(
-    test: DataFrame, train: DataFrame, k: int = 5, max_rows: int = KNN_ROWS, block: int = KNN_BLOCK
+    test: DataFrame, train: DataFrame, k: int = 5, block: int = KNN_BLOCK, pivots: int = KNN_PIVOTS
 ) -> DataFrame:
     """(row_id, votes, score): share of positives among the ``k`` nearest.
 
-    At most ``k`` candidates per training block reach the final choice.
+    At most ``k`` candidates per visited block reach the final choice.
     """
-    near = knn_candidates(test, train, k, max_rows, block)
+    near = knn_candidates(test, train, k, block, pivots)
     best = near.groupBy("row_id").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("distance", "train_id", "y"))), 1, k).alias("n")
     )
     votes = F.aggregate("n", F.lit(0), lambda a, v: a + v["y"])
-    return best.select(
-        "row_id", votes.alias("votes"), (votes / F.size("n")).alias("score")
-    )
+    return best.select("row_id", votes.alias("votes"), (votes / F.size("n")).alias("score"))
 
 
 # --- Spark ML estimators ---------------------------------------------------------------------

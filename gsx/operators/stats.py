@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gsx.functions.stat_math import cohen_d, mann_whitney_p, stars
+from gsx.functions.stat_math import cohen_d, mann_whitney_p, stars, student_two_sided_p
 from gsx.operators.ordered import auc_from, lookup_join, percentiles, rank_sums
 
 MIN_PER_CLASS = 5
@@ -247,7 +247,10 @@ def group_means(df: DataFrame, group: str, label: str, features, carry=()) -> Da
 
 
 def spearman(ranking: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of two domains' rankings and its t statistic."""
+    """Rank correlation of two domains' rankings, its t statistic and two-sided p.
+
+    The p value is NULL below three features; rankings that agree or oppose each other in full have p 0.
+    """
     wide = ranking.groupBy("feature").agg(
         F.max(F.when(F.col("domain") == a, F.col("auc"))).alias("va"),
         F.max(F.when(F.col("domain") == b, F.col("auc"))).alias("vb"),
@@ -261,7 +264,9 @@ def spearman(ranking: DataFrame, a: str, b: str) -> DataFrame:
     ranks = wide.select(average_rank("va").alias("ra"), average_rank("vb").alias("rb"))
     one = ranks.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
-    return one.select(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"), "n", "rho", t.alias("t"))
+    settled = one.select(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"), "n", "rho", t.alias("t"))
+    p = F.when(F.abs("rho") < 1, student_two_sided_p(F.col("t"), F.col("n") - 2)).when(F.abs("rho") >= 1, 0.0)
+    return settled.withColumn("p_value", F.when(F.col("n") > 2, p))
 
 
 def fuse_ranks(wide: DataFrame, rank_cols, feature="feature") -> DataFrame:

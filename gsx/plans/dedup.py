@@ -36,8 +36,9 @@ def l1(spark, sf):
     "l1_copy_report",
     """
 SELECT fingerprint, kept_id, kept_domain, doc_id AS removed_id, source AS removed_domain, lang AS label FROM (
-  SELECT *, md5(text) AS fingerprint, first_value(doc_id) OVER w AS kept_id, first_value(source) OVER w AS kept_domain
-  FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)) WHERE doc_id <> kept_id""",
+  SELECT *, md5(text) AS fingerprint, first_value(doc_id) OVER w AS kept_id, first_value(source) OVER w AS kept_domain,
+         row_number() OVER w AS nth
+  FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)) WHERE nth > 1""",
 )
 def l1_report(spark, sf):
     return copy_report(table(spark, sf, "documents"), content_md5("text"), "doc_id", "source", "lang")
@@ -63,10 +64,10 @@ def l2(spark, sf):
 @query(
     "l2_vector_report",
     f"""WITH {LINE_SQL},
-f AS (SELECT row_id, domain, label, min(row_id) OVER (PARTITION BY {VEC_HASH}) AS kept_id
-      FROM line WHERE domain = 'F')
+f AS (SELECT row_id, domain, label, first_value(row_id) OVER w AS kept_id, row_number() OVER w AS nth
+      FROM line WHERE domain = 'F' WINDOW w AS (PARTITION BY {VEC_HASH} ORDER BY row_id))
 SELECT kept_id, 'F' AS kept_domain, row_id AS removed_id, domain AS removed_domain, label
-FROM f WHERE row_id <> kept_id""",
+FROM f WHERE nth > 1""",
 )
 def l2_report(spark, sf):
     """Rows of domain F whose vector an earlier row has, with that row."""

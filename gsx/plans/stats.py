@@ -276,12 +276,20 @@ def a14(spark, sf):
     f"""WITH {VRANK_SQL},
 w AS (SELECT feature, max(auc) FILTER (domain = '0') AS a, max(auc) FILTER (domain = '1') AS b FROM ranked GROUP BY 1 HAVING count(*) = 2),
 r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
-             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM w)
-SELECT '0' AS domain_a, '1' AS domain_b, count(*) AS n, round(corr(ra, rb), 6) AS rho,
-  round(corr(ra, rb) * sqrt((count(*) - 2) / (1 - corr(ra, rb) * corr(ra, rb))), 6) AS t FROM r""",
+             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM w),
+o AS (SELECT count(*) AS n, corr(ra, rb) AS rho, corr(ra, rb) * sqrt((count(*) - 2) / (1 - corr(ra, rb) * corr(ra, rb))) AS t FROM r),
+g AS (SELECT *, n - 2 AS df, (n - 2) % 2 AS odd, atan(abs(t) / sqrt(n - 2)) AS angle FROM o),
+-- the finite sum for whole degrees of freedom
+k AS (SELECT *, unnest(range(0, (df - odd) // 2)) AS k FROM g),
+c AS (SELECT *, exp(sum(CASE WHEN k = 0 THEN 0 WHEN odd = 1 THEN ln(2.0 * k / (2 * k + 1)) ELSE ln((2.0 * k - 1) / (2 * k)) END)
+                    OVER (ORDER BY k)) * cos(angle) ** (2 * k + odd) AS part FROM k),
+s AS (SELECT coalesce(sum(part), 0) AS total FROM c)
+SELECT '0' AS domain_a, '1' AS domain_b, n, round(rho, 6) AS rho, round(t, 6) AS t,
+  round(1 - CASE WHEN odd = 1 THEN 2 / pi() * (angle + sin(angle) * total) ELSE sin(angle) * total END, 6) AS p_value
+FROM g, s""",
 )
 def a15(spark, sf):
-    return rounded(spearman(vector_ranking(spark, sf), "0", "1"), "rho", "t")
+    return rounded(spearman(vector_ranking(spark, sf), "0", "1"), "rho", "t", "p_value")
 
 
 @query(

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gsx.functions import names
+from gsx.functions.stat_math import student_two_sided_p
 from gsx.operators import columns, dedup, evaluate, joins, models, report, series, split, stats
 from gsx.operators.bootstrap import auc_interval
 from gsx.operators.ordered import auc
@@ -182,18 +183,62 @@ def test_every_row_is_scored_once_per_cell_without_its_own_group(spark):
     assert held.count() == 0
 
 
-def test_knn_blocks_equal_the_broadcast_path(spark):
+def test_knn_cells_equal_brute_force_with_ties(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(size=6)], int(rng.random() < 0.5)) for i in range(300)]
+    far = [[float(v) for v in 20 * (i % 9) + rng.normal(size=3)] for i in range(400)]
+    grid = [[float(v) for v in rng.integers(0, 3, 3)] for _ in range(200)]
+    rows = [(i, v, int(rng.random() < 0.5)) for i, v in enumerate(far + grid)]
     df = spark.createDataFrame(rows, "row_id bigint, x array<double>, y int")
-    test, train = df.filter("row_id < 60"), df.filter("row_id >= 60")
-    a = {r["row_id"]: r["votes"] for r in models.knn_votes(test, train).collect()}
-    b = {r["row_id"]: r["votes"] for r in models.knn_votes(test, train, max_rows=0, block=50).collect()}
+    test, train = df.filter("row_id % 5 = 0"), df.filter("row_id % 5 > 0")
     x = {r[0]: np.array(r[1]) for r in rows}
     y = {r[0]: r[2] for r in rows}
-    for i in range(60):
-        near = sorted(range(60, 300), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]
-        assert a[i] == b[i] == sum(y[j] for j in near)
+    known = [i for i in x if i % 5]
+    near = {
+        i: sorted(known, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5] for i in x if i % 5 == 0
+    }
+    for options in ({}, {"block": 30, "pivots": 12}, {"pivots": 1, "block": 50}):
+        got = {r["row_id"]: r["votes"] for r in models.knn_votes(test, train, **options).collect()}
+        assert got == {i: sum(y[j] for j in n) for i, n in near.items()}
+    seen = models.knn_visited_share(test, train, pivots=32).first()
+    assert (seen["n_test"], seen["n_train"]) == (120, 480) and 0 < seen["share"] < 0.4
+    few = models.knn_votes(test, train.limit(2)).collect()
+    assert len(few) == 120 and models.knn_votes(test, train.limit(0)).count() == 0
+    assert models.knn_visited_share(test, train.limit(0)).first()["share"] is None
+    odd = spark.createDataFrame([(1, [float("nan")] * 3, 1), (2, [0.0] * 3, 0)], "row_id bigint, x array<double>, y int")
+    assert {r["row_id"] for r in models.knn_votes(odd, odd.union(train)).collect()} == {1, 2}
+
+
+def test_copy_report_lists_rows_that_repeat_the_kept_key(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "REPEATS", 2)
+    rows = [(1, "x", "a", 0), (1, "x", "b", 1), (None, "x", "a", 0), (1, "x", "a", 0), (3, "y", "a", 1)]
+    rows += [(4, "z", "a", 0)] * 8 + [(5, None, "a", 0), (6, None, "b", 0)]
+    df = spark.createDataFrame(rows, "id int, t string, dom string, label int")
+    kept = {(r["t"], r["id"], r["dom"]) for r in dedup.drop_copies(df, dedup.content_md5("t"), "id").collect()}
+    rep = dedup.copy_report(df, dedup.content_md5("t"), "id", "dom", "label").collect()
+    assert len(rep) == len(rows) - len(kept) and len(kept) == 4
+    left = {(r["kept_id"], r["kept_domain"]) for r in rep}
+    assert left == {(i, d) for t, i, d in kept if t != "y"}
+    assert sum(r["removed_id"] is None for r in rep) == 1 and sum(r["kept_id"] == 4 for r in rep) == 7
+    again = dedup.drop_copies(df.repartition(5), dedup.content_md5("t"), "id").collect()
+    assert {(r["t"], r["id"], r["dom"]) for r in again} == kept
+
+
+def test_transfer_cells_of_many_domains(spark):
+    df = spark.range(600).select(F.when(F.col("id") > 0, F.col("id") % 300).alias("d"))
+    assert joins.transfer_cells(df, "d").count() == 301 * 301
+    assert joins.transfer_cells(df.limit(0), "d", "").count() == 0
+
+
+def test_student_p_against_tables(spark):
+    # two-sided quantiles of public tables, to nine digits of p where closed forms exist
+    cases = [(1.0, 1, 0.5), (12.706204736, 1, 0.05), (2.0 ** 0.5, 2, 1 - (2 / 4) ** 0.5), (4.302652730, 2, 0.05),
+             (2.228138852, 10, 0.05), (3.169272673, 10, 0.01), (-2.042272456, 30, 0.05), (0.0, 7, 1.0),
+             (1.983971519, 100, 0.05), (1.962339081, 1000, 0.05)]
+    df = spark.createDataFrame([(float(t), n, p) for t, n, p in cases], "t double, n int, p double")
+    for r in df.select("p", student_two_sided_p(F.col("t"), F.col("n")).alias("got")).collect():
+        assert abs(r["got"] - r["p"]) < 1e-9
+    none = df.limit(1).select(student_two_sided_p(F.col("t"), F.lit(0)).alias("p")).first()
+    assert none["p"] is None
 
 
 def test_logistic_model_separates_and_survives_saving(spark, tmp_path):
