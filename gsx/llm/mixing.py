@@ -1,12 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source queue in a seeded hash order.  A document's virtual finish time is
-the words of its source up to and including it, divided by the source's target.  All
-queues together are sorted by finish time and cut where the total budget is served.
-Sources whose target exceeds their size queue a second time.
+Documents of a source queue in a seeded hash order; sources whose target exceeds their size
+queue again.  A document's virtual finish time is the words of its source up to and including it,
+divided by the source's target.  All queues together are sorted by finish time, and the line is
+cut where its running total reaches the budget: what a source gives is decided there alone.
+A document longer than a quantum queues in pieces with finish times of their own, so that a very
+long one is not served or left as a whole.
 
 Only built-in expressions run.  No source is sorted in one task: running sums add the
-totals of smaller hash buckets to a window inside the own bucket.
+totals of smaller hash buckets, or of earlier ranges, to a window inside the own one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+#: Words that are served at once; what a source gives differs from its target by little more.
+QUANTUM = 128
 #: Rows of one hash bucket, the unit that one task sorts.
 BUCKET_ROWS = 4_000
 
@@ -34,6 +38,24 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lined_up(rows: DataFrame, order: list, values: list[str]) -> DataFrame:
+    """``rows`` with the sums of ``values`` over all rows before each one in ``order``, as ``<value>_ahead``.
+
+    Rows are sorted in ranges; a range adds the totals of the ranges before it.
+    """
+    ranged = settle(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    # one row per range
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumns({f"{v}_ahead": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    joined = summed.join(F.broadcast(offsets), "_pid")
+    return joined.withColumns({f"{v}_ahead": F.col(f"{v}_ahead") + F.col(f"_o_{v}") for v in values}).drop(
+        "_pid", *[f"_o_{v}" for v in values]
+    )
+
+
 def source_targets(
     sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST
 ) -> DataFrame:
@@ -42,30 +64,26 @@ def source_targets(
     Weights repeat over the sources in code point order, NULL last.  ``share`` of all
     words is dealt by weight; a target stops at ``most`` times its source's size and the
     excess goes to the others by weight until no target is above its stop.
+
+    Sources stop in the order of stop / weight.  The first one that the rest of the budget, dealt
+    by weight to it and those after it, does not stop gives the level of all that stay open.
     """
     order = global_positions(sources, [F.col("source").asc_nulls_last()], "sid")
     deal = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = settle(
-        order.withColumns(
-            {
-                "weight": F.get(deal, ((F.col("sid") - 1) % len(weights)).cast("int")),
-                "stop": F.col("source_size") * F.lit(float(most)),
-            }
-        )
+    weighed = order.withColumns(
+        {
+            "weight": F.get(deal, ((F.col("sid") - 1) % len(weights)).cast("int")),
+            "stop": F.col("source_size") * F.lit(float(most)),
+        }
     )
-    budget = (weighed.agg(F.sum("source_size")).first()[0] or 0) * float(share)
-    # the level only rises, so a source that has stopped stays stopped
-    level = 0.0
-    while True:
-        stopped = F.col("weight") * level >= F.col("stop")
-        full, open_weight = weighed.agg(
-            F.coalesce(F.sum(F.when(stopped, F.col("stop"))), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0.0)),
-        ).first()
-        if open_weight == 0 or (budget - full) / open_weight <= level:
-            break
-        level = (budget - full) / open_weight
-    return weighed.withColumn("target", F.least(F.col("weight") * level, F.col("stop"))).drop("stop")
+    ratio = F.try_divide("stop", "weight")
+    line = lined_up(weighed.withColumn("ratio", ratio), [F.col("ratio"), F.col("sid")], ["stop", "weight"])
+    size, weight = line.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = F.lit((size or 0) * float(share)) - F.col("stop_ahead")
+    levels = line.withColumn("level", F.try_divide(left, F.lit(float(weight or 0)) - F.col("weight_ahead")))
+    level = levels.filter("level <= ratio").agg(F.min_by("level", F.struct("ratio", "sid"))).first()[0]
+    target = F.col("stop") if level is None else F.least(F.col("weight") * level, F.col("stop"))
+    return line.withColumn("target", target).select(*sources.columns, "sid", "weight", "target")
 
 
 def queue(
@@ -117,45 +135,41 @@ def queue(
     )
 
 
-def mix(docs: DataFrame, *names, most: float = MOST, **options) -> DataFrame:
+def mix(docs: DataFrame, *names, most: float = MOST, quantum: int = QUANTUM, **options) -> DataFrame:
     """The mix: one row per document and pass of its source's queue.
 
-    The columns of :func:`queue`, and pass (0, 1, ...), finish (virtual finish time),
-    taken (words of this row) and served (words of the whole mix up to the end of this
-    row, in the order of finish times cut at 1; NULL where nothing is taken).  The document
-    that a source is serving at virtual time 1, when the budget is spent, is taken in part,
-    so every source takes its target to the word.
+    The columns of :func:`queue`, and pass (0, 1, ...), finish (virtual finish time of its
+    last piece), taken (words of this row) and served (words of the whole mix up to the end of this
+    row, in the order of finish times; NULL where nothing is taken).  The budget is the sum of the
+    targets.  The piece at which the line reaches it is taken in part, all pieces after it
+    are left, so a source differs from its target by at most ``quantum`` words, and by what the
+    others, at most ``quantum`` each, left of theirs.
 
     NULL text and text without words have size 0 and take nothing; NULL is a source of
     its own; rows that repeat an id queue separately; other columns are ignored; an empty
     table gives no rows.
     """
-    queued = queue(docs, *names, most=most, **options)
-    quota = F.floor(F.col("target") + 1e-9).cast("long")
+    queued = settle(queue(docs, *names, most=most, **options))
+    targets = queued.groupBy("sid").agg(F.first("target").alias("target"))
+    budget = math.floor((targets.agg(F.sum("target")).first()[0] or 0) + 1e-6)
     passes = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))))
-    start = F.col("before") + F.col("pass") * F.col("source_size")
-    rows = passes.withColumns(
-        {
-            "finish": F.try_divide((start + F.col("size")).cast("double"), F.col("target")),
-            "taken": F.greatest(F.least(F.col("size"), quota - start), F.lit(0)).cast("long"),
-        }
+    last = F.greatest(F.ceil(F.col("size") / quantum).cast("int") - 1, F.lit(0))
+    pieces = passes.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    words = F.least(F.col("size") - F.col("piece") * F.lit(quantum), F.lit(quantum)).cast("long")
+    end = F.col("before") + F.col("pass") * F.col("source_size") + F.col("piece") * F.lit(quantum) + words
+    rows = pieces.select(
+        "rid", "pass", "piece", "sid", "place", words.alias("words"),
+        F.try_divide(end.cast("double"), F.col("target")).alias("finish"),
     )
-    order = [F.least("finish", F.lit(1.0)), F.col("sid"), F.col("pass"), F.col("place"), F.col("rid")]
-    ranged = settle(
-        rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    )
-    totals = ranged.groupBy("_pid").agg(F.sum("taken").alias("_t"))
-    # one row per range
-    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    served = F.when(F.col("taken") > 0, F.col("_o") + F.col("_s"))
-    return (
-        ranged.withColumn("_s", F.sum("taken").over(inside))
-        .join(F.broadcast(offsets), "_pid")
-        .withColumn("served", served)
-        .drop("_pid", "_s", "_o")
+    order = [F.col(c) for c in ("finish", "sid", "pass", "place", "rid", "piece")]
+    taken = F.greatest(F.least(F.col("words"), F.lit(budget) - F.col("words_ahead")), F.lit(0))
+    line = lined_up(rows, order, ["words"]).withColumn("taken", taken.cast("long"))
+    whole = line.groupBy("rid", "pass").agg(
+        F.max("finish").alias("finish"),
+        F.sum("taken").alias("taken"),
+        F.max(F.when(F.col("taken") > 0, F.col("words_ahead") + F.col("taken"))).alias("served"),
     )
+    return queued.join(whole, "rid")
 
 
 def taken_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed=42) -> DataFrame:

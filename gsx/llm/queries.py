@@ -242,17 +242,21 @@ queued AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, s.place, t.source,
          sum(s.size) OVER (PARTITION BY t.source ORDER BY s.place, s.doc_id) - s.size AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-passes AS (
-  SELECT *, greatest(least(size, floor(target + 1e-9)::BIGINT - before - pass * source_size), 0) AS part,
-         (before + pass * source_size + size)::DOUBLE / nullif(target, 0) AS finish
-  FROM queued, (SELECT unnest([0, 1]) AS pass)),
+pieces AS (
+  SELECT *, least(size - piece * 128, 128) AS words,
+         (before + pass * source_size + piece * 128 + least(size - piece * 128, 128))::DOUBLE
+           / nullif(target, 0) AS finish
+  FROM (SELECT *, unnest(range(0, greatest(1, (size + 127) // 128))) AS piece
+        FROM queued, (SELECT unnest([0, 1]) AS pass))),
 lined AS (
-  SELECT *, sum(part) OVER (ORDER BY least(finish, 1.0) NULLS FIRST, source NULLS LAST, pass, place, doc_id
-                            ROWS UNBOUNDED PRECEDING) AS line
-  FROM passes)
+  SELECT *, sum(words) OVER (ORDER BY finish NULLS FIRST, source NULLS LAST, pass, place, doc_id, piece
+                             ROWS UNBOUNDED PRECEDING) AS line,
+         (SELECT floor(sum(target) + 1e-6)::BIGINT FROM targets) AS budget
+  FROM pieces),
+cut AS (SELECT *, greatest(words - greatest(line - budget, 0), 0) AS part FROM lined)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       sum(part)::BIGINT AS taken, max(CASE WHEN part > 0 THEN line END)::BIGINT AS served
-FROM lined GROUP BY doc_id, size, source_size, target""",
+       sum(part)::BIGINT AS taken, max(CASE WHEN part > 0 THEN least(line, budget) END)::BIGINT AS served
+FROM cut GROUP BY doc_id, size, source_size, target""",
     "op9_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings

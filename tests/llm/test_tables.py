@@ -34,8 +34,29 @@ def brute_targets(sizes):
         stopped |= over
 
 
-def test_mix_on_edge_rows(edge, none):
-    rows = mixing.mix(edge).collect()
+def brute_line(rows, targets, quantum):
+    """Words taken per (rid, pass): every piece in one list, sorted by finish time and cut."""
+    names = sorted(targets, key=lambda s: (s is None, s))
+    pieces = []
+    for s in names:
+        queue, end = sorted((r["place"], r["rid"], r["size"]) for r in rows if r["source"] == s and r["pass"] == 0), 0
+        for nth in (0, 1):
+            for place, rid, size in queue:
+                for k in range(max(1, -(-size // quantum))):
+                    words = min(quantum, size - k * quantum)
+                    end += words
+                    finish = end / targets[s] if targets[s] else -1.0
+                    pieces.append((finish, names.index(s), nth, place, rid, k, words))
+    left, taken = int(sum(targets.values()) + 1e-6), Counter()
+    for _, _, nth, _, rid, _, words in sorted(pieces):
+        taken[rid, nth] += min(words, left)
+        left -= min(words, left)
+    return taken
+
+
+@pytest.mark.parametrize("quantum", [mixing.QUANTUM, 1_000_000])
+def test_mix_on_edge_rows(edge, none, quantum):
+    rows = mixing.mix(edge, quantum=quantum).collect()
     sizes = Counter()
     for _, t, s in EDGE:
         sizes[s] += len((t or "").encode().split())
@@ -48,9 +69,16 @@ def test_mix_on_edge_rows(edge, none):
         per_doc[r["rid"]] += r["taken"]
         assert per_doc[r["rid"]] <= 2 * r["size"]
     assert len(per_doc) == len(EDGE) and len(rows) == 2 * len(EDGE)
-    assert all(taken[s] == int(targets[s] + 1e-9) for s in sizes)
+    assert sum(taken.values()) == int(sum(targets.values()) + 1e-6)
+    if quantum == mixing.QUANTUM:
+        assert all(abs(taken[s] - targets[s]) <= len(sizes) * quantum for s in sizes)
+    exact = {r["source"]: r["target"] for r in rows}
+    assert Counter({(r["rid"], r["pass"]): r["taken"] for r in rows}) == brute_line(rows, exact, quantum)
     served = sorted((r["served"], r["taken"]) for r in rows if r["taken"])
-    assert [s for s, _ in served] == list(np.cumsum([t for _, t in served]))
+    assert served[-1][0] == sum(taken.values())
+    if quantum > mixing.QUANTUM:
+        # no document is cut into pieces, so each is served as a whole
+        assert [s for s, _ in served] == list(np.cumsum([t for _, t in served]))
     assert mixing.mix(none).count() == 0 == mixing.taken_documents(none).count()
 
 
