@@ -1,14 +1,16 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
 N-grams are pairs of token ids of a public vocabulary, so a pair is one exact integer.
-Documents are gathered into chunks of about CHUNK tokens and tokenized once.  A chunk explodes
-into its distinct pairs, which go to hash partitions with their counts; a partition sums the
-counts of all chunks and answers every chunk with the totals of its pairs.  The answers are joined
-with the chunk's documents, whose log scores are summed per document.
+Documents are gathered into chunks of about CHUNK tokens and tokenized once; GROUP chunks form a
+group.  A chunk explodes into its distinct pairs with their counts.  Those of a group are added up
+in PARTS hash parts, which leaves one row per group and distinct pair.  The count table sums these
+rows by pair, hash-partitioned, and is joined with them; every group's part then answers its chunks,
+and the answers are joined with the chunk's documents, whose log scores are summed per document.
 
-A chunk asks for a pair once, however many of its documents hold it, so a pair of a third of all
-documents is one row per chunk.  Counts of single tokens have a size that does not grow
-with the corpus and are sent to all tasks.
+A chunk asks for a pair once, however many of its documents hold it, and a group once for all its
+chunks, so a pair of a third of all documents is one row per group in the join.  CHUNK, GROUP and
+PARTS bound what a task holds, and rows grow with the number of tokens.  Counts of single tokens have a
+size that does not grow with the corpus and are sent to all tasks.
 
 A document's own occurrences are taken off all counts, so its pairs can be unseen and back off.
 """
@@ -30,11 +32,15 @@ from gsx.session import settle, ship
 VOCABULARY = 1 << 16
 #: Token that ends every document.
 END = 2
+#: What stands before the first token of a document; no token has this id.
+BEGIN = VOCABULARY - 1
 BACKOFF = 0.4
 #: What a token unseen elsewhere counts as.
 UNSEEN = 0.5
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK = 2_000_000
+#: Chunks of a group and parts of its pairs: a task adds up GROUP / PARTS chunks of pairs.
+GROUP, PARTS = 64, 32
 
 
 def _pack(column: np.ndarray, kind: str) -> bytes:
@@ -75,7 +81,10 @@ def _chunks(path: str):
             for rid, doc_id, pieces in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), found
             ):
-                text = np.frombuffer(b"".join(pieces) + end, "<u4").astype("<u2")
+                wide = np.frombuffer(b"".join(pieces) + end, "<u4")
+                if wide.max() >= BEGIN:
+                    raise ValueError(f"token id {wide.max()}: ids must be below {BEGIN}")
+                text = wide.astype("<u2")
                 chunk = rid if chunk is None else chunk
                 ids.append(doc_id)
                 lengths.append(len(text))
@@ -90,17 +99,17 @@ def _chunks(path: str):
     return chunked
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Every token with the next one of its document; the end token with itself."""
-    follow = np.append(tokens[1:], END)
-    follow[np.cumsum(lengths) - 1] = END
-    return tokens * VOCABULARY + follow
+def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What stands before every token of its document."""
+    before = np.append(BEGIN, tokens[:-1])
+    before[np.cumsum(lengths) - lengths] = BEGIN
+    return before
 
 
-def _dealt(pairs: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the sorted distinct ``pairs`` that go to each hash partition."""
+def _dealt(pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of the sorted distinct ``pairs`` that go to each hash part."""
     mixed = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    part = (mixed % np.uint64(parts)).astype(np.int64)
+    part = (mixed % np.uint64(PARTS)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         yield int(part[rows[0]]), rows
@@ -115,81 +124,70 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
 
-def _ask(parts: int):
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, lengths, tokens in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            ):
-                ids = _unpack(tokens.as_py(), "<u2").astype(np.int64)
-                pairs, counts = np.unique(_pairs(ids, np.array(lengths)), return_counts=True)
-                rows = [
-                    (p, _pack(np.diff(pairs[at], prepend=0), "<i8"), _pack(counts[at], "<i4"))
-                    for p, at in _dealt(pairs, parts)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * len(rows), pa.int64()),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.binary()),
-                        pa.array([r[2] for r in rows], pa.binary()),
-                    ],
-                    names=["chunk", "part", "pairs", "counts"],
-                )
-
-    return asked
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of the pairs of every row; rows come sorted by partition."""
-
-    def summed(rows: list) -> pa.RecordBatch:
-        pairs = [np.cumsum(_unpack(r[2], "<i8")) for r in rows]
-        counts = np.concatenate([_unpack(r[3], "<i4") for r in rows])
-        _, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        total = np.bincount(at, weights=counts).astype(np.int64)[at]
-        cuts = np.split(total, np.cumsum([len(p) for p in pairs])[:-1])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([_pack(c, "<i8") for c in cuts], pa.binary()),
-            ],
-            names=["chunk", "part", "totals"],
-        )
-
-    held: list = []
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of every chunk with their counts, by hash part."""
     for batch in batches:
-        for row in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-            if held and held[-1][1] != row[1]:
-                yield summed(held)
-                held = []
-            held.append(row)
-    if held:
-        yield summed(held)
-
-
-def _score(single: np.ndarray, parts: int):
+        for chunk, group, lengths, tokens in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            ids = _unpack(tokens, "<u2").astype(np.int64)
+            pairs, counts = np.unique(_before(ids, np.array(lengths)) * VOCABULARY + ids, return_counts=True)
+            rows = [
+                (p, _pack(np.diff(pairs[at], prepend=0), "<i8"), _pack(counts[at], "<i4"))
+                for p, at in _dealt(pairs)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk] * len(rows), pa.int64()),
+                    pa.array([group] * len(rows), pa.int64()),
+                    *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))],
+                ],
+                names=["chunk", "grp", "part", "pairs", "counts"],
+            )
+
+
+def _group_counts(asked: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the distinct pairs that the chunks of a group have in one part."""
+    pairs = np.concatenate([np.cumsum(_unpack(p, "<i8")) for p in asked["pairs"]])
+    counts = np.concatenate([_unpack(c, "<i4") for c in asked["counts"]])
+    known, at = np.unique(pairs, return_inverse=True)
+    n = np.bincount(at, weights=counts).astype(np.int64)
+    return pd.DataFrame({"grp": asked["grp"].iloc[0], "part": asked["part"].iloc[0], "pair": known, "n": n})
+
+
+def _answer(asked: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """Totals of the pairs of every chunk of a group in one part."""
+    order = np.argsort(totals["pair"].to_numpy())
+    known, total = totals["pair"].to_numpy()[order], totals["total"].to_numpy()[order]
+    found = [
+        _pack(total[np.searchsorted(known, np.cumsum(_unpack(p, "<i8")))], "<i8") for p in asked["pairs"]
+    ]
+    return pd.DataFrame({"chunk": asked["chunk"], "part": asked["part"], "totals": found})
+
+
+def _score(single: np.ndarray):
     """Scores of the documents of a chunk from the answers to it."""
     corpus = int(single.sum())
+    # as many documents begin as end
+    first_of = single.copy()
+    first_of[BEGIN] = single[END]
 
     def scored(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         lengths = np.array(chunk["lengths"].iloc[0], np.int64)
         ids = _unpack(chunk["tokens"].iloc[0], "<u2").astype(np.int64)
-        pairs = _pairs(ids, lengths)
+        before = _before(ids, lengths)
+        pairs = before * VOCABULARY + ids
         known = np.unique(pairs)
         total = np.zeros(len(known), np.int64)
         packed = dict(zip(answers["part"], answers["totals"]))
-        for part, at in _dealt(known, parts):
+        for part, at in _dealt(known):
             total[at] = _unpack(packed[part], "<i8")
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        # pairs and tokens of each document with their own counts
+        # pairs, contexts and tokens of each document with their own counts
         own, n = np.unique(doc * VOCABULARY**2 + pairs, return_counts=True)
+        led, led_n = np.unique(doc * VOCABULARY + before, return_counts=True)
         here, here_n = np.unique(doc * VOCABULARY + ids, return_counts=True)
         of, pair = own // VOCABULARY**2, own % VOCABULARY**2
         first, second = pair // VOCABULARY, pair % VOCABULARY
-        # every token is the first of one pair, so its own count is the context's
-        context = single[first] - here_n[np.searchsorted(here, of * VOCABULARY + first)]
+        context = first_of[first] - led_n[np.searchsorted(led, of * VOCABULARY + first)]
         word = single[second] - here_n[np.searchsorted(here, of * VOCABULARY + second)]
         rest = total[np.searchsorted(known, pair)] - n
         seen = rest > 0
@@ -216,9 +214,9 @@ def _score(single: np.ndarray, parts: int):
 def backoff_scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_backoff, log_score, mean_score.
 
-    A document is its tokens and an end token.  Every token is scored after the one before it as
-    c(pair) / c(token before) and, where no other document has the pair, as
-    0.4 c(token) / N; the end token is followed by itself.  Counts leave the document's own
+    A document is its tokens and an end token.  Every one of these is scored after what stands before
+    it, the first after the beginning of a document, as c(pair) / c(before) and, where no other
+    document has the pair, as 0.4 c(token) / N.  Counts leave the document's own
     out.  A token no other document has counts one half.
 
     NULL and empty text have the end token only; rows that repeat an id are documents of
@@ -237,24 +235,35 @@ def backoff_scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             _chunks(path), f"chunk bigint, doc_ids array<{kind}>, lengths array<bigint>, tokens binary"
         )
     )
-    parts = max(1, chunks.count())
     single = np.zeros(VOCABULARY, np.int64)
     found = chunks.select("tokens").mapInArrow(_token_counts, "token bigint, n bigint")
     for row in found.groupBy("token").agg(F.sum("n").alias("n")).collect():
         single[row["token"]] = row["n"]
-    asked = chunks.select("chunk", "lengths", "tokens").mapInArrow(
-        _ask(parts), "chunk bigint, part bigint, pairs binary, counts binary"
+    groups = max(1, -(-chunks.count() // GROUP))
+    group = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("grp")
+    asked = settle(
+        chunks.select("chunk", group, "lengths", "tokens").mapInArrow(
+            _ask, "chunk bigint, grp bigint, part bigint, pairs binary, counts binary"
+        )
+    )
+    grams = settle(
+        asked.groupBy("grp", "part").applyInPandas(
+            _group_counts, "grp bigint, part bigint, pair bigint, n bigint"
+        )
     )
+    counts = grams.groupBy("pair").agg(F.sum("n").alias("total"))
+    totals = grams.join(counts, "pair").select("grp", "part", "pair", "total")
     answers = (
-        asked.repartition("part")
-        .sortWithinPartitions("part")
-        .mapInArrow(_answer, "chunk bigint, part bigint, totals binary")
+        asked.select("chunk", "grp", "part", "pairs")
+        .groupBy("grp", "part")
+        .cogroup(totals.groupBy("grp", "part"))
+        .applyInPandas(_answer, "chunk bigint, part bigint, totals binary")
     )
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInPandas(
-            _score(single, parts),
+            _score(single),
             f"doc_id {kind}, n_tokens bigint, n_backoff bigint, log_score double, mean_score double",
         )
     )

@@ -143,17 +143,18 @@ def brute_scores(texts):
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [lm.END] for t in texts]
-    pairs = [Counter(zip(t, t[1:] + [lm.END])) for t in ids]
-    single, double = Counter(), Counter()
+    pairs = [Counter(zip(["begin", *t], t)) for t in ids]
+    single, double, before = Counter(), Counter(), Counter()
     for t, p in zip(ids, pairs):
         single.update(t)
         double.update(p)
+        before.update(["begin", *t[:-1]])
     out = []
     for t, p in zip(ids, pairs):
-        own, s = Counter(t), 0.0
+        own, led, s = Counter(t), Counter(["begin", *t[:-1]]), 0.0
         for (a, b), n in p.items():
             if double[a, b] > n:
-                s += n * math.log((double[a, b] - n) / (single[a] - own[a]))
+                s += n * math.log((double[a, b] - n) / (before[a] - led[a]))
             else:
                 s += n * math.log(0.4 * max(single[b] - own[b], 0.5) / max(sum(single.values()) - len(t), 1))
         out.append((len(t), s))
@@ -163,6 +164,7 @@ def brute_scores(texts):
 @pytest.mark.parametrize("chunk", [50, 2_000_000])
 def test_backoff_scores(spark, none, monkeypatch, chunk):
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "GROUP", 3)
     docs = frame(spark, EDGE).repartition(3)
     got = sorted((r["n_tokens"], r["log_score"]) for r in lm.backoff_scores(docs, tokenizer_path()).collect())
     want = sorted(brute_scores([t for _, t, _ in EDGE]))
