@@ -260,22 +260,27 @@ def noise_ratio(hnr: Column) -> Column:
 
 
 def histogram_entropy(
-    df: DataFrame, keys, value: str, n_min: int = MIN_SPREAD, bins: int = ENTROPY_BINS
+    df: DataFrame, keys, value: str, n_min: int = MIN_SPREAD, bins: int = ENTROPY_BINS, scale=None
 ) -> DataFrame:
     """Normalised entropy of a density histogram over equal-width bins.
 
     Densities, not shares, enter the logarithm, so the result may be negative.  A
-    constant series is given a range of one around its value.
+    constant series is given a range of one around its value.  ``scale``, an aggregate of a
+    series, divides its values: it changes the densities, not the bin of a value.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rows = df.filter(F.col(value).isNotNull())
     limits = rows.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("n")
+        F.min(value).alias("_lo"),
+        F.max(value).alias("_hi"),
+        F.count(F.lit(1)).alias("n"),
+        (F.lit(1.0) if scale is None else scale).alias("_scale"),
     )
     flat = F.col("_lo") == F.col("_hi")
     limits = limits.select(
         *keys,
         "n",
+        F.when(flat, F.lit(1.0)).otherwise(F.col("_scale")).alias("_scale"),
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")).alias("_span"),
     )
@@ -284,10 +289,10 @@ def histogram_entropy(
     ).cast("int")
     counts = (
         lookup_join(rows.select(*keys, value), limits, keys)
-        .groupBy(*keys, "n", "_span", slot.alias("_bin"))
+        .groupBy(*keys, "n", "_span", "_scale", slot.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    density = F.col("_c") * bins / (F.col("n") * F.col("_span"))
+    density = F.col("_c") * bins / (F.col("n") * (F.col("_span") / F.col("_scale")))
     return (
         counts.groupBy(*keys, "n")
         .agg((-F.sum(density * F.log2(density + 1e-10)) / F.log2(F.lit(float(bins)))).alias("_e"))
@@ -303,11 +308,10 @@ def difference_entropy(df, series="series", order=("seq",), value="value", hot_r
     steps = with_neighbours(
         df, series, order, 1, lambda w: {"_d": F.col(value) - F.lag(value).over(w)}, hot_rows
     ).filter("_d IS NOT NULL")
-    scale = steps.groupBy(series).agg(F.avg(F.abs("_d")).alias("_scale"))
-    scaled = lookup_join(steps.select(series, "_d"), scale, series).select(
-        series, (F.col("_d") / (F.col("_scale") + 1e-10)).alias("_x")
+    # bins of the differences are bins of the scaled ones, without the rounding of a mean at their edges
+    out = histogram_entropy(
+        steps.select(series, "_d"), series, "_d", n_min=MIN_SPREAD - 1, scale=F.avg(F.abs("_d")) + 1e-10
     )
-    out = histogram_entropy(scaled, series, "_x", n_min=MIN_SPREAD - 1)
     return out.withColumn("n", F.col("n") + 1)
 
 

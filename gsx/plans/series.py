@@ -263,12 +263,14 @@ def t9(spark, sf):
     return rounded(out.select("series", "jitter_ddp", "shimmer_dda", nhr), "jitter_ddp", "shimmer_dda", "nhr")
 
 
-def _entropy_sql(src, n_min, extra):
+def _entropy_sql(src, n_min, extra, scales=None):
+    """``scales`` has what the values of a series are divided by after their bins are known."""
+    scaled, join = ("span / scale", f" JOIN {scales} USING (series)") if scales else ("span", "")
     return f"""
 lim AS (SELECT series, count(*) AS n, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
           CASE WHEN min(x) = max(x) THEN 1.0 ELSE max(x) - min(x) END AS span FROM {src} GROUP BY 1),
-bn AS (SELECT series, n, span, least(floor((x - lo) * 20 / span), 19) AS b, count(*) AS c
-       FROM {src} JOIN lim USING (series) GROUP BY 1, 2, 3, 4)
+bn AS (SELECT series, n, {scaled} AS span, least(floor((x - lo) * 20 / span), 19) AS b, count(*) AS c
+       FROM {src} JOIN lim USING (series){join} GROUP BY 1, 2, 3, 4)
 SELECT series, (n + {extra})::BIGINT AS n,
   CASE WHEN n >= {n_min} THEN round(-sum(c * 20 / (n * span) * log2(c * 20 / (n * span) + 1e-10)) / log2(20.0), 6) END AS entropy
 FROM bn GROUP BY series, n"""
@@ -278,8 +280,9 @@ FROM bn GROUP BY series, n"""
     "t10_difference_entropy",
     f"""WITH {EVENT_SQL},
 df AS (SELECT series, value - lag(value) OVER (PARTITION BY series ORDER BY ts, event_id) AS d FROM ev),
-xs AS (SELECT series, d / (avg(abs(d)) OVER (PARTITION BY series) + 1e-10) AS x FROM df WHERE d IS NOT NULL),
-{_entropy_sql('xs', 19, 1)}""",
+xs AS (SELECT series, d AS x FROM df WHERE d IS NOT NULL),
+sc AS (SELECT series, CASE WHEN min(x) = max(x) THEN 1.0 ELSE avg(abs(x)) + 1e-10 END AS scale FROM xs GROUP BY 1),
+{_entropy_sql('xs', 19, 1, 'sc')}""",
 )
 def t10a(spark, sf):
     out = difference_entropy(event_series(spark, sf), order=["ts", "event_id"])

@@ -141,6 +141,18 @@ def test_entropy_of_a_constant_series(spark):
     assert out["short"]["entropy"] is None
 
 
+def test_difference_entropy_counts_values_on_a_bin_limit_exactly(spark):
+    rng = np.random.default_rng(3)
+    steps = {f"s{k:02d}": np.r_[0, 20 * (k + 3), rng.integers(0, 20 * (k + 3) + 1, 60)] for k in range(40)}
+    df = series_frame(spark, {k: [float(x) for x in np.r_[0, np.cumsum(d)]] for k, d in steps.items()})
+    out = {r["series"]: r["entropy"] for r in series.difference_entropy(df).collect()}
+    for k, d in steps.items():
+        span = int(d.max())
+        counts = np.bincount(np.minimum(d * 20 // span, 19))
+        share = counts[counts > 0] * 20 / (len(d) * span / (d.mean() + 1e-10))
+        assert out[k] == pytest.approx(-(share * np.log2(share + 1e-10)).sum() / np.log2(20), abs=1e-9)
+
+
 def test_variance_filter_is_strict_and_constant_is_dropped(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0)], "a double, b double")
     keep = {r["feature"]: r["keep"] for r in stats.variance_filter(df, ["a", "b"]).collect()}
