@@ -114,8 +114,18 @@ def s7(spark, sf):
     return orders.select("o_orderkey", "o_totalprice")
 
 
-def result_rows(spark, sf):
-    """Summary rows per supplier, taken as experiment runs."""
+def exact_auc():
+    """Twelve times the mean tax to six decimals, half up, in whole millionths.
+
+    Sums of doubles depend on their order, which decides where a mean lies on a half.
+    """
+    return F.expr(
+        "(24 * cast(sum(cast(l_tax AS decimal(18,6))) * 1000000 AS bigint) + count(l_tax)) div (2 * count(l_tax))"
+    )
+
+
+def result_rows(spark, sf, *more):
+    """Summary rows per supplier, taken as experiment runs; ``more`` are further aggregates."""
     run = F.concat(
         F.when(F.col("l_suppkey") % 2 == 0, "evaluation_features_").otherwise("evaluation_training_"),
         F.when(F.col("l_suppkey") % 3 == 0, "compare").otherwise("mel_small"),
@@ -136,11 +146,12 @@ def result_rows(spark, sf):
             r6(F.avg("l_discount") * 10).alias("f1"),
             r6(F.avg("l_tax") * 12).alias("auc"),
             r6(F.avg("l_discount") * 20 - 1).alias("mcc"),
+            *more,
         )
     )
 
 
-RESULT_SQL = """
+_RESULT_SQL = """
 res AS (
   SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'evaluation_features_' ELSE 'evaluation_training_' END,
                 CASE WHEN l_suppkey % 3 = 0 THEN 'compare' ELSE 'mel_small' END,
@@ -148,8 +159,12 @@ res AS (
                 '_20240101_', l_suppkey::VARCHAR) AS run,
          'to ' || l_linestatus AS analysis, l_returnflag AS model,
          round(avg(l_quantity) / 50, 6) AS accuracy, round(avg(l_discount) * 10, 6) AS f1,
-         round(avg(l_tax) * 12, 6) AS auc, round(avg(l_discount) * 20 - 1, 6) AS mcc
+         {auc} AS auc, round(avg(l_discount) * 20 - 1, 6) AS mcc
   FROM lineitem GROUP BY 1, 2, 3)"""
+RESULT_SQL = _RESULT_SQL.format(auc="round(avg(l_tax) * 12, 6)")
+EXACT_RESULT_SQL = _RESULT_SQL.format(
+    auc="(24 * (sum(l_tax::DECIMAL(18,6)) * 1000000)::BIGINT + count(l_tax)) // (2 * count(l_tax))"
+)
 
 
 @query("s8_many_run_scan", f"WITH {RESULT_SQL} SELECT run, analysis, model, accuracy, auc FROM res")

@@ -18,7 +18,7 @@ from gsx.plans.base import (
     LINE_SQL,
 )
 from gsx.plans.joins import VRANK_SQL, vector_ranking
-from gsx.plans.sources import RESULT_SQL, result_rows
+from gsx.plans.sources import EXACT_RESULT_SQL, exact_auc, result_rows
 
 QUERIES, query = registry()
 
@@ -88,14 +88,16 @@ def w5(spark, sf):
 
 @query(
     "w6_mixed_order",
-    f"""WITH {RESULT_SQL}
+    f"""WITH {EXACT_RESULT_SQL}
 SELECT run, analysis, model, row_number() OVER (ORDER BY CASE model WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END,
   auc DESC, run, analysis) AS position FROM res""",
 )
 def w6(spark, sf):
     key = F.when(F.col("model") == "R", 0).when(F.col("model") == "A", 1).otherwise(2)
     rows = ordered_rows(
-        result_rows(spark, sf), "position", [key, F.col("auc").desc(), F.col("run"), F.col("analysis")]
+        result_rows(spark, sf, exact_auc().alias("micro")),
+        "position",
+        [key, F.col("micro").desc(), F.col("run"), F.col("analysis")],
     )
     return rows.select("run", "analysis", "model", "position")
 

@@ -153,6 +153,22 @@ def test_difference_entropy_counts_values_on_a_bin_limit_exactly(spark):
         assert out[k] == pytest.approx(-(share * np.log2(share + 1e-10)).sum() / np.log2(20), abs=1e-9)
 
 
+def test_means_on_a_half_keep_their_order_whatever_the_order_of_sums(spark, tmp_path):
+    from gsx.plans.windows import w6
+
+    # 1024 taxes whose sum in hundredths leaves 8 modulo 16: twelve means end in a half at the seventh decimal
+    taxes = [0.07, 0.03, 0.05, 0.01, 0.06, 0.02, 0.08, 0.07] * 127 + [0.08] * 4 + [0.06, 0.02, 0.03, 0.04]
+    assert round(sum(taxes) * 100) % 16 == 8
+    rows = []
+    for run in range(1, 41):  # names of one length, in order
+        order = np.random.default_rng(run).permutation(len(taxes))
+        rows += [(1024 + 24 * run, "F", "R", taxes[i], 0.0, 1.0) for i in order]
+    schema = "l_suppkey bigint, l_linestatus string, l_returnflag string, l_tax double, l_discount double, l_quantity double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r["run"] for r in w6(spark, str(tmp_path)).orderBy("position").collect()]
+    assert got == sorted(got)
+
+
 def test_variance_filter_is_strict_and_constant_is_dropped(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0)], "a double, b double")
     keep = {r["feature"]: r["keep"] for r in stats.variance_filter(df, ["a", "b"]).collect()}
