@@ -2,8 +2,8 @@
 
 Bin limits come from the training rows of each training set, once.  A level of a tree is one
 aggregation of (tree, node, feature, bin) sums and a choice of the best split of every node,
-for all trees of a forest and all training sets at once.  A training set of at most LOCAL_ROWS rows
-is grown inside a task instead, the trees of a forest dealt over many tasks; bins, sums and
+for all trees of a forest at once.  A training set of at most LOCAL_ROWS rows (some 20 MB of bins)
+is grown inside a task instead, all sets and ensembles in one job and the trees of a forest dealt over many tasks; bins, sums and
 choices are the same, so the trees are too.  A fitted model (at most 2 ** depth nodes a tree)
 is held by the driver and sent to the tasks that score, as in Spark ML.
 """
@@ -11,6 +11,7 @@ is held by the driver and sent to the tasks that score, as in Spark ML.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,10 +30,10 @@ from gsx.session import settle, ship
 SEED = 42
 BINS = 256
 SKETCH_ACCURACY = 10_000
-#: Rows of a training set that one task grows trees on.
-LOCAL_ROWS = 1 << 16
-#: Tasks over which the trees of a local forest are dealt.
-TREE_TASKS = 32
+#: Rows of a training set that one task grows trees on, each as many bytes as features and nine more.
+LOCAL_ROWS = 1 << 20
+#: Tasks over which the trees of a local forest are dealt at most, and those of all sets of one forest.
+TREE_TASKS, SLOTS = 32, 128
 #: Boosted trees after which the running scores are written.
 SCORE_EVERY = 10
 MAX_DEPTH = 30
@@ -105,6 +106,17 @@ class Tree:
             self.key.append(_mixed(2 * self.key[node] + side))
         return at, at + 1
 
+    def split_all(self, nodes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Children of many nodes, each split at (feature, bin); keys and values are the caller's."""
+        at = len(self.left)
+        for node, (feature, bin_), left in zip(nodes.tolist(), cuts.tolist(), range(at, at + 2 * len(nodes), 2)):
+            self.feature[node], self.bin[node], self.left[node] = feature, bin_, left
+        more = 2 * len(nodes)
+        self.feature += [0] * more
+        self.bin += [0] * more
+        self.left += [-1] * more
+        return np.arange(at, at + more)
+
 
 @dataclass
 class Ensemble:
@@ -147,6 +159,26 @@ def allowed_features(key: int, d: int, tried: int) -> list[int]:
     return sorted(order[:tried])
 
 
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    """``_mixed`` of every number of an array."""
+    x = x.astype(np.uint64) + np.uint64(GOLDEN)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(2)
+
+
+def allowed_all(keys: np.ndarray, d: int, tried: int) -> np.ndarray:
+    """``allowed_features`` of many nodes as flags (node, feature)."""
+    looks = np.ones((len(keys), d), bool)
+    if tried < d:
+        order = np.argsort(
+            _mixed_all(keys.astype(np.uint64)[:, None] + np.arange(d, dtype=np.uint64) * np.uint64(0x10001) + np.uint64(1)),
+            axis=1, kind="stable",
+        )
+        np.put_along_axis(looks, order[:, tried:], False, axis=1)
+    return looks
+
+
 def drawn(h: np.ndarray, tree: int, spec: TreeSpec) -> np.ndarray:
     """How often each row is drawn for a tree, from the hash of the row."""
     if spec.draw == "all":
@@ -226,64 +258,106 @@ def _segments(slot: np.ndarray, n: int, *values):
     return [np.bincount(slot, v, n) for v in values]
 
 
+def leaf_values(spec: TreeSpec, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``leaf_value`` of many nodes."""
+    down = a + b if spec.kind == "forest" else b + spec.penalty
+    up, none = (b, 0.5) if spec.kind == "forest" else (-spec.rate * a, 0.0)
+    known = down > (0 if spec.kind == "forest" else TINY)
+    return np.where(known, up / np.where(known, down, 1.0), none)
+
+
+def _gains(spec: TreeSpec, left, total, whole) -> np.ndarray:
+    """Gain of every cut in steps, -1 where it is not allowed; ``left`` and ``total`` are a, b and count."""
+    (la, lb, lc), (ta, tb, tc) = left, total
+    ra, rb, rc = ta - la, tb - lb, tc - lc
+    good = (lc >= spec.min_leaf) & (rc >= max(spec.min_leaf, 1))
+    if spec.kind == "boosting":
+        good &= (lb >= spec.min_hessian) & (rb >= spec.min_hessian)
+    gain = purity(spec, la, lb) + purity(spec, ra, rb) - whole
+    return np.where(good, np.rint(gain * GAIN_STEPS), -1)
+
+
+def _cuts_by_bin(slot, bin_, a, b, spec: TreeSpec, total, whole):
+    """(gain, bin) of the best cut of every node, from one sum per node and bin."""
+    n = len(whole)
+    key = slot * BINS + bin_
+    left = [np.cumsum(np.bincount(key, v, n * BINS).reshape(n, BINS), axis=1) for v in (a, b, None)]
+    gain = _gains(spec, left, [t[:, None] for t in total], whole[:, None])
+    # a bin without rows gives the cut of the bin before it, which is the first of the two
+    at = gain.argmax(axis=1)
+    return gain[np.arange(n), at], at
+
+
+def _cuts_by_rows(slot, bin_, a, b, spec: TreeSpec, total, whole):
+    """The same from sorted rows, for nodes that have fewer rows than bins."""
+    n = len(whole)
+    order = np.argsort(bin_, kind="stable")
+    order = order[np.argsort(slot[order].astype(np.uint16) if n <= 1 << 16 else slot[order], kind="stable")]
+    slot, bin_ = slot[order], bin_[order]
+    start = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (bin_[1:] != bin_[:-1])))
+    owner = slot[start]
+    sums = [np.add.reduceat(v[order], start) for v in (a, b)] + [np.diff(np.append(start, len(slot)))]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    sizes = np.diff(np.append(first, len(owner)))
+    left = []
+    for v in sums:
+        upto = np.cumsum(v)
+        left.append(upto - np.repeat(upto[first] - v[first], sizes))
+    gain = _gains(spec, left, [t[owner] for t in total], whole[owner])
+    top = np.maximum.reduceat(gain, first)
+    hit = np.flatnonzero(gain == np.repeat(top, sizes))
+    node, place = np.unique(owner[hit], return_index=True)
+    best, at = np.full(n, -1.0), np.zeros(n, np.int64)
+    best[node], at[node] = gain[hit[place]], bin_[start[hit[place]]]
+    return best, at
+
+
 def grow(bins: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, number: int) -> Tree:
     """One tree from the drawn rows: bins and the two sums of each."""
     tree, d = Tree(), bins.shape[1]
     tree.key[0] = _mixed(spec.seed * 100_003 + number)
     tried = spec.tried(d)
-    open_, slot, rows = [0], np.zeros(len(bins), np.int64), np.arange(len(bins))
+    open_, slot = np.zeros(1, np.int64), np.zeros(len(bins), np.int64)
+    keys = np.array(tree.key, np.uint64)
+    value = [np.zeros(1)]
     for depth in range(spec.depth + 1):
         n = len(open_)
-        ta, tb, tc = _segments(slot, n, a[rows], b[rows], np.ones(len(rows)))
-        for k, node in enumerate(open_):
-            tree.value[node] = leaf_value(spec, ta[k], tb[k])
+        total = ta, tb, tc = _segments(slot, n, a, b, None)
+        value[-1] = leaf_values(spec, ta, tb)
         may = tc >= max(spec.min_split, 2 * spec.min_leaf)
         if spec.kind == "forest":
             may &= (ta > 0) & (tb > 0)
         if depth == spec.depth or not may.any():
-            return tree
-        looks = np.zeros((n, d), bool)
-        for k in np.flatnonzero(may):
-            looks[k, allowed_features(tree.key[open_[k]], d, tried)] = True
+            break
+        looks = allowed_all(keys, d, tried) & may[:, None]
         best, where = np.zeros(n), np.full((n, 2), -1)
         whole = purity(spec, ta, tb)
         for f in np.flatnonzero(looks.any(axis=0)):
-            mine = looks[slot, f]
-            key = slot[mine] * BINS + bins[rows[mine], f]
-            order = np.argsort(key, kind="stable")
-            key, at = key[order], rows[mine][order]
-            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-            owner = key[last] // BINS
-            size = np.cumsum(np.ones(len(at)))[last]
-            sum_a, sum_b = np.cumsum(a[at])[last], np.cumsum(b[at])[last]
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            before = np.repeat(np.maximum(first - 1, -1), np.diff(np.append(first, len(owner))))
-            la, lb, lc = (np.where(before < 0, s, s - s[before]) for s in (sum_a, sum_b, size))
-            ra, rb, rc = ta[owner] - la, tb[owner] - lb, tc[owner] - lc
-            good = (lc >= spec.min_leaf) & (rc >= spec.min_leaf) & (rc >= 1)
-            if spec.kind == "boosting":
-                good &= (lb >= spec.min_hessian) & (rb >= spec.min_hessian)
-            gain = purity(spec, la, lb) + purity(spec, ra, rb) - whole[owner]
-            gain = np.where(good, np.rint(gain * GAIN_STEPS), -1)
-            top = np.maximum.reduceat(gain, first)
-            hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(first, len(owner)))))
-            node, place = np.unique(owner[hit], return_index=True)
+            if looks[:, f].all():
+                s, x, u, v = slot, bins[:, f], a, b
+            else:
+                mine = np.flatnonzero(looks[slot, f])
+                s, x, u, v = slot[mine], bins[mine, f], a[mine], b[mine]
+            cuts = _cuts_by_bin if n * BINS <= 2 * len(s) else _cuts_by_rows
+            gain, at = cuts(s, x, u, v, spec, total, whole)
             # of equal gains the earlier feature and the lower bin stay
-            better = gain[hit[place]] > best[node]
-            node, place = node[better], hit[place[better]]
-            best[node] = gain[place]
-            where[node] = np.stack([np.full(len(place), f), key[last[place]] % BINS], axis=1)
+            better = looks[:, f] & (gain > best)
+            best[better] = gain[better]
+            where[better] = np.stack([np.full(n, f), at], axis=1)[better]
+        split = np.flatnonzero(where[:, 0] >= 0)
+        if not len(split):
+            break
+        children = tree.split_all(open_[split], where[split])
         child = np.full(n, -1)
-        grown = []
-        for k in np.flatnonzero(where[:, 0] >= 0):
-            child[k] = len(grown)
-            grown += tree.split(open_[k], int(where[k, 0]), int(where[k, 1]))
-        if not grown:
-            return tree
-        stay = child[slot] >= 0
-        rows, slot = rows[stay], slot[stay]
-        slot = child[slot] + (bins[rows, where[slot, 0]] > where[slot, 1])
-        open_ = grown
+        child[split] = 2 * np.arange(len(split))
+        stay = np.flatnonzero(child[slot] >= 0)
+        slot, bins, a, b = slot[stay], bins[stay], a[stay], b[stay]
+        slot = child[slot] + (bins[np.arange(len(slot)), where[slot, 0]] > where[slot, 1])
+        parents = np.repeat(keys[split], 2) * np.uint64(2)
+        keys = _mixed_all(parents + np.tile(np.array([1, 2], np.uint64), len(split)))
+        open_ = children
+        value.append(None)
+    tree.value = np.concatenate(value).tolist()
     return tree
 
 
@@ -358,30 +432,73 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), d)
 
 
-TREE_SCHEMA = "part string, number int, feature array<int>, bin array<int>, `left` array<int>, value array<double>"
+TREE_SCHEMA = "slot int, number int, feature binary, bin binary, `left` binary, value binary"
+
 
+def compact(feature, bin_, left, value) -> Tree:
+    """A grown tree in typed arrays, from arrays or their bytes."""
+    def held(code, v):
+        out = array(code)
+        out.frombytes(v) if isinstance(v, (bytes, bytearray)) else out.extend(v)
+        return out
 
-def _fit_local(rows: DataFrame, names, d: int, spec: TreeSpec, counts: dict) -> dict:
-    """{part: trees} for small training sets; a group is one set and some tree numbers."""
-    tasks = min(TREE_TASKS, spec.trees) if spec.kind == "forest" else 1
-    dealt = rows.filter(F.col("part").isin(*names)).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return Tree(held("h", feature), held("B", bin_), held("i", left), held("d", value), [])
+
+
+def _blocks(rows: DataFrame, d: int) -> DataFrame:
+    """(part, h, y, bins): the rows of a part in blocks of bytes, settled; d + 9 bytes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("part").dictionary_encode()
+            code = parts.indices.to_numpy()
+            y, h = batch.column("y").to_numpy().astype(np.uint8), batch.column("h").to_numpy()
+            bins = _matrix(batch.column("bins").to_pylist(), d)
+            names, out = parts.dictionary.to_pylist(), []
+            for k in np.unique(code):
+                mine = code == k
+                out.append((names[k], h[mine].tobytes(), y[mine].tobytes(), bins[mine].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.string()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)]],
+                names=["part", "h", "y", "bins"],
+            )
+
+    return settle(rows.select("part", "y", "h", "bins").mapInArrow(run, "part string, h binary, y binary, bins binary"))
+
+
+def _fit_local(rows: DataFrame, names, d: int, specs: dict, counts: dict) -> dict:
+    """{(part, name): trees} for small training sets.
+
+    All specs grow at once: a slot is one set, one spec and some of its tree numbers, and lies in
+    a partition with few others.
+    """
+    forest_tasks = max(1, min(TREE_TASKS, -(-SLOTS // max(len(names), 1))))
+    slots = []
+    for part in names:
+        for name, spec in specs.items():
+            tasks = min(forest_tasks, spec.trees) if spec.kind == "forest" else 1
+            slots += [(part, name, task, tasks) for task in range(tasks)]
+    table = rows.sparkSession.createDataFrame([(i, s[0]) for i, s in enumerate(slots)], "slot int, part string")
+    dealt = _blocks(rows, d).join(F.broadcast(table), "part").repartitionByRange(len(slots), "slot")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part, task = key
-        pdf = pdf.sort_values(["h", "bins"], kind="stable")
-        numbers = range(task, spec.trees, tasks)
-        trees = grow_local(
-            _matrix(pdf["bins"], d), pdf["y"].to_numpy(), pdf["h"].to_numpy(), spec, numbers, counts[part]
-        )
+        part, name, task, tasks = slots[key[0]]
+        h, y = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.int64), ("y", np.uint8)))
+        bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, d)
+        # the sort makes the trees independent of the order of rows
+        order = np.lexsort((y, *bins.T[::-1], h))
+        numbers = range(task, specs[name].trees, tasks)
+        trees = grow_local(bins[order], y[order].astype(np.int64), h[order], specs[name], numbers, counts[part])
+        flat = [compact(t.feature, t.bin, t.left, t.value) for t in trees]
         return pd.DataFrame(
-            [(part, k, t.feature, t.bin, t.left, t.value) for k, t in zip(numbers, trees)],
-            columns=["part", "number", "feature", "bin", "left", "value"],
+            [(key[0], k, *[v.tobytes() for v in (t.feature, t.bin, t.left, t.value)]) for k, t in zip(numbers, flat)],
+            columns=["slot", "number", "feature", "bin", "left", "value"],
         )
 
-    # the sort inside a group makes the trees independent of the order of rows
     found: dict = {}
-    for r in dealt.groupBy("part", "task").applyInPandas(run, TREE_SCHEMA).collect():
-        found.setdefault(r["part"], {})[r["number"]] = Tree(r["feature"], r["bin"], r["left"], r["value"], [])
+    for r in dealt.groupBy("slot").applyInPandas(run, TREE_SCHEMA).collect():
+        part, name = slots[r["slot"]][:2]
+        found.setdefault((part, name), {})[r["number"]] = compact(r["feature"], r["bin"], r["left"], r["value"])
     return {p: [t[k] for k in sorted(t)] for p, t in found.items()}
 
 
@@ -489,7 +606,7 @@ def _fit_levels(rows: DataFrame, d: int, spec: TreeSpec, counts) -> list[Tree]:
             if len(prior) == SCORE_EVERY:
                 rows = settle(_with_scores(rows, d, prior))
                 prior = []
-    return done
+    return [compact(t.feature, t.bin, t.left, t.value) for t in done]
 
 
 def _with_scores(rows: DataFrame, d: int, trees: list) -> DataFrame:
@@ -526,13 +643,14 @@ def fit_trees(
     small = [p for p in both if sum(counts[p]) <= local_rows]
     out = {}
     named = {str(k): k for k in limits}
+    mine = rows.filter(F.col("part").isin(*small))
+    trees = _fit_local(mine, small, len(features), specs, counts) if small else {}
     for name, spec in specs.items():
-        trees = _fit_local(rows, small, len(features), spec, counts) if small else {}
         for p in both:
-            if p not in trees:
-                trees[p] = _fit_levels(rows.filter(F.col("part") == p), len(features), spec, counts[p])
+            if (p, name) not in trees:
+                trees[p, name] = _fit_levels(rows.filter(F.col("part") == p), len(features), spec, counts[p])
             edges, medians = limits[named[p]]
-            out[named[p], name] = Ensemble(spec, tuple(features), edges, medians, trees[p], _base(spec, *counts[p]))
+            out[named[p], name] = Ensemble(spec, tuple(features), edges, medians, trees[p, name], _base(spec, *counts[p]))
     return out
 
 

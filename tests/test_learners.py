@@ -183,3 +183,16 @@ def test_fold_f_stats_leave_the_fold_out(data):
     for r in fold_masks(stats, 1).collect():
         best = max(range(3), key=lambda f: found[r.train, r.holdout, f"f{f}"])
         assert r.mask == [f == best for f in range(3)]
+
+
+def test_sets_above_one_chunk_grow_in_tasks(spark, monkeypatch):
+    def levels(*_):
+        raise AssertionError("a job per level")
+
+    monkeypatch.setattr(trees, "_fit_levels", levels)
+    n = 70_000
+    rows = spark.range(n).selectExpr("id AS row_id", "'a' AS dom", "int(id % 7 < 3) AS label", "double(id % 7) AS f0", "double(id % 5) AS f1")
+    spec = {"b": replace(trees.SPECS["boosting_150"], trees=2, depth=2), "f": replace(trees.SPECS["forest_small"], trees=2)}
+    models = trees.fit_trees(rows, ["f0", "f1"], "label", "row_id", "dom", spec)
+    for name in spec:
+        assert (models["a", name].score(np.array([[1.0, 0.0], [5.0, 0.0]])) > 0.5).tolist() == [True, False]
