@@ -124,9 +124,11 @@ def _sums(pairs: dict, d: int):
                 y = batch.column(1).to_numpy()
                 cells = batch.column(2)
                 row = np.repeat(np.arange(len(y)), np.diff(cells.offsets.to_numpy()))
-                name = np.array(cells.flatten().to_pylist(), dtype=object)
+                name = cells.flatten().dictionary_encode()
+                code, codes = name.indices.to_numpy(), name.dictionary.to_pylist()
+                members = {c: row[code == k] for k, c in enumerate(codes)}
                 for number, (problem, fitted, counts) in pairs.items():
-                    mine = row[name == problem]
+                    mine = members.get(problem, ())
                     if not len(mine):
                         continue
                     z = (np.where(np.isnan(x[mine]), fitted.median, x[mine]) - fitted.mean) / fitted.std
@@ -136,13 +138,26 @@ def _sums(pairs: dict, d: int):
                     total[number] = total[number] + found if number in total else found
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))],
+                [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
                 names=["pair", "v"],
             )
 
     return sums
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum per pair from those of the tasks."""
+    total: dict = {}
+    for batch in batches:
+        for pair, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(v.as_py())
+            total[pair] = total[pair] + part if pair in total else part
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+        names=["pair", "v"],
+    )
+
+
 def _scaling(rows: DataFrame, features, scaled) -> dict:
     """{problem: (counts, median, mean, deviation)} of every training set."""
     d = len(features)
@@ -203,12 +218,11 @@ def fit_linear(rows: DataFrame, features, models: dict, max_steps: int = MAX_STE
         if not active:
             break
         pairs = {k: tuple(state[k][:3]) for k in active}
-        flat = rows.mapInArrow(_sums(pairs, d), "pair int, v array<double>").select("pair", F.posexplode("v").alias("at", "v"))
-        sums = flat.groupBy("pair", "at").agg(F.sum("v").alias("v"))
-        found = sums.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("v")).collect()
+        parts = rows.mapInArrow(_sums(pairs, d), "pair int, v binary")
+        found = parts.repartition("pair").mapInArrow(_added, "pair int, v binary").collect()
         for r in found:  # the square of the number of features per pair
             _, fitted, _, _, before, step = state[r["pair"]]
-            size, v = len(fitted.beta), np.array(r["v"])
+            size, v = len(fitted.beta), np.frombuffer(r["v"])
             penalty = np.full(size, fitted.model.alpha)
             penalty[0] = 0.0
             loss = v[0] + 0.5 * (penalty * fitted.beta**2).sum()

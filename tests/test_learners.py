@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,24 @@ def test_sets_above_one_chunk_grow_in_tasks(spark, monkeypatch):
     models = trees.fit_trees(rows, ["f0", "f1"], "label", "row_id", "dom", spec)
     for name in spec:
         assert (models["a", name].score(np.array([[1.0, 0.0], [5.0, 0.0]])) > 0.5).tolist() == [True, False]
+
+
+def test_newton_sums_of_tasks_meet_as_one_row_per_pair():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    cells = [["s"] if i % 3 else ["s", "t"] for i in range(50)]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(x[a : a + 25].tolist()), pa.array(y[a : a + 25]), pa.array(cells[a : a + 25])], names=["x", "y", "cells"]
+        )
+        for a in (0, 25)
+    ]
+    one = convex.Fitted(convex.Linear(), ("a", "b", "c"), np.zeros(3), np.zeros(3), np.ones(3), np.array([0.1, 0.2, 0.3, 0.4]))
+    pairs = {7: ("s", one, (20, 30)), 8: ("t", one, (8, 9))}
+    parts = [b for batch in batches for b in convex._sums(pairs, 3)(iter([batch]))]
+    (out,) = convex._added(iter(parts))
+    got = {p: np.frombuffer(v) for p, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    for pair, mine in ((7, np.ones(50, bool)), (8, np.arange(50) % 3 == 0)):
+        t, w = convex._targets(one.model, y[mine], pairs[pair][2])
+        loss, slope, curve = convex.derivatives(one.model, one.model.mapped(x[mine]), t, w, one.beta)
+        assert np.allclose(got[pair], np.concatenate([[loss], slope, curve.ravel()]))
