@@ -218,3 +218,16 @@ def test_newton_sums_of_tasks_meet_as_one_row_per_pair():
         t, w = convex._targets(one.model, y[mine], pairs[pair][2])
         loss, slope, curve = convex.derivatives(one.model, one.model.mapped(x[mine]), t, w, one.beta)
         assert np.allclose(got[pair], np.concatenate([[loss], slope, curve.ravel()]))
+
+
+def test_equal_rows_meet_before_cells_repeat_them(spark):
+    from gsx.operators.evaluate import cell_scores, equal_cell_scores, transfer_matrix
+
+    rows = spark.range(600).selectExpr(
+        "id AS row_id", "if(id % 2 = 0, 'a', 'b') AS dom", "id % 20 AS grp", "int(id % 3 = 0) AS label", "double(id % 4) AS x"
+    )
+    plain = cell_scores(rows, ["x"], "label", "grp", "dom", ["a", "b"])
+    equal = equal_cell_scores(rows, ["x"], "label", "grp", "dom", ["a", "b"])
+    assert equal.count() * 4 < plain.count()
+    want = sorted(transfer_matrix(plain, "label").collect())
+    assert sorted(transfer_matrix(equal, "label", "n_rows").collect()) == want
