@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gsx.operators.bootstrap import auc_interval, replicate_auc, replicate_weights
+from gsx.operators.bootstrap import auc_interval, auc_with_interval, replicate_auc, replicate_weights
 from gsx.operators.ordered import (
     auc,
     global_positions,
@@ -201,3 +201,28 @@ def test_global_positions_follow_a_mixed_order(spark, scored):
     got = {r["id"]: r["p"] for r in global_positions(df, [F.col("s").desc(), "k", "id"], "p").collect()}
     want = sorted(rows, key=lambda r: (-r[3], r[1], r[0]))
     assert [got[r[0]] for r in want] == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_one_sort_gives_auc_and_interval_of_large_blocks_of_ties(spark, parts):
+    rng = np.random.default_rng(3)
+    n = 1500
+    s = np.where(np.arange(n) < 700, 2, rng.integers(0, 40, n)).astype(float).tolist()
+    rows = [(i, ("a", None)[i % 5 == 0], int(rng.random() < 0.4), s[i]) for i in range(n)]
+    rows.append((n, "one class", 1, 1.0))
+    df = spark.createDataFrame(rows, "id long, k string, y int, s double").withColumn("h", hash_int(42, "id"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["k"]: r for r in auc_with_interval(df, "k", "s", "y", "h", 60).collect()}
+        old = {r["k"]: r for r in auc_interval(df, "k", "s", "y", "id", 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for k in ("a", None):
+        g = [r for r in rows if r[1] == k]
+        assert (got[k]["n_pos"], got[k]["n_neg"]) == (sum(r[2] for r in g), sum(1 - r[2] for r in g))
+        assert got[k]["auc"] == pytest.approx(brute_auc([r[2] for r in g], [r[3] for r in g], np.ones(len(g))), abs=1e-12)
+        w = replicate_weights(np.array([r["h"] for r in df.filter(F.col("k").eqNullSafe(k)).orderBy("id").collect()]), 60)
+        aucs = [brute_auc([r[2] for r in g], [r[3] for r in g], w[:, rep]) for rep in range(60)]
+        assert got[k]["ci_lo"] == pytest.approx(np.percentile(aucs, 2.5), abs=1e-12)
+        assert [got[k][c] for c in ("n_valid", "ci_lo", "ci_hi")] == [old[k][c] for c in ("n_valid", "ci_lo", "ci_hi")]
+    assert got["one class"]["auc"] is None and got["one class"]["n_valid"] is None and "one class" not in old
