@@ -26,7 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash and MinHash candidates of five-word Jaccard similarity 0.8 or more."""
     return jaccard.drop_near_copies(docs)
 
 

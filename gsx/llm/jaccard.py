@@ -1,9 +1,9 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands, then the exact share.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash candidates, then the exact share.
 
-Fingerprints of 64 bits cannot find a similarity of 0.8 by pigeonhole blocks (about ten bits
-differ, often fifteen, and blocks for that many are three bits wide), so candidates come
-from BANDS bands of ROWS MinHashes each; a pair at the limit shares one with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999.  Texts that a chain of shared bands connects are
+Candidates are the texts that ``simhash`` links, fingerprints by pigeonhole blocks.  Those of 64
+bits cannot find every similarity of 0.8 (about ten bits differ, often fifteen, and blocks for that many
+are three bits wide), so BANDS bands of ROWS MinHashes each give more; a pair at the limit shares one with
+probability 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999.  Texts that a chain of links connects are
 compared with each other, all pairs, on their whole shingle sets; a set of texts too large for
 one task is cut into chunks that meet pairwise.  Only a spanning forest leaves a task.
 """
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from gsx.llm.components import components
 from gsx.llm.exact_dedup import text_digest
 from gsx.llm.row_numbers import NumberedRows
-from gsx.llm.simhash import keep_first
+from gsx.llm.simhash import fingerprint, keep_first, links
 from gsx.llm.texts import word_lists
+from gsx.llm.tokens import forget
 from gsx.operators.ordered import lookup_join
 from gsx.session import settle, ship
 
@@ -73,19 +74,25 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _signed(size: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(1).to_pylist()
-            keys = np.concatenate([band_keys(shingles(t, size)) for t in raw])
-            ends = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
+            sizes, keys, fps = [], [], []
+            for item in batch.column(1):
+                data = item.as_py()
+                sizes.append(len(data))
+                keys.append(band_keys(shingles(data, size)))
+                fps.append(fingerprint(data))
+            ends = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(t) for t in raw], pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(keys)),
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
                 ],
-                names=["node", "bytes", "keys"],
+                names=["node", "bytes", "keys", "fp"],
             )
 
     return signed
@@ -137,6 +144,16 @@ def _verified(size: int, similar: float):
     return verified
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """(node, low): each node, and the smallest one whose SimHash fingerprint ``fp`` links with its own reach."""
+    signed = signed.select("node", "fp")
+    chains = components(links(signed.select("fp").distinct()), "a", "b").select(F.col("node").alias("fp"), "root")
+    named = lookup_join(signed, chains, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    named = settle(named)
+    lows = named.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return lookup_join(named, lows.filter("low < high").select("root", "low"), "root").select("node", "low")
+
+
 def near_groups(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -150,6 +167,7 @@ def near_groups(
     Texts link when the sets of their runs of ``shingle`` lower-case words (A-Z) have a Jaccard
     similarity of ``similar`` or more; ``root`` is the smallest digest reachable.  A text
     of fewer words has one run, all its words; texts without words link, NULL being empty.
+    Candidates share a band or have linked fingerprints (``simhash``).
     BANDS and ROWS are chosen for 0.8; a smaller ``similar`` loses more pairs.  Repeated rows
     are rows of one group; other columns are ignored; an empty table gives no rows.
     """
@@ -159,12 +177,12 @@ def near_groups(
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     texts = docs.select(F.xxhash64(sha).alias("node"), sha, raw)
     signed = settle(
-        texts.select("node", "raw").mapInArrow(_signed(shingle), "node bigint, bytes bigint, keys array<bigint>")
+        texts.select("node", "raw").mapInArrow(_signed(shingle), "node bigint, bytes bigint, keys array<bigint>, fp bigint")
     )
     keyed = signed.select("node", F.explode("keys").alias("key"))
     lows = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = lookup_join(keyed, lows.filter("low < high").select("key", "low"), "key")
-    chains = settle(components(shared, "node", "low"))
+    shared = lookup_join(keyed, lows.filter("low < high").select("key", "low"), "key").select("node", "low")
+    chains = settle(components(shared.union(fingerprint_links(signed)), "node", "low"))
     sizes = chains.join(signed.groupBy("node").agg(F.max("bytes").alias("bytes")), "node").groupBy("root").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
     )

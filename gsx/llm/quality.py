@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.llm.texts import char_pieces
+from gsx.llm.tokens import forget
 from gsx.session import settle, ship
 
 SLOTS = 1 << 15
@@ -67,6 +68,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of neighbours' index vectors over one partition, in blocks of slots."""
+    forget()
     at, sign = index_vectors()
     table = np.zeros(SLOTS * DIM)
     slots, held, size = _Slots(), [], 0

@@ -130,3 +130,8 @@ class WordTokens:
 def word_tokens(path: str) -> WordTokens:
     """The tokenizer of this Python worker; what it remembers serves the tasks that follow."""
     return WordTokens(path)
+
+
+def forget() -> None:
+    """Drop the tokenizer and its memory; for tasks that need none after ones that did, in one Python worker."""
+    word_tokens.cache_clear()

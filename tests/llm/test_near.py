@@ -66,3 +66,19 @@ def test_near_edge_rows(spark, edge, none):
     texts = [t for _, t, _ in EDGE]
     assert left.count() == len(set(brute_roots(texts)))
     assert jaccard.drop_near_copies(none).count() == 0
+
+
+def test_fingerprints_link_what_no_band_shares(spark):
+    rng = random.Random(11)
+    pairs = []
+    for k in range(12):
+        shared = " ".join(f"w{rng.random()}" for _ in range(40))
+        often = f"a{k} b{k} c{k} " * 400
+        pairs.append([often + shared + " " + " ".join(f"o{rng.random()}" for _ in range(30)) for _ in range(2)])
+    keys = [[set(jaccard.band_keys(jaccard.shingles(t.encode())).tolist()) for t in p] for p in pairs]
+    assert any(not a & b for a, b in keys)
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {r["doc_id"]: r["root"] for r in jaccard.near_groups(docs, similar=0.4).collect()}
+    assert all(roots[2 * k] == roots[2 * k + 1] for k in range(len(pairs)))
+    assert len(set(roots.values())) == len(pairs)
