@@ -231,3 +231,14 @@ def test_equal_rows_meet_before_cells_repeat_them(spark):
     assert equal.count() * 4 < plain.count()
     want = sorted(transfer_matrix(plain, "label").collect())
     assert sorted(transfer_matrix(equal, "label", "n_rows").collect()) == want
+
+
+def test_cells_are_repeated_by_generated_code(spark):
+    from gsx.operators.evaluate import cell_rows
+
+    rows = cell_rows(spark.createDataFrame([("a", 0, None), ("b", None, 1)], "dom string, fold int, fold_all int"), "dom", ["a", "b"])
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["dom"], r["train"], r["test"], r["holdout"]) for r in rows.collect()}
+    a = {("a", "a", "a", 0), ("a", "b", "a", -1), ("a", "Combined", "a", -1), ("a", "a", "Combined", -1), ("a", "b", "Combined", -1)}
+    b = {("b", "a", "b", -1), ("b", "Combined", "b", -1), ("b", "a", "Combined", -1), ("b", "b", "Combined", -1), ("b", "Combined", "Combined", 1)}
+    assert got == a | b
