@@ -24,6 +24,7 @@ from gsx.llm.row_numbers import NumberedRows
 from gsx.llm.simhash import fingerprint, keep_first, links
 from gsx.llm.texts import word_lists
 from gsx.llm.tokens import forget
+from gsx.llm.workers import released
 from gsx.operators.ordered import lookup_join
 from gsx.session import settle, ship
 
@@ -177,7 +178,7 @@ def near_groups(
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     texts = docs.select(F.xxhash64(sha).alias("node"), sha, raw)
     signed = settle(
-        texts.select("node", "raw").mapInArrow(_signed(shingle), "node bigint, bytes bigint, keys array<bigint>, fp bigint")
+        texts.select("node", "raw").mapInArrow(released(_signed(shingle)), "node bigint, bytes bigint, keys array<bigint>, fp bigint")
     )
     keyed = signed.select("node", F.explode("keys").alias("key"))
     lows = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -198,7 +199,7 @@ def near_groups(
         .select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "text_sha256", "raw")
     )
     sorted_ = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "text_sha256")
-    roots = components(sorted_.mapInArrow(_verified(shingle, similar), "a string, b string"), "a", "b")
+    roots = components(sorted_.mapInArrow(released(_verified(shingle, similar)), "a string, b string"), "a", "b")
     named = lookup_join(ids, roots.withColumnRenamed("node", "text_sha256"), "text_sha256", "left")
     kept = [c for c in ids.columns if c != "text_sha256"]
     return settle(named.select(*kept, "text_sha256", F.coalesce("root", "text_sha256").alias("root")))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gsx.llm.tokens import word_tokens
+from gsx.llm.workers import released
 from gsx.session import settle, ship
 
 CAPACITY = 4096
@@ -243,7 +244,7 @@ def pack(
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("digest"), raw.alias("raw"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     counted = base.mapInArrow(
-        _tokenized(path, capacity, capacity // SHORT),
+        released(_tokenized(path, capacity, capacity // SHORT)),
         f"doc_id {id_type}, digest bigint, n bigint, crcs array<bigint>, tail binary",
     )
     tops, unit = class_tops(capacity), grid_unit(capacity)
@@ -369,7 +370,7 @@ def _slots(held: DataFrame, plan: list, tops: np.ndarray, capacity: int, first:
     kept = [f for f in ranked.schema.fields if f.name not in ("cls", "one_before")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     at = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.mapInArrow(placed, f"{schema}, sequence_id bigint, slot bigint").select(
+    return ranked.mapInArrow(released(placed), f"{schema}, sequence_id bigint, slot bigint").select(
         *[f.name for f in kept],
         "sequence_id",
         F.coalesce(F.sum("length").over(at), F.lit(0)).cast("long").alias("offset"),
@@ -459,7 +460,7 @@ def _fill(base, filler: DataFrame, gaps: DataFrame, drawn, path: str, capacity:
     brief = pieces.filter("tail IS NOT NULL").withColumn("raw", F.lit(None).cast("binary")).select(*names)
     joined = long.union(brief)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:])
-    summed = joined.mapInArrow(_cut_tokens(path), f"{kept}, crcs array<bigint>")
+    summed = joined.mapInArrow(released(_cut_tokens(path)), f"{kept}, crcs array<bigint>")
     each = summed.select("doc_id", "n", F.explode(F.arrays_zip("pieces", "crcs")).alias("z"))
     return each.select(
         "doc_id",

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gsx.llm.texts import char_pieces
 from gsx.llm.tokens import forget
+from gsx.llm.workers import released
 from gsx.session import settle, ship
 
 SLOTS = 1 << 15
@@ -123,8 +124,8 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """SLOTS x DIM unit vectors (zero for unused slots) from all of ``docs``."""
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(_contexts, "block int, sums binary")
-    added = parts.repartition("block").mapInArrow(_add_blocks, "block int, sums binary")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(released(_contexts), "block int, sums binary")
+    added = parts.repartition("block").mapInArrow(released(_add_blocks), "block int, sums binary")
     table = np.zeros((SLOTS // _ROWS, _ROWS * DIM))
     for row in added.collect():
         table[row["block"]] = np.frombuffer(row["sums"], "<i8")
@@ -261,7 +262,7 @@ class Classifier:
             docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
             .join(F.broadcast(chosen), "_id")
             .select("label", "text")
-            .mapInArrow(_pooler(self.vectors), "label int, pool binary")
+            .mapInArrow(released(_pooler(self.vectors)), "label int, pool binary")
             .collect()
         )
         rows = sorted((r["pool"], r["label"]) for r in rows)
@@ -286,7 +287,7 @@ class Classifier:
 
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         kind = rows.schema["doc_id"].dataType.simpleString()
-        return rows.mapInArrow(scores, f"doc_id {kind}, score double")
+        return rows.mapInArrow(released(scores), f"doc_id {kind}, score double")
 
     def keep(self, docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
         """Rows of ``docs`` whose score is at least ``least``, all columns, without a shuffle."""
@@ -298,7 +299,7 @@ class Classifier:
             for batch in batches:
                 yield batch.filter(pa.array(self._scored(batch.column(at), slots) >= least))
 
-        return docs.mapInArrow(kept, docs.schema)
+        return docs.mapInArrow(released(kept), docs.schema)
 
 
 def quality_scores(

@@ -21,6 +21,7 @@ from gsx.llm.components import components
 from gsx.llm.exact_dedup import text_digest
 from gsx.llm.row_numbers import NumberedRows
 from gsx.llm.texts import word_lists
+from gsx.llm.workers import released
 from gsx.session import settle, ship
 
 SHINGLE = 3
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *m
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *more, raw)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_fingerprints, f"{schema}, fp bigint")
+    return rows.mapInArrow(released(_fingerprints), f"{schema}, fp bigint")
 
 
 def block_keys(fp: str) -> F.Column:
@@ -166,7 +167,7 @@ def links(fps: DataFrame) -> DataFrame:
         .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
     )
     sorted_ = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "fp")
-    return sorted_.mapInArrow(_links, "a bigint, b bigint")
+    return sorted_.mapInArrow(released(_links), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more) -> DataFrame:
