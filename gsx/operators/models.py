@@ -598,19 +598,6 @@ def rff_svm_scores(train, test, features, label, n_terms=128, c=10.0, seed=SEED)
     return _score(svm.fit(tr).transform(te)).drop("features_v", "label_v")
 
 
-def importances(df: DataFrame, features, label, name="forest_100", **kw) -> DataFrame:
-    """Impurity importance of every feature with its rank (A18); one row per feature."""
-    model = fit(prepared(df, features, label), name, **kw)
-    rows = sorted(
-        zip(features, [float(v) for v in model.featureImportances.toArray()]),
-        key=lambda r: (-r[1], r[0]),
-    )
-    return df.sparkSession.createDataFrame(
-        [(i + 1, f, v) for i, (f, v) in enumerate(rows)],
-        "rank int, feature string, importance double",
-    )
-
-
 def soft_vote(scores: DataFrame, row_keys, min_models: int = 3) -> DataFrame:
     """Mean probability over models; rows scored by fewer models are NULL."""
     return (

@@ -2,7 +2,7 @@
 
 Bin limits come from the training rows of each training set, once.  A level of a tree is one
 aggregation of (tree, node, feature, bin) sums and a choice of the best split of every node,
-for all trees of a forest at once.  A training set of at most LOCAL_ROWS rows (some 20 MB of bins)
+for all trees of a forest at once.  A training set of at most LOCAL_ROWS rows (some 30 MB at six features)
 is grown inside a task instead, all sets and ensembles in one job and the trees of a forest dealt over many tasks; bins, sums and
 choices are the same, so the trees are too.  A fitted model (at most 2 ** depth nodes a tree)
 is held by the driver and sent to the tasks that score, as in Spark ML.
@@ -31,7 +31,7 @@ SEED = 42
 BINS = 256
 SKETCH_ACCURACY = 10_000
 #: Rows of a training set that one task grows trees on, each as many bytes as features and nine more.
-LOCAL_ROWS = 1 << 20
+LOCAL_ROWS = 1 << 21
 #: Tasks over which the trees of a local forest are dealt at most, and those of all sets of one forest.
 TREE_TASKS, SLOTS = 32, 128
 #: Boosted trees after which the running scores are written.
@@ -94,6 +94,8 @@ class Tree:
     left: list = field(default_factory=lambda: [-1])
     value: list = field(default_factory=lambda: [0.0])
     key: list = field(default_factory=lambda: [0])
+    #: Gain of all splits of every feature that has one.
+    gains: dict = field(default_factory=dict)
 
     def split(self, node: int, feature: int, bin_: int) -> tuple[int, int]:
         at = len(self.left)
@@ -320,6 +322,7 @@ def grow(bins: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, number:
     open_, slot = np.zeros(1, np.int64), np.zeros(len(bins), np.int64)
     keys = np.array(tree.key, np.uint64)
     value = [np.zeros(1)]
+    gains = np.zeros(d)
     for depth in range(spec.depth + 1):
         n = len(open_)
         total = ta, tb, tc = _segments(slot, n, a, b, None)
@@ -347,6 +350,7 @@ def grow(bins: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, number:
         split = np.flatnonzero(where[:, 0] >= 0)
         if not len(split):
             break
+        gains += np.bincount(where[split, 0], best[split], d) / GAIN_STEPS
         children = tree.split_all(open_[split], where[split])
         child = np.full(n, -1)
         child[split] = 2 * np.arange(len(split))
@@ -358,6 +362,7 @@ def grow(bins: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, number:
         open_ = children
         value.append(None)
     tree.value = np.concatenate(value).tolist()
+    tree.gains = {int(f): float(gains[f]) for f in np.flatnonzero(gains)}
     return tree
 
 
@@ -432,17 +437,17 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), d)
 
 
-TREE_SCHEMA = "slot int, number int, feature binary, bin binary, `left` binary, value binary"
+TREE_SCHEMA = "slot int, number int, feature binary, bin binary, `left` binary, value binary, gains map<int,double>"
 
 
-def compact(feature, bin_, left, value) -> Tree:
+def compact(feature, bin_, left, value, gains) -> Tree:
     """A grown tree in typed arrays, from arrays or their bytes."""
     def held(code, v):
         out = array(code)
         out.frombytes(v) if isinstance(v, (bytes, bytearray)) else out.extend(v)
         return out
 
-    return Tree(held("h", feature), held("B", bin_), held("i", left), held("d", value), [])
+    return Tree(held("h", feature), held("B", bin_), held("i", left), held("d", value), [], dict(gains))
 
 
 def _blocks(rows: DataFrame, d: int) -> DataFrame:
@@ -489,16 +494,18 @@ def _fit_local(rows: DataFrame, names, d: int, specs: dict, counts: dict) -> dic
         order = np.lexsort((y, *bins.T[::-1], h))
         numbers = range(task, specs[name].trees, tasks)
         trees = grow_local(bins[order], y[order].astype(np.int64), h[order], specs[name], numbers, counts[part])
-        flat = [compact(t.feature, t.bin, t.left, t.value) for t in trees]
+        flat = [compact(t.feature, t.bin, t.left, t.value, t.gains) for t in trees]
         return pd.DataFrame(
-            [(key[0], k, *[v.tobytes() for v in (t.feature, t.bin, t.left, t.value)]) for k, t in zip(numbers, flat)],
-            columns=["slot", "number", "feature", "bin", "left", "value"],
+            [(key[0], k, *[v.tobytes() for v in (t.feature, t.bin, t.left, t.value)], t.gains) for k, t in zip(numbers, flat)],
+            columns=["slot", "number", "feature", "bin", "left", "value", "gains"],
         )
 
     found: dict = {}
     for r in dealt.groupBy("slot").applyInPandas(run, TREE_SCHEMA).collect():
         part, name = slots[r["slot"]][:2]
-        found.setdefault((part, name), {})[r["number"]] = compact(r["feature"], r["bin"], r["left"], r["value"])
+        found.setdefault((part, name), {})[r["number"]] = compact(
+            r["feature"], r["bin"], r["left"], r["value"], r["gains"]
+        )
     return {p: [t[k] for k in sorted(t)] for p, t in found.items()}
 
 
@@ -596,7 +603,9 @@ def _fit_levels(rows: DataFrame, d: int, spec: TreeSpec, counts) -> list[Tree]:
                 tree.value[r["node"]] = leaf_value(spec, r["ta"], r["tb"])
                 pure = spec.kind == "forest" and not (r["ta"] > 0 and r["tb"] > 0)
                 if depth < spec.depth and r["s"] is not None and not pure:
-                    grown.setdefault(r["tree"], []).extend(tree.split(r["node"], -r["s"]["f"], -r["s"]["b"]))
+                    f = -r["s"]["f"]
+                    tree.gains[f] = tree.gains.get(f, 0.0) + r["s"]["g"] / GAIN_STEPS
+                    grown.setdefault(r["tree"], []).extend(tree.split(r["node"], f, -r["s"]["b"]))
             open_ = grown
             if not grown:
                 break
@@ -606,7 +615,7 @@ def _fit_levels(rows: DataFrame, d: int, spec: TreeSpec, counts) -> list[Tree]:
             if len(prior) == SCORE_EVERY:
                 rows = settle(_with_scores(rows, d, prior))
                 prior = []
-    return [compact(t.feature, t.bin, t.left, t.value) for t in done]
+    return [compact(t.feature, t.bin, t.left, t.value, t.gains) for t in done]
 
 
 def _with_scores(rows: DataFrame, d: int, trees: list) -> DataFrame:
@@ -669,6 +678,28 @@ def score_trees(rows: DataFrame, model: Ensemble, name: str = "score") -> DataFr
     return rows.withColumn(name, scored(_raw(rows, model.features)))
 
 
+def importances(
+    train: DataFrame, features, label: str, row_id: str, part: str, spec: TreeSpec, local_rows: int = LOCAL_ROWS
+) -> DataFrame:
+    """(part, rank, feature, importance): impurity importance of every feature in every part.
+
+    The gains of a tree's splits by feature, as shares of the tree, are averaged over the trees and add up to 1;
+    equal ones are ranked by name.  A forest without splits gives zeros, a part of one class no rows.
+    """
+    found = []
+    for (name, _), model in fit_trees(train, features, label, row_id, part, {"m": spec}, local_rows).items():
+        total = np.zeros(len(features))
+        for tree in model.trees:
+            whole = sum(tree.gains.values())
+            for f, gain in tree.gains.items():
+                total[f] += gain / whole
+        shares = (total / (total.sum() or 1.0)).tolist()
+        order = sorted(zip(features, shares), key=lambda r: (-r[1], r[0]))
+        found += [(name, i + 1, f, v) for i, (f, v) in enumerate(order)]
+    kind = train.schema[part].dataType.simpleString()
+    return train.sparkSession.createDataFrame(found, f"part {kind}, rank int, feature string, importance double")
+
+
 def transfer_scores(rows: DataFrame, features, label: str, row_id: str, part: str, names, keep=()) -> DataFrame:
     """(row_id, label, keep..., train, test, model, score): the rows of every part scored by the models of
     every other one.  ``names`` are keys of SPECS, or a dictionary of specs."""

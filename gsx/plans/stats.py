@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gsx.operators.models import importances
+from gsx.operators import trees
 from gsx.operators.stats import (
     anova_f,
     class_crosstab,
@@ -47,6 +47,7 @@ from gsx.plans.base import (
     vector_long,
 )
 from gsx.plans.joins import VRANK_SQL, doc_ranking, vector_ranking
+from gsx.session import settle
 
 QUERIES, query = registry()
 
@@ -325,14 +326,11 @@ def a17(spark, sf):
 
 @query("a18_impurity_importance")
 def a18(spark, sf):
-    docs = doc_features(spark, sf)
-    out = None
-    for name in (*DOC_DOMAINS, "combined"):
-        part = docs if name == "combined" else docs.filter(F.col("domain") == name)
-        one = importances(part, DOC_FEATURES, "label", "forest_300")
-        one = one.withColumn("fitted_on", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # text is read once; the forests see six numbers of a document
+    docs = settle(doc_features(spark, sf).select("doc_id", "domain", "label", *DOC_FEATURES))
+    sets = docs.withColumn("fitted_on", F.explode(F.array("domain", F.lit("combined"))))
+    found = trees.importances(sets, DOC_FEATURES, "label", "doc_id", "fitted_on", trees.SPECS["forest_300"])
+    return found.select("rank", "feature", "importance", F.col("part").alias("fitted_on"))
 
 
 @query(

@@ -94,6 +94,39 @@ def test_growth_in_a_task_equals_growth_by_levels(data):
         assert np.allclose(model.score(x), levels[key].score(x))
 
 
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_importances_are_gains_of_the_trees_by_feature(data, local_rows):
+    df, x, y = data
+    spec = trees.TreeSpec(depth=3, min_split=5)
+    found = trees.importances(df, FEATURES, "label", "row_id", "dom", spec, local_rows).collect()
+    for part, odd in (("a", 1), ("b", 0)):
+        mine = np.arange(len(y)) % 2 == odd
+        xs, ys = x[mine], y[mine]
+        w = np.where(ys == 1, len(ys) / (2 * ys.sum()), len(ys) / (2 * (len(ys) - ys.sum())))
+        gains = np.zeros(3)
+
+        def walk(node, held):
+            if not isinstance(node, tuple):
+                return
+            f, v, *sides = node
+
+            def pure(m):
+                t = np.array([w[m & (ys == 0)].sum(), w[m & (ys == 1)].sum()])
+                return (t**2).sum() / t.sum()
+
+            left, right = held & (xs[:, f] <= v), held & (xs[:, f] > v)
+            gains[f] += pure(left) + pure(right) - pure(held)
+            walk(sides[0], left)
+            walk(sides[1], right)
+
+        walk(plain_gini(xs, ys, w, spec), np.ones(len(ys), bool))
+        rows = sorted((r for r in found if r.part == part), key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == [1, 2, 3]
+        assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
+        told = {r.feature: r.importance for r in rows}
+        assert np.allclose([told[f] for f in FEATURES], gains / gains.sum(), atol=1e-6)
+
+
 def test_missing_values_one_class_and_scores(data):
     df, _, _ = data
     holes = df.withColumn("f0", F.when(F.col("row_id") % 7 > 0, F.col("f0")))
