@@ -126,18 +126,37 @@ KNN_PIVOTS = 64
 
 
 def _nearest(k, train_ids, train_x, train_y):
-    """Candidates of one batch of test rows against one block of training rows."""
+    """Candidates of one batch of test rows against one block of training rows.
+
+    A matrix product rules rows out; those within its rounding of the ``k`` nearest are compared exactly.
+    """
+    squares = (train_x**2).sum(axis=1)
+    rounding = 4 * (train_x.shape[1] + 8) * np.finfo(float).eps
+
+    def near(x):
+        every = np.ones((len(x), len(train_x)), bool)
+        if len(train_x) <= k:
+            return every
+        own = (x**2).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = own[:, None] + squares - 2 * (x @ train_x.T)
+        if not np.isfinite(d).all():
+            return every
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * rounding * (own + squares.max())
+        return d <= limit[:, None]
 
     def top(ids, x):
-        d = ((x[:, None, :] - train_x[None, :, :]) ** 2).sum(axis=2)
-        order = np.lexsort((np.broadcast_to(train_ids, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        cols = order.ravel()
+        rows, cols = np.nonzero(near(x))
+        d = ((x[rows] - train_x[cols]) ** 2).sum(axis=1)
+        order = np.lexsort((train_ids[cols], d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[first], cols[first]
         return pd.DataFrame(
             {
                 "row_id": np.asarray(ids)[rows],
                 "train_id": train_ids[cols],
-                "distance": d[rows, cols],
+                "distance": d[first],
                 "y": train_y[cols],
             }
         )
@@ -224,9 +243,9 @@ class _Cells:
         self.visit = visit
 
     def visits(self, test: DataFrame) -> DataFrame:
-        """(row_id, x, cell): one row per cell that a test row visits, settled."""
-        told = test.mapInPandas(self.visit, "row_id bigint, x array<double>, cells array<int>")
-        return settle(told.select("row_id", "x", F.explode("cells").alias("cell")))
+        """(row_id, x, cell): one row per cell that a test row visits, from a settled row per test row."""
+        told = settle(test.mapInPandas(self.visit, "row_id bigint, x array<double>, cells array<int>"))
+        return told.select("row_id", "x", F.explode("cells").alias("cell"))
 
 
 def _rows(df: DataFrame) -> DataFrame:

@@ -211,6 +211,24 @@ def test_every_row_is_scored_once_per_cell_without_its_own_group(spark):
     assert held.count() == 0
 
 
+def test_knn_block_compares_few_rows_exactly_and_keeps_ties(monkeypatch):
+    rng = np.random.default_rng(3)
+    train = np.vstack([rng.normal(size=(300, 16)), np.repeat(rng.normal(size=(1, 16)), 9, axis=0) + 1e4])
+    ids, y = rng.permutation(len(train)), np.arange(len(train)) % 2
+    compared, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a, **kw: compared.append(np.size(keys[0])) or plain(keys, *a, **kw))
+    holes = train.copy()
+    holes[4, 2] = np.nan
+    for known in (train, holes, train[:3]):
+        x = np.vstack([known[:3] + 0.01, train[-2:]])
+        d = ((x[:, None, :] - known[None, :, :]) ** 2).sum(axis=2)
+        want = [sorted((np.inf if np.isnan(v) else v, i) for v, i in zip(row, ids))[:5] for row in d]
+        got = models._nearest(5, ids[: len(known)], known, y[: len(known)])(np.arange(len(x)), x)
+        assert [list(g["train_id"]) for _, g in got.groupby("row_id")] == [[i for _, i in w] for w in want]
+    # of 5 x 309 distances the product leaves a few, among them the nine equal rows
+    assert compared[0] < 60
+
+
 def test_knn_cells_equal_brute_force_with_ties(spark):
     rng = np.random.default_rng(2)
     far = [[float(v) for v in 20 * (i % 9) + rng.normal(size=3)] for i in range(400)]
