@@ -1,5 +1,8 @@
 """M: train-side transforms and classifiers, scored across domains."""
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gsx.operators import ensembles as EN
@@ -31,7 +34,7 @@ from gsx.plans.evaluation import (
     doc_subsets,
     docs,
 )
-from gsx.session import scratch_path, settle
+from gsx.session import scratch_path, settle, side_by_side
 
 QUERIES, query = registry()
 
@@ -172,14 +175,15 @@ def m21(spark, sf):
 def transfer(spark, sf, scorers) -> object:
     """AUC of scorers (name -> function of train and test) on both true transfers."""
     rows = settle(docs(spark, sf))
-    out = None
-    for name, scorer in scorers.items():
-        for a, b in (DOC_DOMAINS, DOC_DOMAINS[::-1]):
-            part = scorer(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b))
-            part = part.select("label", "score").withColumns(
-                {"train": F.lit(a), "test": F.lit(b), "model": F.lit(name)}
-            )
-            out = part if out is None else out.unionByName(part)
+
+    def scored(name, scorer, a, b):
+        part = scorer(rows.filter(F.col("domain") == a), rows.filter(F.col("domain") == b))
+        return part.select("label", "score").withColumns(
+            {"train": F.lit(a), "test": F.lit(b), "model": F.lit(name)}
+        )
+
+    fits = [partial(scored, n, s, *pair) for n, s in scorers.items() for pair in (DOC_DOMAINS, DOC_DOMAINS[::-1])]
+    out = reduce(DataFrame.unionByName, side_by_side(spark, fits))
     return rounded(auc(out, ["train", "test", "model"], "score", "label"), "auc")
 
 

@@ -1,6 +1,8 @@
 """Trees, batched linear models, stacking, cascades and feature choice inside folds against plain code."""
 
+import threading
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gsx.operators import convex, ensembles, trees
 from gsx.operators.evaluate import cascade, cascade_intervals, fold_f_stats, fold_masks
+from gsx.session import side_by_side
 
 FEATURES = ["f0", "f1", "f2"]
 
@@ -275,3 +278,14 @@ def test_cells_are_repeated_by_generated_code(spark):
     a = {("a", "a", "a", 0), ("a", "b", "a", -1), ("a", "Combined", "a", -1), ("a", "a", "Combined", -1), ("a", "b", "Combined", -1)}
     b = {("b", "a", "b", -1), ("b", "Combined", "b", -1), ("b", "a", "Combined", -1), ("b", "b", "Combined", -1), ("b", "Combined", "Combined", 1)}
     assert got == a | b
+
+
+def test_fits_run_side_by_side(spark):
+    meet = threading.Barrier(3, timeout=20)
+
+    def fit(i):
+        n = spark.range(i).count()
+        meet.wait()
+        return n
+
+    assert side_by_side(spark, [partial(fit, i) for i in (3, 1, 2)]) == [3, 1, 2]
