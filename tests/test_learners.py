@@ -289,3 +289,14 @@ def test_fits_run_side_by_side(spark):
         return n
 
     assert side_by_side(spark, [partial(fit, i) for i in (3, 1, 2)]) == [3, 1, 2]
+
+
+def test_own_cells_are_the_diagonal_of_the_matrix(data):
+    from gsx.operators.evaluate import cell_scores, own_cell_scores
+
+    args = (["f0", "f1"], "label", "grp", "dom", ["a", "b"])
+    df = data[0].drop("fold")
+    plain = cell_scores(df, *args).filter("train = test").collect()
+    own = own_cell_scores(df, *args).collect()
+    told = [sorted((r.train, r.row_id, r.holdout, r.score) for r in rows) for rows in (plain, own)]
+    assert told[0] == told[1] and len(own) == 800 and not any(r.seen_in_training for r in own)
