@@ -17,6 +17,7 @@ from gsx.operators.dedup import (
 )
 from gsx.plans.base import LINE_SQL, line_features, registry, sql_hash, table
 from gsx.plans.sources import RESULT_SQL, result_rows
+from gsx.session import settle
 
 QUERIES, query = registry()
 
@@ -139,7 +140,7 @@ def l6(spark, sf):
 
 def copied_runs(spark, sf):
     """Results in which some runs repeat another run, whole or nearly whole."""
-    base = result_rows(spark, sf)
+    base = settle(result_rows(spark, sf))
     number = F.regexp_extract("run", r"_(\d+)$", 1).cast("int")
     whole = base.filter(number % 10 == 3).withColumn("run", F.concat(F.lit("copy_"), "run"))
     near = base.filter(number % 10 == 7).withColumn("run", F.concat(F.lit("near_"), "run"))

@@ -411,3 +411,9 @@ def test_refit_keeps_rows_with_missing_values(spark, tmp_path):
     df = spark.createDataFrame(rows, "a double, b double, label int")
     model = models.refit_and_save(df, ["a", "b"], "label", "logistic", str(tmp_path / "m"))
     assert model.transform(df.drop("label")).count() == 90
+
+
+def test_lines_are_added_up_once_for_the_copied_runs(spark):
+    from gsx.plans.dedup import copied_runs
+
+    assert all("settled" in f for f in copied_runs(spark, "/root/testdata/sf0.001").inputFiles())
