@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gsx.operators import convex, ensembles, trees
 from gsx.operators.evaluate import cascade, cascade_intervals, fold_f_stats, fold_masks
-from gsx.session import side_by_side
+from gsx.session import settle, side_by_side
 
 FEATURES = ["f0", "f1", "f2"]
 
@@ -269,6 +269,47 @@ def test_equal_rows_meet_before_cells_repeat_them(spark):
     assert sorted(transfer_matrix(equal, "label", "n_rows").collect()) == want
 
 
+def test_matrix_of_ranges_equals_the_matrix_of_rows(spark, monkeypatch):
+    from gsx.operators import matrix
+    from gsx.operators.evaluate import cell_scores, confusion_of, subset_scores
+    from gsx.operators.ordered import auc_of, value_counts
+
+    monkeypatch.setattr(matrix, "CHUNK", 500)
+    rows = spark.range(4000).selectExpr(
+        "id AS row_id", "if(id % 2 = 0, 'a', 'b') AS dom", "if(id % 11 = 0, null, string(id % 2 + id % 3)) AS run", "id % 23 AS grp",
+        "if(id % 13 = 0, null, int(id % 3 = 0)) AS label", "if(id % 7 = 0, null, double(id % 4)) AS x",
+        "if(id % 500 = 0, double('inf'), sin(id)) AS u", "if(id % 3 = 0, null, double(id)) AS v", "round(cos(id) + id % 3, 2) AS w",
+    )
+    features, subsets = ["x", "u", "v", "w"], {"x": ["x"], "v": ["v"], "w": ["w"], "xw": ["w", "x"], "all": ["x", "u", "v", "w"]}
+    keys = ["run", "train", "test", "subset"]
+    scored = subset_scores(cell_scores(rows, features, "label", "grp", "dom", ["a", "b"]), subsets, features)
+    counts = value_counts(scored.withColumn("run", F.coalesce("run", F.lit("none"))), keys, "subset_score", "label")
+    want = auc_of(counts, keys, "subset_score").join(confusion_of(counts, keys, "subset_score"), keys)
+    for range_rows in (90, 1 << 20):
+        got = matrix.matrix_results(rows, features, subsets, "label", "grp", "dom", ["a", "b"], ["run"], range_rows=range_rows)
+        got = got.withColumn("run", F.coalesce("run", F.lit("none"))).select(*want.columns)
+        near = [[tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in sorted(d.collect())] for d in (got, want)]
+        assert near[0] == near[1] and len(near[0]) > 100
+
+
+def test_line_matrix_settles_no_row_per_score(spark, monkeypatch):
+    from gsx.operators import matrix
+    from gsx.plans import reports
+
+    sizes = []
+
+    def counted(df):
+        out = settle(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(reports, "settle", counted)
+    monkeypatch.setattr(matrix, "settle", counted)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert reports.results(spark, "/root/testdata/sf0.001").count() > 100
+    assert max(sizes) <= lines
+
+
 def test_cells_are_repeated_by_generated_code(spark):
     from gsx.operators.evaluate import cell_rows
 
