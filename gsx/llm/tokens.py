@@ -16,8 +16,8 @@ import numpy as np
 
 from gsx.llm.texts import byte_pieces, word_lists
 
-#: Parts remembered per Python worker.
-CACHE = 200_000
+#: Parts remembered per Python worker, in two halves: parts in use move to the recent one, the older one is dropped.
+CACHE = 400_000
 #: Parts that are encoded in one call.
 CALL = 128
 #: Bytes of text that are cut at once.
@@ -53,11 +53,12 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word; many words go through one call."""
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        out: list[bytes] = [b""] * len(words)
+        out: dict[bytes, bytes] = {}
         # a word of letters is one unit to the tokenizer, so such words may share a text
         plain, mixed = [], []
         for k, t in enumerate(texts):
@@ -73,30 +74,29 @@ class WordTokens:
                 of = np.array(found.word_ids, np.int64)
                 cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
                 for k, a, b in zip(at[low : low + CALL], cuts[:-1], cuts[1:]):
-                    out[k] = data[a:b]
+                    out[words[k]] = data[a:b]
         return out
 
     def _found(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of texts that are lists of parts; what is new is encoded together."""
-        known = self.known.get
-        found = [list(map(known, parts)) for parts in texts]
-        missing = [(f, parts, k) for f, parts in zip(found, texts) if None in f
-                   for k, ids in enumerate(f) if ids is None]
-        if missing:
-            new = list({parts[k] for _, parts, k in missing})
-            learnt = dict(zip(new, self._encode(new)))
-            for f, parts, k in missing:
-                f[k] = learnt[parts[k]]
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-            self.known.update(learnt)
-        return [b"".join(f) for f in found]
+        wanted = set().union(*texts)
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > CACHE // 2:
+            self.older, self.known = self.known, {}
+            new = wanted
+        if new:
+            kept = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(kept)
+            self.known.update(self._encode(list(new.difference(kept))))
+        known = self.known.__getitem__
+        return [b"".join(map(known, parts)) for parts in texts]
 
     def ids(self, data: bytes) -> Iterator[bytes]:
         """Ids of a UTF-8 text, piece by piece."""
         if b"\xcc" in data or b"\xcd" in data:
             for words in word_lists(data):
-                yield b"".join(self._encode(words))
+                ids = self._encode(words)
+                yield b"".join([ids[w] for w in words])
             return
         for piece in byte_pieces(data):
             yield from self._found([spaced(piece.lower()).split()])

@@ -55,3 +55,20 @@ def test_spaced_text_keeps_its_ids():
         want = whole.encode(text, add_special_tokens=False).ids
         assert whole.encode(cut, add_special_tokens=False).ids == want, text
     assert np.isin([b"\xc4\xb0"], tokens._SIGNS).all()
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "CACHE", 60)
+    monkeypatch.setattr(tokens, "GROUP", 1)
+    words, asked = tokens.WordTokens(path), []
+    encode = words._encode
+    monkeypatch.setattr(words, "_encode", lambda new: asked.extend(new) or encode(new))
+    letters = "abcdefghijklmnopqrst"
+    texts = [f"the house is near water x{a} " + " ".join(f"{a}{b}q" for b in letters[:12]) for a in letters]
+    got = [b"".join(ids) for ids in words.each([t.encode() for t in texts])]
+    want = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == want
+    assert asked.count(b"house") == 1 and len(asked) == len(set(asked))
+    assert len(words.known) + len(words.older) <= 60
