@@ -292,6 +292,25 @@ def test_matrix_of_ranges_equals_the_matrix_of_rows(spark, monkeypatch):
         assert near[0] == near[1] and len(near[0]) > 100
 
 
+def test_matrix_with_overlap_equals_the_transfer_matrix(spark):
+    from gsx.operators import matrix
+    from gsx.operators.evaluate import cell_scores, transfer_matrix
+
+    rows = spark.range(3000).selectExpr(
+        "id AS row_id", "if(id % 5 < 2, 'a', if(id % 5 = 4, 'other', 'b')) AS dom", "if(id % 17 = 0, null, id % 23) AS grp",
+        "if(id % 13 = 0, null, int(id % 3 = 0)) AS label", "if(id % 7 = 0, null, double(id % 4)) AS x", "sin(id) AS y",
+    )
+    few = rows.withColumn("grp", F.expr("if(dom = 'a', 1, grp)"))  # no folds inside a
+    for df in (few, rows.filter("dom = 'a'")):
+        args = (df, ["x", "y"], "label", "grp", "dom", ["a", "b"])
+        want = sorted(transfer_matrix(cell_scores(*args), "label").collect())
+        got = sorted(matrix.matrix_with_overlap(*args, range_rows=100).collect())
+        near = [[tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in told] for told in (got, want)]
+        assert near[0] == near[1] and len(want) > 3
+    part = matrix.matrix_results(*args[:2], {"all": args[1]}, *args[2:], pairs=[("a", "Combined")])
+    assert [(r.train, r.test) for r in part.collect()] == [("a", "Combined")]
+
+
 def test_line_matrix_settles_no_row_per_score(spark, monkeypatch):
     from gsx.operators import matrix
     from gsx.plans import reports

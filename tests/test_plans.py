@@ -37,3 +37,9 @@ def test_content_dedup_shuffles_no_text(spark):
     text = plan(spark, "l1_content_dedup")
     keys = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert keys and all("text" not in k for k in keys)
+
+
+@pytest.mark.parametrize("name", ["e4_within_domain", "e5_cross_domain", "e6_transfer_matrix_lines"])
+def test_line_matrix_repeats_no_row_per_cell(spark, name):
+    text = plan(spark, name)
+    assert "explode" not in text and "rangepartitioning" not in text and "MapInArrow" in text
