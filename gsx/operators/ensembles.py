@@ -86,19 +86,21 @@ def base_scores(
             lambda t: F.transform(F.filter(folds, lambda h: ~h.eqNullSafe(F.col("inner"))), lambda h: problem(t, h)),
         )
     )
-    models = {}
+    own = F.transform("cells", lambda t: F.struct(t.alias("set"), F.lit("oof").alias("role"), problem(t, F.col("inner")).alias("cell")))
+    other = F.transform("tests", lambda t: F.struct(t.alias("set"), F.lit("test").alias("role"), problem(t, F.lit(WHOLE)).alias("cell")))
+    held = F.when(F.col("inner").isNotNull(), own).otherwise(F.slice(own, 1, 0))
+    scored = df.withColumn("a", F.explode(F.concat(held, other))).select(row_id, label, *features, "a.*")
     if linear:
         rows = convex.training_rows(df, features, label, mine)
-        models |= convex.fit_linear(rows, features, {n: convex.MODELS[n] for n in linear})
+        models = convex.fit_linear(rows, features, {n: convex.MODELS[n] for n in linear})
+        scored = score_many(scored, features, "cell", models)
+        # where every set has one class
+        scored = scored.withColumns({n: F.lit(None).cast("double") for n in linear if n not in scored.columns})
     if grown:
         dealt = df.select(row_id, label, *features, F.explode(mine).alias("set"))
-        models |= trees.fit_trees(dealt, features, label, row_id, "set", {n: trees.SPECS[n] for n in grown})
-    own = F.transform("cells", lambda t: F.struct(t.alias("set"), F.lit("oof").alias("role"), problem(t, F.col("inner")).alias("cell")))
-    other = F.transform("tests", lambda t: F.struct(t.alias("set"), F.lit("test").alias("role"), problem(t, F.lit(WHOLE)).alias("cell")))
-    held = F.when(F.col("inner").isNotNull(), own).otherwise(F.slice(own, 1, 0))
-    asked = df.withColumn("a", F.explode(F.concat(held, other))).select(row_id, label, *features, "a.*")
-    scored = score_many(asked, features, "cell", models).drop("cell", *features)
-    scored = settle(scored)
+        specs = {n: trees.SPECS[n] for n in grown}
+        scored = trees.fit_and_score(dealt, scored, features, label, row_id, "set", specs, "cell")
+    scored = settle(scored.select(row_id, label, "set", "role", *sorted([*linear, *grown])))
     for n in linear:
         if convex.MODELS[n].loss != "logistic":
             scored = with_sigmoid(scored, n, label)

@@ -4,8 +4,11 @@ Bin limits come from the training rows of each training set, once.  A level of a
 aggregation of (tree, node, feature, bin) sums and a choice of the best split of every node,
 for all trees of a forest at once.  A training set of at most LOCAL_ROWS rows (some 30 MB at six features)
 is grown inside a task instead, all sets and ensembles in one job and the trees of a forest dealt over many tasks; bins, sums and
-choices are the same, so the trees are too.  A fitted model (at most 2 ** depth nodes a tree)
-is held by the driver and sent to the tasks that score, as in Spark ML.
+choices are the same, so the trees are too.
+
+``fit_and_score`` scores rows in the tasks that grow the trees, so a model of a small training set never leaves
+its task; of larger sets the driver holds the models of one at a time.  ``fit_trees`` returns fitted models
+(at most 2 ** depth nodes a tree), held by the driver as in Spark ML.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import math
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -136,13 +140,8 @@ class Ensemble:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for rows of raw values."""
-        b = self.bins(x)
-        total = np.zeros(len(b))
-        for tree in self.trees:
-            total += np.asarray(tree.value)[route(b, tree)]
-        if self.spec.kind == "forest":
-            return total / max(len(self.trees), 1)
-        return 1.0 / (1.0 + np.exp(-(self.base + total)))
+        total = tree_sum(self.bins(x), self.trees)
+        return total / max(len(self.trees), 1) if self.spec.kind == "forest" else boosted(total, self.base)
 
 
 def _mixed(x: int) -> int:
@@ -220,6 +219,18 @@ def route(bins: np.ndarray, tree: Tree) -> np.ndarray:
         rows = inner
 
 
+def tree_sum(bins: np.ndarray, trees) -> np.ndarray:
+    """Sum of the leaf values of every row."""
+    total = np.zeros(len(bins))
+    for tree in trees:
+        total += np.asarray(tree.value)[route(bins, tree)]
+    return total
+
+
+def boosted(total: np.ndarray, base: float) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-(base + total)))
+
+
 def class_weight(spec: TreeSpec, n_pos: float, n_neg: float) -> tuple[float, float]:
     """Weights of class 0 and class 1."""
     n = n_pos + n_neg
@@ -366,12 +377,11 @@ def grow(bins: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, number:
     return tree
 
 
-def grow_local(bins, y, h, spec: TreeSpec, numbers, counts) -> list[Tree]:
-    """Trees of these numbers (a forest), or all of them in turn (boosting)."""
+def grow_local(bins, y, h, spec: TreeSpec, numbers, counts) -> Iterator[Tree]:
+    """Trees of these numbers (a forest), or all of them in turn (boosting), in typed arrays."""
     w0, w1 = class_weight(spec, *counts)
     w = np.where(y == 1, w1, w0)
     score = np.full(len(y), _base(spec, *counts))
-    out = []
     for number in numbers:
         times = drawn(h, number, spec)
         a, b = row_sums(spec, y, w * times, score)
@@ -379,8 +389,7 @@ def grow_local(bins, y, h, spec: TreeSpec, numbers, counts) -> list[Tree]:
         tree = grow(bins[held], a[held], b[held], spec, number)
         if spec.kind == "boosting":
             score += np.asarray(tree.value)[route(bins, tree)]
-        out.append(tree)
-    return out
+        yield compact(tree.feature, tree.bin, tree.left, tree.value, tree.gains)
 
 
 # --- inputs ---------------------------------------------------------------------------------
@@ -471,32 +480,45 @@ def _blocks(rows: DataFrame, d: int) -> DataFrame:
     return settle(rows.select("part", "y", "h", "bins").mapInArrow(run, "part string, h binary, y binary, bins binary"))
 
 
-def _fit_local(rows: DataFrame, names, d: int, specs: dict, counts: dict) -> dict:
-    """{(part, name): trees} for small training sets.
-
-    All specs grow at once: a slot is one set, one spec and some of its tree numbers, and lies in
-    a partition with few others.
-    """
+def _slots(names, specs: dict) -> list[tuple]:
+    """(part, spec, task, tasks): a slot is one training set, one spec and some of its tree numbers."""
     forest_tasks = max(1, min(TREE_TASKS, -(-SLOTS // max(len(names), 1))))
     slots = []
     for part in names:
         for name, spec in specs.items():
             tasks = min(forest_tasks, spec.trees) if spec.kind == "forest" else 1
             slots += [(part, name, task, tasks) for task in range(tasks)]
-    table = rows.sparkSession.createDataFrame([(i, s[0]) for i, s in enumerate(slots)], "slot int, part string")
-    dealt = _blocks(rows, d).join(F.broadcast(table), "part").repartitionByRange(len(slots), "slot")
+    return slots
+
+
+def _dealt(blocks: DataFrame, slots: list[tuple]) -> DataFrame:
+    """Blocks of a part at each of its slots; a slot lies in a partition with few others."""
+    table = blocks.sparkSession.createDataFrame([(i, s[0]) for i, s in enumerate(slots)], "slot int, part string")
+    return blocks.join(F.broadcast(table), "part").repartitionByRange(len(slots), "slot")
+
+
+def _slot_trees(slot: tuple, h, y, bins, d: int, specs: dict, counts: dict) -> Iterator[tuple[int, Tree]]:
+    """Number and tree of one slot after the other, from the blocks of its training rows."""
+    part, name, task, tasks = slot
+    h, y = np.frombuffer(b"".join(h), np.int64), np.frombuffer(b"".join(y), np.uint8)
+    bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, d)
+    # the sort makes the trees independent of the order of rows
+    order = np.lexsort((y, *bins.T[::-1], h))
+    numbers = range(task, specs[name].trees, tasks)
+    yield from zip(numbers, grow_local(bins[order], y[order].astype(np.int64), h[order], specs[name], numbers, counts[part]))
+
+
+def _fit_local(rows: DataFrame, names, d: int, specs: dict, counts: dict) -> dict:
+    """{(part, name): trees} for small training sets; all specs grow at once."""
+    slots = _slots(names, specs)
+    dealt = _dealt(_blocks(rows, d), slots)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part, name, task, tasks = slots[key[0]]
-        h, y = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.int64), ("y", np.uint8)))
-        bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, d)
-        # the sort makes the trees independent of the order of rows
-        order = np.lexsort((y, *bins.T[::-1], h))
-        numbers = range(task, specs[name].trees, tasks)
-        trees = grow_local(bins[order], y[order].astype(np.int64), h[order], specs[name], numbers, counts[part])
-        flat = [compact(t.feature, t.bin, t.left, t.value, t.gains) for t in trees]
         return pd.DataFrame(
-            [(key[0], k, *[v.tobytes() for v in (t.feature, t.bin, t.left, t.value)], t.gains) for k, t in zip(numbers, flat)],
+            [
+                (key[0], k, *[v.tobytes() for v in (t.feature, t.bin, t.left, t.value)], t.gains)
+                for k, t in _slot_trees(slots[key[0]], pdf["h"], pdf["y"], pdf["bins"], d, specs, counts)
+            ],
             columns=["slot", "number", "feature", "bin", "left", "value", "gains"],
         )
 
@@ -509,6 +531,79 @@ def _fit_local(rows: DataFrame, names, d: int, specs: dict, counts: dict) -> dic
     return {p: [t[k] for k in sorted(t)] for p, t in found.items()}
 
 
+def _asked_blocks(asked: DataFrame, features, cell: str, row: str, limits: dict, names) -> DataFrame:
+    """(block, part, ids, bins): rows to be scored by the model of their cell, in blocks of bytes, settled."""
+    d = len(features)
+    rows = asked.select(_raw(asked, features).alias("x"), F.col(cell).cast("string").alias("part"), row)
+    rows = rows.filter(F.col("part").isin(*names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ids = _values(batch.column(0), d), batch.column(2).to_numpy()
+            parts = batch.column(1).dictionary_encode()
+            code, out = parts.indices.to_numpy(), []
+            for k, part in enumerate(parts.dictionary.to_pylist()):
+                mine = code == k
+                out.append((part, ids[mine].tobytes(), binned_values(x[mine], *limits[part]).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.string()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2)]],
+                names=["part", "ids", "bins"],
+            )
+
+    blocks = rows.sortWithinPartitions("part").mapInArrow(run, "part string, ids binary, bins binary")
+    return settle(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _score_local(rows: DataFrame, asked: DataFrame, names, d: int, specs: dict, counts: dict, row: str) -> DataFrame:
+    """(row, one column per spec): blocks of asked rows scored by the trees of their part.
+
+    A slot grows its trees and adds them up over the blocks that ask its part; only the sums leave the task.
+    """
+    slots = _slots(names, specs)
+    pieces = list(dict.fromkeys(s[1:3] for s in slots))
+    at = {piece: i for i, piece in enumerate(pieces)}
+    none = F.lit(b"")
+    train = _blocks(rows, d).select("part", F.lit(-1).cast("bigint").alias("block"), "h", "y", "bins")
+    both = train.unionByName(asked.select("part", "block", none.alias("h"), none.alias("y"), "bins"))
+    # a slot's training rows come first
+    dealt = _dealt(both, slots).select("slot", "block", "h", "y", "bins").sortWithinPartitions("slot", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held, grown = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now, block, *data = [batch.column(c)[i].as_py() for c in range(5)]
+                if now != slot:
+                    slot, held, grown = now, [], None
+                if block < 0:
+                    held.append(data)
+                    continue
+                part, name, task, _ = slots[slot]
+                if grown is None:
+                    grown = [t for _, t in _slot_trees(slots[slot], *zip(*held), d, specs, counts)]
+                    held = []
+                total = tree_sum(np.frombuffer(data[2], np.uint8).reshape(-1, d), grown)
+                if specs[name].kind == "boosting":
+                    total = boosted(total, _base(specs[name], *counts[part]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([at[name, task]], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                    names=["block", "piece", "v"],
+                )
+
+    def joined(table: pa.Table) -> pa.Table:
+        found = dict(zip(table.column("piece").to_pylist(), table.column("v").to_pylist()))
+        columns = {row: pa.array(np.frombuffer(found[-1], np.int64))}
+        for name, spec in specs.items():
+            sums = [np.frombuffer(found[i]) for i, piece in enumerate(pieces) if piece[0] == name]
+            total = sum(sums[1:], sums[0])
+            columns[name] = pa.array(total / max(spec.trees, 1) if spec.kind == "forest" else total)
+        return pa.table(columns)
+
+    sums = dealt.mapInArrow(run, "block bigint, piece int, v binary")
+    sums = sums.unionByName(asked.select("block", F.lit(-1).alias("piece"), F.col("ids").alias("v")))
+    return sums.groupBy("block").applyInArrow(joined, ", ".join([f"`{row}` bigint", *[f"`{n}` double" for n in specs]]))
+
+
 # --- growth level by level --------------------------------------------------------------------
 
 
@@ -633,13 +728,8 @@ def _with_scores(rows: DataFrame, d: int, trees: list) -> DataFrame:
 # --- fit and score ----------------------------------------------------------------------------
 
 
-def fit_trees(
-    train: DataFrame, features, label: str, row_id: str, part: str, specs: dict, local_rows: int = LOCAL_ROWS
-) -> dict:
-    """{(part, name): Ensemble}: every spec fitted on the training rows of every part.
-
-    Rows without a label of 0 or 1 are left out; a part of one class gets no model.
-    """
+def _prepared(train: DataFrame, features, label: str, row_id: str, part: str) -> tuple[DataFrame, dict, dict]:
+    """Binned training rows, limits of every part, and class sizes of every part that has both classes."""
     ship(train.sparkSession)
     known = train.filter(F.col(label).isin(0, 1) & F.col(part).isNotNull())
     limits = bin_limits(known, features, part)
@@ -648,21 +738,76 @@ def fit_trees(
         r["part"]: (r["p"], r["n"])
         for r in rows.groupBy("part").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).collect()
     }
-    both = [p for p, c in counts.items() if min(c) > 0]
-    small = [p for p in both if sum(counts[p]) <= local_rows]
-    out = {}
+    return rows, limits, {p: c for p, c in counts.items() if min(c) > 0}
+
+
+def _large_models(rows: DataFrame, features, name_of: dict, limits: dict, part: str, specs: dict, counts) -> dict:
+    """{(part, name): Ensemble} of one training set, grown by levels."""
+    mine = rows.filter(F.col("part") == part)
+    return {
+        (name_of[part], name): Ensemble(
+            spec, tuple(features), *limits[name_of[part]], _fit_levels(mine, len(features), spec, counts), _base(spec, *counts)
+        )
+        for name, spec in specs.items()
+    }
+
+
+def fit_trees(
+    train: DataFrame, features, label: str, row_id: str, part: str, specs: dict, local_rows: int = LOCAL_ROWS
+) -> dict:
+    """{(part, name): Ensemble}: every spec fitted on the training rows of every part.
+
+    Rows without a label of 0 or 1 are left out; a part of one class gets no model.
+    """
+    rows, limits, counts = _prepared(train, features, label, row_id, part)
+    small = [p for p in counts if sum(counts[p]) <= local_rows]
     named = {str(k): k for k in limits}
-    mine = rows.filter(F.col("part").isin(*small))
-    trees = _fit_local(mine, small, len(features), specs, counts) if small else {}
-    for name, spec in specs.items():
-        for p in both:
-            if (p, name) not in trees:
-                trees[p, name] = _fit_levels(rows.filter(F.col("part") == p), len(features), spec, counts[p])
-            edges, medians = limits[named[p]]
-            out[named[p], name] = Ensemble(spec, tuple(features), edges, medians, trees[p, name], _base(spec, *counts[p]))
+    grown = _fit_local(rows.filter(F.col("part").isin(*small)), small, len(features), specs, counts) if small else {}
+    out = {}
+    for (p, name), trees in grown.items():
+        out[named[p], name] = Ensemble(
+            specs[name], tuple(features), *limits[named[p]], trees, _base(specs[name], *counts[p])
+        )
+    for p in counts:
+        if p not in small:
+            out |= _large_models(rows, features, named, limits, p, specs, counts[p])
     return out
 
 
+def fit_and_score(
+    train: DataFrame, asked: DataFrame, features, label: str, row_id: str, part: str, specs: dict, cell: str,
+    local_rows: int = LOCAL_ROWS,
+) -> DataFrame:
+    """``asked`` with one column per spec: the probability under the model of the part named by ``cell``.
+
+    The models are those of ``fit_trees``; a row whose cell has none gets NULL.  Trees of a part of at most
+    ``local_rows`` training rows stay in the tasks that grow them.
+    """
+    rows, limits, counts = _prepared(train, features, label, row_id, part)
+    row = "_row"
+    while row in asked.columns:
+        row += "_"
+    # written, so that every later read gives a row the same number
+    numbered = settle(asked.withColumn(row, F.monotonically_increasing_id()))
+    named = {str(k): k for k in limits}
+    small = [p for p in counts if sum(counts[p]) <= local_rows]
+    scores = []
+    if small:
+        blocks = _asked_blocks(numbered, features, cell, row, {str(k): v for k, v in limits.items()}, small)
+        mine = rows.filter(F.col("part").isin(*small))
+        scores.append(_score_local(mine, blocks, small, len(features), specs, counts, row))
+    for p in counts:
+        if p not in small:
+            models = _large_models(rows, features, named, limits, p, specs, counts[p])
+            mine = numbered.filter(F.col(cell) == named[p])
+            for (_, name), model in models.items():
+                mine = score_trees(mine, model, name)
+            scores.append(settle(mine.select(row, *specs)))
+    if not scores:
+        return numbered.select(*asked.columns, *[F.lit(None).cast("double").alias(n) for n in specs])
+    return numbered.join(reduce(DataFrame.unionByName, scores), row, "left").select(*asked.columns, *specs)
+
+
 def score_trees(rows: DataFrame, model: Ensemble, name: str = "score") -> DataFrame:
     """``rows`` with the probability of class 1 under one model."""
     ship(rows.sparkSession)
@@ -704,14 +849,14 @@ def transfer_scores(rows: DataFrame, features, label: str, row_id: str, part: st
     """(row_id, label, keep..., train, test, model, score): the rows of every part scored by the models of
     every other one.  ``names`` are keys of SPECS, or a dictionary of specs."""
     specs = names if isinstance(names, dict) else {n: SPECS[n] for n in names}
-    out = None
-    for (train, name), model in fit_trees(rows, features, label, row_id, part, specs).items():
-        tested = score_trees(rows.filter(F.col(part) != train), model).select(
-            row_id, label, *keep, F.lit(train).alias("train"), F.col(part).alias("test"),
-            F.lit(name).alias("model"), "score",
-        )
-        out = tested if out is None else out.unionByName(tested)
-    return out
+    parts = [F.lit(r[0]) for r in rows.filter(F.col(part).isNotNull()).select(part).distinct().collect()]  # a few
+    told = list(dict.fromkeys([row_id, label, *keep]))
+    every = F.array(*parts) if parts else F.array().cast(f"array<{rows.schema[part].dataType.simpleString()}>")
+    asked = rows.select("*", F.explode(every).alias("train")).filter(F.col("train") != F.col(part))
+    asked = asked.select(*told, *[f for f in features if f not in told], "train", F.col(part).alias("test"))
+    scored = fit_and_score(rows, asked, features, label, row_id, part, specs, "train")
+    long = scored.select(*told, "train", "test", *specs).unpivot([*told, "train", "test"], list(specs), "model", "score")
+    return long.filter(F.col("score").isNotNull())
 
 
 def root_splits(train: DataFrame, features, label: str, row_id: str, part: str, spec: TreeSpec) -> DataFrame:

@@ -140,6 +140,41 @@ def test_missing_values_one_class_and_scores(data):
     assert len(rows) == 400 and all(0 <= r.score <= 1 and r.train != r.test for r in rows)
 
 
+@pytest.mark.parametrize("local_rows", [0, 190, 1000])
+def test_scores_of_growing_tasks_are_those_of_fitted_models(data, local_rows):
+    """Parts of 200, 133 and 67 rows, so that 190 grows one of the three by levels."""
+    df, _, _ = data
+    df = df.withColumn("part", F.when(F.col("dom") == "a", 1).when(F.col("row_id") % 3 == 0, 3).otherwise(2))
+    df = df.withColumn("f0", F.when(F.col("row_id") % 7 > 0, F.col("f0")))
+    specs = {
+        "forest": replace(trees.SPECS["random_forest"], trees=5, depth=4),
+        "boosting": replace(trees.SPECS["boosting"], trees=2, depth=2),
+    }
+    asked = df.select("row_id", *FEATURES, F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(9), F.lit(None).cast("int"))).alias("cell"))
+    got = trees.fit_and_score(df, asked, FEATURES, "label", "row_id", "part", specs, "cell", local_rows=local_rows).collect()
+    models = trees.fit_trees(df, FEATURES, "label", "row_id", "part", specs)
+    assert len(got) == 5 * 400 and set(models) == {(p, n) for p in (1, 2, 3) for n in specs}
+    for cell in (1, 2, 3):
+        mine = sorted((r for r in got if r.cell == cell), key=lambda r: r.row_id)
+        x = np.array([[np.nan if r[f] is None else r[f] for f in FEATURES] for r in mine])
+        for n in specs:
+            assert np.allclose([r[n] for r in mine], models[cell, n].score(x), rtol=0, atol=1e-12)
+    assert all(r.forest is None and r.boosting is None for r in got if r.cell in (9, None))
+
+
+def test_no_tree_of_a_small_set_reaches_the_driver(data, monkeypatch):
+    df, _, _ = data
+    held = []
+    monkeypatch.setattr(trees, "compact", lambda *v: held.append(v))
+    other = F.array(F.when(F.col("dom") == "a", "b").otherwise("a"))
+    out = ensembles.base_scores(
+        df, FEATURES, "label", "row_id", F.array("dom"), other, "fold", linear=(), grown=("decision_tree",)
+    )
+    assert out.filter("decision_tree IS NOT NULL").count() == 800
+    moved = trees.transfer_scores(df, FEATURES, "label", "row_id", "dom", {"t": trees.TreeSpec(depth=2)})
+    assert moved.count() == 400 and not held
+
+
 def test_linear_models_are_the_plain_optimum(data):
     df, x, y = data
     cells = F.transform(F.filter(F.array(F.lit(0), F.lit(9)), lambda k: k != F.col("fold")), lambda k: k.cast("string"))
